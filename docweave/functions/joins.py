@@ -10,9 +10,9 @@ from docweave.functions.text import substrings
 SALTS = 16
 
 
-def attach(facts: DataFrame, dimension: DataFrame, key: str, spread: Column, how: str = "left",
+def attach(facts: DataFrame, dimension: DataFrame, keys: list[str], spread: Column, how: str = "left",
            salts: int = SALTS) -> DataFrame:
-    """Join facts to a dimension that has one row per ``key``.
+    """Join facts to a dimension that has one row per key.
 
     Facts of a hot key are spread over ``salts`` tasks by a hash of ``spread``; the
     dimension is repeated once per salt. No broadcast is forced: Spark broadcasts the
@@ -20,7 +20,7 @@ def attach(facts: DataFrame, dimension: DataFrame, key: str, spread: Column, how
     """
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def substring_pairs(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str) -> DataFrame:

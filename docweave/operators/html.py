@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave import schemas
+from docweave.functions.expr import let
 from docweave.functions.html_tree import shredder
 from docweave.functions.text import clean_lines, strip
 
@@ -89,6 +90,11 @@ def container_span(nodes: Column, drop: int, with_div: bool = True) -> Column:
     return F.coalesce(*spans, whole)
 
 
+def inside(node: Column, span: Column) -> Column:
+    """Below the container, the container itself excluded."""
+    return (node["ord"] > span["ord"]) & (node["ord"] <= span["last"])
+
+
 def main_container(trees: DataFrame, drop: tuple[str, ...] = CHROME, with_div: bool = True) -> DataFrame:
     """One row per page: the container's first and last node number (-1 means whole page)."""
     span = container_span(F.col("nodes"), mask(drop), with_div)
@@ -137,20 +143,6 @@ def subtree_text(trees: DataFrame, tags: tuple[str, ...], separator: str = " ",
     return trees.select("page_id", F.inline(texts))
 
 
-def _wrap(tag: Column, text: Column) -> Column:
-    def pick(table: dict[str, str]) -> Column:
-        chosen = F.lit("")
-        for name, mark in table.items():
-            chosen = F.when(tag == name, F.lit(mark)).otherwise(chosen)
-        return chosen
-
-    return F.concat(pick(OPENERS), text, pick(CLOSERS))
-
-
-def _finish(text: Column) -> Column:
-    return F.regexp_replace(strip(text), "\n{3,}", "\n\n")
-
-
 def clean_documents(trees: DataFrame, mode: str = "leaf") -> DataFrame:
     """Markdown-like page text, as (page_id, url, content).
 
@@ -158,45 +150,55 @@ def clean_documents(trees: DataFrame, mode: str = "leaf") -> DataFrame:
     unclosed paragraph appears in both; its size can grow with the square of the page.
     ``leaf`` emits each text run once, under the innermost element that owns it.
     """
+    if mode not in ("leaf", "nested"):
+        raise ValueError(f"mode must be 'leaf' or 'nested', got {mode!r}")
     drop = mask(TEXT_CHROME)
-    scoped = trees.where("error IS NULL").select(
-        "page_id", "url", "nodes", "runs", container_span(F.col("nodes"), drop).alias("span")
+    render = _nested_text if mode == "nested" else _leaf_text
+    content = let(container_span(F.col("nodes"), drop), lambda span: render(span, drop))
+    return trees.where("error IS NULL").select(
+        "page_id", "url", F.regexp_replace(strip(content), "\n{3,}", "\n\n").alias("content")
     )
-    first, last = F.col("span.ord"), F.col("span.last")
-    if mode == "nested":
-        wanted = F.filter(
-            "nodes",
-            lambda n: n["tag"].isin(*LINE_TAGS) & (n["ord"] > first) & (n["ord"] <= last) & unmarked(n, drop),
-        )
-        texts = F.transform(
-            wanted, lambda n: F.struct(n["tag"].alias("tag"), node_text(n, " ", drop).alias("text"))
-        )
-        shown = F.filter(texts, lambda t: t["text"] != "")
-        content = F.array_join(F.transform(shown, lambda t: _wrap(t["tag"], t["text"])), "\n")
-        return scoped.select("page_id", "url", _finish(content).alias("content"))
-    if mode != "leaf":
-        raise ValueError(f"mode must be 'leaf' or 'nested', got {mode!r}")
+
+
+def _nested_text(span: Column, drop: int) -> Column:
+    wanted = F.filter("nodes", lambda n: n["tag"].isin(*LINE_TAGS) & inside(n, span) & unmarked(n, drop))
+    texts = F.transform(
+        wanted, lambda n: F.struct(n["tag"].alias("tag"), node_text(n, " ", drop).alias("text"))
+    )
+    shown = F.filter(texts, lambda t: t["text"] != "")
+    return F.array_join(
+        F.transform(
+            shown, lambda t: F.concat(_around(t["tag"], OPENERS), t["text"], _around(t["tag"], CLOSERS))
+        ),
+        "\n",
+    )
+
+
+def _leaf_text(span: Column, drop: int) -> Column:
     kept = F.filter(
         "runs",
-        lambda r: r["text"].isNotNull() & (r["block"] > first) & (r["block"] <= last)
+        lambda r: r["text"].isNotNull() & (r["block"] > span["ord"]) & (r["block"] <= span["last"])
         & unmarked(r, drop) & (strip(r["text"]) != ""),
     )
-    # Runs of one owner that follow each other share a line.
-    owned = scoped.select("page_id", "url", "nodes", kept.alias("kept"))
 
-    def line_part(run: Column, i: Column) -> Column:
-        same_before = F.coalesce(F.get("kept", i - 1)["block"] == run["block"], F.lit(False))
-        same_after = F.coalesce(F.get("kept", i + 1)["block"] == run["block"], F.lit(False))
-        tag = F.get("nodes", run["block"])["tag"]
-        opened = F.when(same_before, F.lit(" ")).otherwise(_wrap_side(tag, OPENERS))
-        closed = F.when(same_after, F.lit("")).otherwise(F.concat(_wrap_side(tag, CLOSERS), F.lit("\n")))
-        return F.concat(opened, strip(run["text"]), closed)
+    def parts(runs: Column) -> Column:
+        # Runs of one owner that follow each other share a line.
+        def part(run: Column, i: Column) -> Column:
+            same_before = F.coalesce(F.get(runs, i - 1)["block"] == run["block"], F.lit(False))
+            same_after = F.coalesce(F.get(runs, i + 1)["block"] == run["block"], F.lit(False))
+            tag = F.get("nodes", run["block"])["tag"]
+            opened = F.when(same_before, F.lit(" ")).otherwise(_around(tag, OPENERS))
+            closed = F.when(same_after, F.lit("")).otherwise(
+                F.concat(_around(tag, CLOSERS), F.lit("\n"))
+            )
+            return F.concat(opened, strip(run["text"]), closed)
+
+        return F.array_join(F.transform(runs, part), "")
 
-    content = F.array_join(F.transform("kept", line_part), "")
-    return owned.select("page_id", "url", _finish(content).alias("content"))
+    return let(kept, parts)
 
 
-def _wrap_side(tag: Column, table: dict[str, str]) -> Column:
+def _around(tag: Column, table: dict[str, str]) -> Column:
     chosen = F.lit("")
     for name, mark in table.items():
         chosen = F.when(tag == name, F.lit(mark)).otherwise(chosen)
