@@ -49,10 +49,11 @@ class TreeBuilder(HTMLParser):
     ``marks`` is inherited: bit i says "inside or equal to an element matching landmark i".
     """
 
-    def __init__(self, landmarks: tuple[str, ...]):
+    def __init__(self, landmarks: tuple[str, ...], keep_attrs: bool = False):
         super().__init__(convert_charrefs=False)
         self.by_tag = {s: 1 << i for i, s in enumerate(landmarks) if not s.startswith(".")}
         self.by_class = {s[1:]: 1 << i for i, s in enumerate(landmarks) if s.startswith(".")}
+        self.keep_attrs = keep_attrs
         self.nodes: list[list] = []
         self.runs: list[tuple] = []
         self.stack: list[tuple] = []  # (ord, tag, marks, block, weak, opaque, verbatim)
@@ -118,6 +119,8 @@ class TreeBuilder(HTMLParser):
         nth = self.child_count.get((parent, tag), 0)
         self.child_count[(parent, tag)] = nth + 1
         here = len(self.runs)
+        if not self.keep_attrs:
+            attrs = {}
         self.nodes.append([ord_, parent, ord_, nth, tag, classes, attrs, marks, here, here])
         if tag in VOID_TAGS:
             if tag == "br":
@@ -215,14 +218,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def shredder(landmarks: tuple[str, ...]):
+def shredder(landmarks: tuple[str, ...], keep_attrs: bool = False):
     """Return the ``mapInArrow`` function for batches of (page_id, url, html)."""
 
     def shred_page(html):
         if html is None:
             return "no content", [], []
         try:
-            return None, *TreeBuilder(landmarks).build(html)
+            return None, *TreeBuilder(landmarks, keep_attrs).build(html)
         except Exception as problem:  # one bad page must not stop the job
             return f"parse error: {problem}", [], []
 

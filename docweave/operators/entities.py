@@ -15,34 +15,17 @@ CORRECTIONS = (("Subscription Transfer", "Subscription, Transfer"),)
 _H = F.col
 
 
-def page_deprecation(trees: DataFrame) -> DataFrame:
-    """Deprecation sentence of each page's text outside the chrome, or null."""
-    text = html.page_text(html.mask(html.CHROME))
-    return trees.select("page_id", text.alias("_text")).select(
-        "page_id", deprecation_note(F.col("_text")).alias("deprecation_note")
-    )
-
-
-def extract_endpoints(trees: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+def extract_endpoints(tables: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """Tables with ``endpoint`` and ``method`` columns; the page's deprecation is inherited.
 
     ``titles(page_id, title)`` supplies page titles; without it the title is the page's path.
     """
-    pages = trees.where(F.exists("nodes", html._is_table))
-    noted = pages.withColumn("_text", html.page_text(html.mask(html.CHROME)))
-    found = F.transform(
-        F.filter("nodes", html._is_table),
-        lambda t: F.struct(t["ord"].alias("tbl_ord"), html.table_rows(t).alias("all_rows")),
-    )
-    tables = html.split_header(
-        noted.select("page_id", "url", deprecation_note(F.col("_text")).alias("deprecation_note"), F.inline(found))
-    )
     headers = _H("headers")
     rows = html.bind_columns(
         tables,
         {"path": html.column_of(headers, "endpoint"), "method": html.column_of(headers, "method")},
         required=("path", "method"),
-        keep=("deprecation_note",),
+        keep=("page_note",),
     )
     rows = rows.withColumn("method", F.upper("method")).where(
         F.col("method").isin(*METHODS) & (F.col("path") != "")
@@ -56,7 +39,7 @@ def extract_endpoints(trees: DataFrame, titles: DataFrame | None = None) -> Data
     return rows.select(
         F.col("page_id").alias("page_ord"), "tbl_ord", "row_ord", "method", "path",
         F.col("url").alias("docs_path"), "title",
-        F.col("deprecation_note").isNotNull().alias("deprecated"), "deprecation_note",
+        F.col("page_note").isNotNull().alias("deprecated"), F.col("page_note").alias("deprecation_note"),
     )
 
 
@@ -98,9 +81,8 @@ def _code_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def extract_error_codes(trees: DataFrame) -> DataFrame:
+def extract_error_codes(tables: DataFrame) -> DataFrame:
     """Numeric and symbolic codes together."""
-    tables = html.pseudo_tables(trees)
     return extract_numeric_codes(tables).unionByName(extract_reason_codes(tables))
 
 
@@ -111,12 +93,12 @@ def apply_corrections(text: Column, corrections: tuple[tuple[str, str], ...] = C
     return text
 
 
-def extract_status_codes(trees: DataFrame,
+def extract_status_codes(tables: DataFrame,
                          corrections: tuple[tuple[str, str], ...] = CORRECTIONS) -> DataFrame:
     """Tables with ``status code`` and ``applicable resources``."""
     headers = _H("headers")
     rows = html.bind_columns(
-        html.pseudo_tables(trees),
+        tables,
         {
             "code": html.column_of(headers, "status code"),
             "description": html.column_of(headers, "description"),
@@ -195,11 +177,11 @@ def schema_fields(schemas: DataFrame) -> DataFrame:
     ).select("page_ord", "tbl_ord", "schema_name", "level", "docs_path", "field_ord", "f.*")
 
 
-def extract_rules(trees: DataFrame) -> DataFrame:
+def extract_rules(tables: DataFrame) -> DataFrame:
     """Tables pairing field names with validation patterns."""
     headers = _H("headers")
     rows = html.bind_columns(
-        html.pseudo_tables(trees),
+        tables,
         {
             "field_name": html.column_of(headers, "field name", exact=False),
             "resource": html.column_of(headers, "resource", "object", exact=False),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docweave import schemas
 from docweave.functions.expr import let
 from docweave.functions.html_tree import shredder
-from docweave.functions.text import clean_lines, strip
+from docweave.functions.text import clean_lines, deprecation_note, strip
 
 # Page furniture that is not content.
 CHROME = ("nav", "footer", "script", "style", "header")
@@ -33,12 +33,13 @@ WHOLE_PAGE = 2**31 - 1
 # ---------------------------------------------------------------- trees
 
 
-def shred_html(pages: DataFrame, landmarks: tuple[str, ...] = LANDMARKS) -> DataFrame:
+def shred_html(pages: DataFrame, landmarks: tuple[str, ...] = LANDMARKS, attrs: bool = False) -> DataFrame:
     """``pages(page_id, url, html)`` to one tree row per page; a bad page gets an error text.
 
     ``landmarks`` are tag names or ``.class`` selectors whose insides can later be dropped.
+    Attributes other than classes are kept only when ``attrs`` asks for them.
     """
-    return pages.select("page_id", "url", "html").mapInArrow(shredder(landmarks), schemas.TREES)
+    return pages.select("page_id", "url", "html").mapInArrow(shredder(landmarks, attrs), schemas.TREES)
 
 
 def node_table(trees: DataFrame) -> DataFrame:
@@ -236,13 +237,23 @@ def table_rows(node: Column) -> Column:
 
 
 def pseudo_tables(trees: DataFrame) -> DataFrame:
-    """Every ``div.table``, nested ones too: (page_id, url, tbl_ord, headers, rows)."""
+    """Every ``div.table``, nested ones too: (page_id, url, page_note, tbl_ord, headers, rows).
+
+    ``page_note`` is the deprecation sentence of the page the table stands on.
+    """
     found = F.transform(
         F.filter("nodes", _is_table),
         lambda t: F.struct(t["ord"].alias("tbl_ord"), table_rows(t).alias("all_rows")),
     )
-    flat = trees.select("page_id", "url", F.inline(found))
-    return split_header(flat)
+    pages = trees.where(F.exists("nodes", _is_table))
+    note = let(page_text(mask(CHROME)), deprecation_note)
+    return split_header(pages.select("page_id", "url", note.alias("page_note"), F.inline(found)))
+
+
+def page_deprecation(trees: DataFrame) -> DataFrame:
+    """Deprecation sentence of each page's text outside the chrome, or null."""
+    note = let(page_text(mask(CHROME)), deprecation_note)
+    return trees.select("page_id", "url", note.alias("deprecation_note"))
 
 
 def split_header(tables: DataFrame) -> DataFrame:
