@@ -34,6 +34,7 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("docweave")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
