@@ -110,7 +110,7 @@ WITH body AS (
 )
 SELECT page_id,
   '# ' || trim(replace(head, '&amp;', '&')) || chr(10) || chr(10) || array_to_string(
-    list_filter(list_transform(parts, lambda x: trim(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&amp;', '&'))), lambda x: x <> ''),
+    list_filter(list_transform(parts, lambda x: trim(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))), lambda x: x <> ''),
     chr(10)) AS content
 FROM flat
 """)
