@@ -24,6 +24,8 @@ VERBATIM_TAGS = frozenset(("pre", "textarea"))
 # Elements that own the text below them; "code" only when nothing else does.
 BLOCK_TAGS = frozenset("h1 h2 h3 h4 h5 p li pre th td".split())
 
+NOTHING: list[str] = []
+NO_ATTRS: dict[str, str] = {}
 FLUSH_NODES = 200_000
 FLUSH_CHARS = 32_000_000
 
@@ -107,11 +109,16 @@ class TreeBuilder(HTMLParser):
             parent, _, marks, strong, weak, opaque, verbatim = self.stack[-1]
         else:
             parent, marks, strong, weak, opaque, verbatim = -1, 0, -1, -1, False, False
-        attrs = {key: value if value is not None else "" for key, value in attrs}
-        classes = attrs.get("class", "").split()
+        classes, kept = NOTHING, NO_ATTRS
         marks |= self.by_tag.get(tag, 0)
-        for name in classes:
-            marks |= self.by_class.get(name, 0)
+        if attrs:
+            for key, value in attrs:
+                if key == "class":
+                    classes = (value or "").split()
+            for name in classes:
+                marks |= self.by_class.get(name, 0)
+            if self.keep_attrs:
+                kept = {key: value or "" for key, value in attrs}
         if tag in BLOCK_TAGS:
             strong = ord_
         elif tag == "code":
@@ -119,9 +126,7 @@ class TreeBuilder(HTMLParser):
         nth = self.child_count.get((parent, tag), 0)
         self.child_count[(parent, tag)] = nth + 1
         here = len(self.runs)
-        if not self.keep_attrs:
-            attrs = {}
-        self.nodes.append([ord_, parent, ord_, nth, tag, classes, attrs, marks, here, here])
+        self.nodes.append([ord_, parent, ord_, nth, tag, classes, kept, marks, here, here])
         if tag in VOID_TAGS:
             if tag == "br":
                 self.runs.append((ord_, strong if strong >= 0 else weak, marks, None))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docweave.functions.expr import let
+
 # The characters a Unicode-aware strip() removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
@@ -84,24 +86,31 @@ DEPRECATION = (
 NOTE_LIMIT = 240
 
 
+def is_deprecated(text: Column) -> Column:
+    """Does the text hold a deprecation marker."""
+    return F.coalesce(F.rlike(text, F.lit(DEPRECATION)), F.lit(False))
+
+
 def deprecation_note(text: Column) -> Column:
     """The sentence holding the first deprecation marker, or null.
 
     The sentence runs from after the last full stop before the marker to the first one
     after it; beyond 240 characters it is cut to 237 and dotted.
     """
-    # Split once at the first marker: what precedes it and what follows it.
-    halves = F.split(text, DEPRECATION, 2)
-    marker = F.regexp_extract(text, DEPRECATION, 0)
-    before, after = F.get(halves, F.lit(0)), F.get(halves, F.lit(1))
-    sentence = strip(
-        F.concat(F.substring_index(before, ".", -1), marker, F.substring_index(after, ".", 1))
+    def sentence(found: Column) -> Column:
+        before = F.substring(text, F.lit(1), found["at"] - 1)
+        after = F.substring(text, found["at"] + F.length(found["marker"]), F.length(text))
+        return strip(F.concat(F.substring_index(before, ".", -1), found["marker"], F.substring_index(after, ".", 1)))
+
+    def shorten(note: Column) -> Column:
+        return F.when(
+            F.length(note) > NOTE_LIMIT, F.concat(F.substring(note, 1, NOTE_LIMIT - 3), F.lit("..."))
+        ).otherwise(note)
+
+    found = F.struct(
+        F.regexp_instr(text, F.lit(DEPRECATION)).alias("at"), F.regexp_extract(text, DEPRECATION, 0).alias("marker")
     )
-    cut = F.when(
-        F.length(sentence) > NOTE_LIMIT,
-        F.concat(F.substring(sentence, 1, NOTE_LIMIT - 3), F.lit("...")),
-    ).otherwise(sentence)
-    return F.when(F.rlike(text, F.lit(DEPRECATION)), cut)
+    return F.when(is_deprecated(text), let(let(found, sentence), shorten))
 
 
 def substrings(text: Column, lengths: list[int]) -> Column:

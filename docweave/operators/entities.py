@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import deprecation_note, strip
+from docweave.functions.text import is_deprecated, strip
 from docweave.operators import html
 
 METHODS = ("GET", "POST", "PATCH", "PUT", "DELETE")
@@ -154,7 +154,7 @@ def extract_schemas(trees: DataFrame) -> DataFrame:
             kind["required"].alias("required"),
             description.alias("description"),
             F.nullif(strip(F.get(cells, F.col("_limits"))), F.lit("")).alias("constraints"),
-            deprecation_note(description).isNotNull().alias("deprecated"),
+            is_deprecated(description).alias("deprecated"),
         )
 
     wide = F.filter("rows", lambda r: F.size(r["cells"]) > F.greatest("_name", "_type"))

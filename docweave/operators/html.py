@@ -16,6 +16,7 @@ from docweave import schemas
 from docweave.functions.expr import let
 from docweave.functions.html_tree import shredder
 from docweave.functions.text import clean_lines, deprecation_note, strip
+from docweave.session import spread_small
 
 # Page furniture that is not content.
 CHROME = ("nav", "footer", "script", "style", "header")
@@ -39,7 +40,7 @@ def shred_html(pages: DataFrame, landmarks: tuple[str, ...] = LANDMARKS, attrs:
     ``landmarks`` are tag names or ``.class`` selectors whose insides can later be dropped.
     Attributes other than classes are kept only when ``attrs`` asks for them.
     """
-    return pages.select("page_id", "url", "html").mapInArrow(shredder(landmarks, attrs), schemas.TREES)
+    return spread_small(pages.select("page_id", "url", "html")).mapInArrow(shredder(landmarks, attrs), schemas.TREES)
 
 
 def node_table(trees: DataFrame) -> DataFrame:

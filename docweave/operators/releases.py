@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.expr import let
 from docweave.functions.joins import substring_pairs
-from docweave.functions.text import DEPRECATION, strip
+from docweave.functions.text import is_deprecated, strip
 from docweave.operators import html
 
 API_CHANGES, SANDBOX, UPCOMING, EARLIER = "api_changes", "sandbox", "upcoming", "earlier"
@@ -296,5 +296,5 @@ def release_digest(changes: DataFrame, as_of: datetime.date, since: datetime.dat
         shown = shown.where(F.contains(F.lower(text), F.lit(area.lower())))
     return shown.groupBy("section", F.date_format("date", "yyyy-MM").alias("month")).agg(
         F.count("*").alias("changes"),
-        F.count_if(F.rlike(text, F.lit(DEPRECATION))).alias("deprecations"),
+        F.count_if(is_deprecated(text)).alias("deprecations"),
     )

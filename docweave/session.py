@@ -54,3 +54,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docweave-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Repartition an input too small to fill the cores; leave a large one where it is.
+
+    Python-heavy steps are bound by processor time, and a small table often is one file and
+    so one task. The check uses Spark's own size estimate, so nothing runs for it and a
+    large input is never shuffled.
+    """
+    spark = df.sparkSession
+    if df.isStreaming or not hasattr(df, "_jdf"):
+        return df
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SHARE else df
+
+
+# Below this many bytes per core an input is spread.
+SMALL_SHARE = 16 * 1024 * 1024

@@ -50,10 +50,10 @@ def split_failed(spark, sf):
 SELECT '/docs/' || lower(c_mktsegment) || '/' || c_custkey AS path FROM customer WHERE c_nationkey > 5
 """)
 def read_sitemap_xml(spark, sf):
-    entry = """concat('<url><loc>https://site.example', if(c_nationkey > 5, '/docs/', '/blog/'), lower(c_mktsegment), '/',
-        c_custkey, '</loc><lastmod>2024-01-01</lastmod></url>')"""
+    loc = "concat('https://site.example', if(c_nationkey > 5, '/docs/', '/blog/'), lower(c_mktsegment), '/', c_custkey)"
     target = scratch(spark)
-    table(spark, sf, "customer").selectExpr(f"{entry} AS value").write.text(target)
+    entries = table(spark, sf, "customer").selectExpr(f"{loc} AS loc", "'2024-01-01' AS lastmod")
+    entries.write.format("xml").option("rootTag", "urlset").option("rowTag", "url").save(target)
     return readers.read_sitemap_xml(spark, target, "/docs/", "https://site.example")
 
 
@@ -91,8 +91,8 @@ def derive_tags(spark, sf):
 
 
 @register("merge_curated_tags", """
-SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_concat([o_orderstatus, o_orderpriority],
-  CASE WHEN c_custkey IS NOT NULL THEN [c_mktsegment, 'F', c_name] ELSE [] END))), '|') AS tags, c_custkey IS NOT NULL AS curated_hit
+SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN o_orderstatus || '|' || o_orderpriority ELSE
+  array_to_string(list_sort(list_distinct([o_orderstatus, o_orderpriority, c_mktsegment, 'F', c_name])), '|') END AS tags, c_custkey IS NOT NULL AS curated_hit
 FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_nationkey > 3) ON o_custkey = c_custkey
 """)
 def merge_curated_tags(spark, sf):

@@ -151,7 +151,7 @@ def feature_status(spark, sf):
 
 @register("release_digest", f"""
 WITH {CHANGES_SQL}
-SELECT section, strftime(date, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS changes, CAST(count(*) FILTER (WHERE contains(title, 'old')) AS BIGINT) AS deprecations
+SELECT section, strftime(date, '%Y-%m') AS month, CAST(count(*) AS BIGINT) AS changes, CAST(count(*) FILTER (WHERE regexp_matches(title, '\\bold\\b')) AS BIGINT) AS deprecations
 FROM (SELECT *, contains(lower(body), 'economy') AS area FROM changes) WHERE area
   AND (section = 'upcoming' OR (section IN ('api_changes', 'sandbox') AND date >= DATE '2024-01-16'))
 GROUP BY ALL
