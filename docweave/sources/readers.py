@@ -67,7 +67,7 @@ def note_lines(notes: DataFrame) -> DataFrame:
 
 def read_json_table(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines as (good rows, malformed lines); a malformed line is set aside, not fatal."""
-    raw = spark.read.schema(f"{schema}, _bad STRING").option("mode", "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", "_bad"
-    ).json(path)
-    return raw.where("_bad IS NULL").drop("_bad"), raw.where("_bad IS NOT NULL").select(F.col("_bad").alias("line"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = spark.read.text(path).select("value", F.from_json("value", f"{schema}, _bad STRING", options).alias("row"))
+    good = parsed.where("row._bad IS NULL").select("row.*").drop("_bad")
+    return good, parsed.where("row._bad IS NOT NULL").select(F.col("value").alias("line"))

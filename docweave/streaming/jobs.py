@@ -16,12 +16,17 @@ LOG = f"{CONTENT_CACHE}, outcome STRING, batch BIGINT"
 # ---------------------------------------------------------------- cache refresh
 
 
-def current_cache(spark: SparkSession, root: str) -> DataFrame:
-    """State of the cache: the row of the latest batch per path in the append-only log."""
+def current_cache(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+    """State of the cache: the row of the latest batch per path in the append-only log.
+
+    With ``before``, batches from that one on are left out.
+    """
     try:
         log = spark.read.schema(LOG).parquet(f"{root}/batch=*")
     except AnalysisException:
         return spark.createDataFrame([], CONTENT_CACHE)
+    if before is not None:
+        log = log.where(F.col("batch") < before)
     latest = log.where("content IS NOT NULL").groupBy("path").agg(
         F.max_by(F.struct("content", "etag", "fetched_at"), "batch").alias("c")
     )
@@ -37,7 +42,7 @@ def apply_batch(fetched: DataFrame, batch_id: int, root: str, ttl: int = cache.P
     """
     spark = fetched.sparkSession
     latest = cache.latest_fetch(fetched)
-    earlier = current_cache_before(spark, root, batch_id)
+    earlier = current_cache(spark, root, before=batch_id)
     touched = earlier.join(latest.select("path", "ts"), "path")
     newer = latest.join(earlier.select("path", "fetched_at"), "path", "left").where(
         "fetched_at IS NULL OR ts >= fetched_at"
@@ -63,17 +68,6 @@ def apply_batch(fetched: DataFrame, batch_id: int, root: str, ttl: int = cache.P
     rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
 
-def current_cache_before(spark: SparkSession, root: str, batch_id: int) -> DataFrame:
-    try:
-        log = spark.read.schema(LOG).parquet(f"{root}/batch=*").where(F.col("batch") < batch_id)
-    except AnalysisException:
-        return spark.createDataFrame([], CONTENT_CACHE)
-    latest = log.where("content IS NOT NULL").groupBy("path").agg(
-        F.max_by(F.struct("content", "etag", "fetched_at"), "batch").alias("c")
-    )
-    return latest.select("path", "c.*")
-
-
 def cache_refresh_stream(fetched: DataFrame, root: str, checkpoint: str, ttl: int = cache.PAGE_TTL):
     """Start the refresh: every micro-batch of fetch results is merged into the cache log."""
     return (
@@ -114,11 +108,11 @@ def conformance_windows(checked: DataFrame, width: str = "1 hour", late: str = "
     )
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain a stream into an in-memory table (tests and small reports)."""
+def run_once(stream: DataFrame, target: str, mode: str = "append") -> DataFrame:
+    """Drain what a stream has into parquet under ``target`` and read it back."""
     query = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.format("parquet").outputMode(mode).option("path", f"{target}/rows")
+        .option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{target}/rows")
