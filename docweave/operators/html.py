@@ -8,16 +8,21 @@ the subtree and ``runs[n.lo .. n.hi)`` its text. Nothing here shuffles except
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave import schemas
+from docweave.functions import html_tree
 from docweave.functions.expr import let
 from docweave.functions.html_tree import shredder
 from docweave.functions.text import clean_lines, deprecation_note, strip
 from docweave.session import spread_small
 
+# Executors need no installed copy of the package: the tree builder travels with its tasks.
+cloudpickle.register_pickle_by_value(html_tree)
+
 # Page furniture that is not content.
 CHROME = ("nav", "footer", "script", "style", "header")
 TEXT_CHROME = (*CHROME, ".gatsby-highlight")
