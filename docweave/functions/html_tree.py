@@ -63,6 +63,9 @@ class TreeBuilder(HTMLParser):
         self.child_count: dict[tuple[int, str], int] = {}
         self.buffer: list[str] = []
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not used
+
     # ---- text
 
     def handle_data(self, data):

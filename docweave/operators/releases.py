@@ -45,27 +45,26 @@ def entry_section(section: Column, date: Column) -> Column:
 
 def _rendered(node: Column, drop: int) -> Column:
     """One block element as text; blank elements give an empty string."""
-    text = html.node_text(node, " ", drop)
-    items = F.filter(
-        F.slice(F.col("nodes"), node["ord"] + 2, node["last"] - node["ord"]),
-        lambda c: (c["parent"] == node["ord"]) & (c["tag"] == "li") & html.unmarked(c, drop),
-    )
-    bullets = F.array_join(
-        F.transform(
-            F.filter(F.transform(items, lambda c: html.node_text(c, " ", drop)), lambda t: t != ""),
-            lambda t: F.concat(F.lit("- "), t),
-        ),
-        "\n\n",
-    )
     tag = node["tag"]
-    return (
-        F.when(text == "", F.lit(""))
-        .when(tag.isin("ul", "ol"), bullets)
-        .when(tag == "li", F.concat(F.lit("- "), text))
-        .when(tag.isin("h5", "h6"), F.concat(F.lit("**"), text, F.lit("**")))
-        .when(tag == "pre", F.concat(F.lit("```\n"), text, F.lit("\n```")))
-        .otherwise(text)
-    )
+
+    def bullets() -> Column:
+        items = F.filter(
+            F.slice(F.col("nodes"), node["ord"] + 2, node["last"] - node["ord"]),
+            lambda c: (c["parent"] == node["ord"]) & (c["tag"] == "li") & html.unmarked(c, drop),
+        )
+        texts = F.filter(F.transform(items, lambda c: html.node_text(c, " ", drop)), lambda t: t != "")
+        return F.array_join(F.transform(texts, lambda t: F.concat(F.lit("- "), t)), "\n\n")
+
+    def framed(text: Column) -> Column:
+        return (
+            F.when(text == "", text)
+            .when(tag == "li", F.concat(F.lit("- "), text))
+            .when(tag.isin("h5", "h6"), F.concat(F.lit("**"), text, F.lit("**")))
+            .when(tag == "pre", F.concat(F.lit("```\n"), text, F.lit("\n```")))
+            .otherwise(text)
+        )
+
+    return F.when(tag.isin("ul", "ol"), bullets()).otherwise(let(html.node_text(node, " ", drop), framed))
 
 
 def _in_container(found) -> Column:
@@ -91,7 +90,8 @@ def release_blocks(trees: DataFrame) -> DataFrame:
             siblings,
             lambda n: F.struct(
                 n["ord"].alias("ord"), n["parent"].alias("parent"), n["tag"].alias("tag"),
-                html.node_text(n, "", drop).alias("title"), _rendered(n, drop).alias("body"),
+                F.when(n["tag"].isin("h2", "h3", "h4"), html.node_text(n, "", drop)).alias("title"),
+                F.when(~n["tag"].isin("h2", "h3", "h4"), _rendered(n, drop)).alias("body"),
             ),
         )
 

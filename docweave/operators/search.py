@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from docweave.functions.expr import let
 from docweave.functions.joins import substring_pairs
-from docweave.functions.text import WORD, occurrences, rstrip, strip, tokens
+from docweave.functions.text import occurrences, rstrip, strip, tokens
+from docweave.session import spread_small
 
 # Weights of a hit by place, the passage budget and the result limits.
 TITLE_WEIGHT, TAG_WEIGHT, CONTENT_WEIGHT = 4, 2, 1
@@ -37,25 +38,35 @@ def score_title_tags(docs: DataFrame, query: str) -> DataFrame:
     })
 
 
+def _content_score(terms: Column) -> Column:
+    counts = let(F.lower("content"), lambda text: F.transform(terms, lambda t: occurrences(text, t)))
+    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    return F.coalesce(total, F.lit(0).cast("bigint"))
+
+
 def score_content(docs: DataFrame, query: str) -> DataFrame:
     """Add ``content_score``: occurrences of the query words in the content, 0 without content."""
-    terms = tokens(F.lit(query))
-    counts = F.transform(terms, lambda t: occurrences(F.lower("content"), t))
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, n: acc + n)
-    return docs.withColumn("content_score", F.coalesce(total, F.lit(0).cast("bigint")))
+    return docs.withColumn("content_score", _content_score(tokens(F.lit(query))))
 
 
 def search_top_k(docs: DataFrame, query: str, k: int = DEFAULT_RESULTS) -> DataFrame:
     """Best documents for one query; ties keep catalog order. No words, no rows."""
-    scored = score_content(score_title_tags(docs, query), query)
-    scored = scored.withColumn(
-        "total", total_score(F.col("title_score"), F.col("tag_score"), F.col("content_score"))
+    terms = tokens(F.lit(query))
+    scores = F.struct(
+        _present(terms, F.lower("title")).alias("title_score"),
+        _present(terms, F.lower(F.array_join("tags", " "))).alias("tag_score"),
+        _content_score(terms).alias("content_score"),
     )
+    summed = let(scores, lambda s: F.struct(
+        s["title_score"].alias("title_score"), s["tag_score"].alias("tag_score"), s["content_score"].alias("content_score"),
+        total_score(s["title_score"], s["tag_score"], s["content_score"]).alias("total"),
+    ))
+    # Dropping the misses inside the array keeps the filter from scoring every text twice.
+    hits = F.filter(F.array(summed), lambda s: s["total"] > 0)
     return (
-        scored.where("total > 0")
+        docs.select("doc_id", "title", F.inline(hits))
         .orderBy(F.col("total").desc(), "doc_id")
         .limit(min(k, MAX_RESULTS))
-        .select("doc_id", "title", "title_score", "tag_score", "content_score", "total")
     )
 
 
@@ -73,7 +84,9 @@ def build_postings(docs: DataFrame) -> DataFrame:
         F.struct(F.lit("t").alias("place"), F.col("title").alias("text")),
         F.struct(F.lit("g").alias("place"), F.array_join("tags", " ").alias("text")),
     )
-    words = docs.select("doc_id", F.explode(places).alias("p")).select(
+    words = spread_small(docs.select("doc_id", "title", "tags", "content")).select(
+        "doc_id", F.explode(places).alias("p")
+    ).select(
         "doc_id", "p.place", F.explode(tokens(F.col("p.text"))).alias("word")
     )
     return words.groupBy("word", "doc_id").agg(
@@ -172,9 +185,8 @@ def score_sections(sections: DataFrame, query: str) -> DataFrame:
 
 
 def _count_terms(terms: Column, text: Column) -> Column:
-    return F.aggregate(
-        F.transform(terms, lambda t: occurrences(text, t)), F.lit(0), lambda acc, n: acc + n
-    )
+    counts = let(text, lambda plain: F.transform(terms, lambda t: occurrences(plain, t)))
+    return F.aggregate(counts, F.lit(0), lambda acc, n: acc + n)
 
 
 def paragraphs_of(content: Column) -> Column:

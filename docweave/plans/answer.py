@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators import conformance, search
+from docweave.session import stored
 from docweave.sources.snapshots import read_snapshot
 
 
@@ -15,7 +16,7 @@ def search_with_passages(docs: DataFrame, queries: DataFrame, k: int = search.DE
 
     Ranking works on postings only; contents are joined to the few hits afterwards.
     """
-    postings = search.build_postings(docs) if postings is None else postings
+    postings = stored(search.build_postings(docs)) if postings is None else postings
     hits = search.search_batch(postings, queries, k)
     asked = hits.join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     found = asked.join(docs.select("doc_id", F.col("title"), "content"), "doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +57,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared folder as parquet and read it back.
+
+    Unlike a checkpoint it can be pruned by column, and its size is known to the optimizer.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docweave-tables-")
+    target = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Repartition an input too small to fill the cores; leave a large one where it is.
 

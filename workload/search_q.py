@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docweave.functions.text import tokens
 from docweave.operators import search
 from docweave.plans import answer
+from docweave.session import stored
 from workload.base import register, table
 
 QUERY = "The of src1 une und THE que en"
@@ -93,7 +94,7 @@ SELECT query_id, doc_id, title_score, tag_score, content_score, CAST(total AS BI
 FROM ranked WHERE rank <= 10
 """)
 def search_batch(spark, sf):
-    return search.search_batch(search.build_postings(docs(spark, sf)), queries(spark, sf), 10)
+    return search.search_batch(stored(search.build_postings(docs(spark, sf))), queries(spark, sf), 10)
 
 
 # ---------------------------------------------------------------- sections
