@@ -1,4 +1,8 @@
-"""Join helpers that hold up when one key owns a large share of the rows."""
+"""Join helpers that hold up when one key owns a large share of the rows.
+
+A side is broadcast only after its rows and bytes were measured; beyond the bound the
+join shuffles, with the hot keys of the large side spread out.
+"""
 
 from __future__ import annotations
 
@@ -8,19 +12,32 @@ from pyspark.sql import functions as F
 from docweave.functions.text import substrings
 
 SALTS = 16
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def fits_broadcast(table: DataFrame) -> bool:
+    """Measure a small table, reading no more than one row past the bound."""
+    size = F.length(F.to_json(F.struct(*table.columns))) if table.columns else F.lit(0)
+    measured = table.limit(BROADCAST_ROWS + 1).agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")
+    ).first()
+    return measured["rows"] <= BROADCAST_ROWS and measured["bytes"] <= BROADCAST_BYTES
 
 
 def attach(facts: DataFrame, dimension: DataFrame, keys: list[str], spread: Column, how: str = "left",
            salts: int = SALTS) -> DataFrame:
-    """Join facts to a dimension that has one row per key.
+    """Join facts to a dimension table made from the index.
 
-    Facts of a hot key are spread over ``salts`` tasks by a hash of ``spread``; the
-    dimension is repeated once per salt. No broadcast is forced: Spark broadcasts the
-    dimension by itself when its measured size allows it.
+    A dimension within the measured bound is broadcast and the facts stay where they are.
+    A larger one is joined by shuffle: facts of a hot key are spread over ``salts`` tasks by
+    a hash of ``spread`` and the dimension is repeated once per salt.
     """
+    if fits_broadcast(dimension):
+        return facts.join(F.broadcast(dimension), keys, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def substring_pairs(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
@@ -28,9 +45,15 @@ def substring_pairs(texts: DataFrame, text_col: str, needles: DataFrame, needle_
 
     Exact and free of nested loops: each text is cut into its substrings of the lengths
     that occur among the needles, and those meet the needles by an equi-join. The only
-    thing brought to the driver is the set of needle lengths (one integer per length).
+    thing brought to the driver is the set of needle lengths (one integer per length) and
+    the needles' total size, which decides whether they may be broadcast.
     """
     wanted = needles.select(F.col(needle_col).alias("needle")).where("length(needle) > 0").distinct()
-    sizes = wanted.agg(F.collect_set(F.length("needle")).alias("sizes")).first()["sizes"]
-    pieces = texts.withColumn("needle", F.explode(substrings(F.col(text_col), sorted(sizes))))
-    return pieces.join(wanted, "needle")
+    seen = wanted.agg(
+        F.collect_set(F.length("needle")).alias("sizes"), F.count("*").alias("rows"),
+        F.coalesce(F.sum(F.octet_length("needle")), F.lit(0)).alias("bytes"),
+    ).first()
+    pieces = texts.withColumn("needle", F.explode(substrings(F.col(text_col), sorted(seen["sizes"]))))
+    if seen["rows"] <= BROADCAST_ROWS and seen["bytes"] <= BROADCAST_BYTES:
+        return pieces.join(F.broadcast(wanted), "needle")
+    return pieces.join(wanted.hint("merge"), "needle")

@@ -125,7 +125,8 @@ def search_batch(postings: DataFrame, queries: DataFrame, k: int = DEFAULT_RESUL
     and the other side is small.
     """
     terms = query_terms(queries)
-    hits = postings.join(expand_terms(postings, terms), "word")
+    # The expansion grows with the vocabulary, so it must never be broadcast on an estimate.
+    hits = postings.join(expand_terms(postings, terms).hint("merge"), "word")
     per_token = hits.groupBy("doc_id", "token").agg(
         F.sum(F.col("tf") * F.col("k")).alias("content"),
         F.max("in_title").alias("title"),
