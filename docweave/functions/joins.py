@@ -17,11 +17,9 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(table: DataFrame) -> bool:
-    """Measure a small table, reading no more than one row past the bound."""
-    size = F.length(F.to_json(F.struct(*table.columns))) if table.columns else F.lit(0)
-    measured = table.limit(BROADCAST_ROWS + 1).agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")
-    ).first()
+    """Count a table's rows and bytes: an aggregate with one row per partition to shuffle."""
+    size = F.octet_length(F.to_json(F.struct(*table.columns)))
+    measured = table.agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
     return measured["rows"] <= BROADCAST_ROWS and measured["bytes"] <= BROADCAST_BYTES
 
 

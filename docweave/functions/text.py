@@ -22,7 +22,7 @@ WORD = r"(?U)\w+"
 
 def strip(text: Column) -> Column:
     """Remove whitespace of every kind from both ends."""
-    return F.trim(text, F.lit(WHITESPACE))
+    return F.btrim(text, F.lit(WHITESPACE))
 
 
 def rstrip(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions.expr import let
+from docweave.functions.joins import attach
 from docweave.functions.text import WORD, canonical_path, path_parts, strip
 from docweave.operators import html
 
@@ -34,9 +35,9 @@ def catalog_floor(paths: DataFrame, least: int = MIN_PATHS) -> DataFrame:
     )
 
 
-def resolve_titles(trees: DataFrame, suffix_word: str | None = None) -> DataFrame:
-    """(page_id, url, title): the first h1 if it has text, else the title element without its
-    `` | Vendor`` or `` — Vendor`` suffix, else the path. Other h1s are not tried."""
+def title_in_page(suffix_word: str | None = None) -> Column:
+    """The first h1 if it has text, else the title element without its `` | Vendor`` or
+    `` — Vendor`` suffix, else the path. Other h1s are not tried."""
     def first(tag: str) -> Column:
         return let(
             F.get(F.filter("nodes", lambda n: n["tag"] == tag), F.lit(0)),
@@ -46,9 +47,12 @@ def resolve_titles(trees: DataFrame, suffix_word: str | None = None) -> DataFram
     title = first("title")
     if suffix_word:
         title = strip(F.regexp_replace(title, rf"\s*[|—]\s*{re.escape(suffix_word)}[^\n]*$", ""))
-    return trees.where("error IS NULL").select(
-        "page_id", "url", F.coalesce(first("h1"), title, F.col("url")).alias("title")
-    )
+    return F.coalesce(first("h1"), title, F.col("url"))
+
+
+def resolve_titles(trees: DataFrame, suffix_word: str | None = None) -> DataFrame:
+    """(page_id, url, title) of every readable page."""
+    return trees.where("error IS NULL").select("page_id", "url", title_in_page(suffix_word).alias("title"))
 
 
 def tags_of(path: Column, title: Column, generic: tuple[str, ...] = GENERIC_SEGMENTS) -> Column:
@@ -77,7 +81,7 @@ def merge_curated_tags(catalog: DataFrame, curated: DataFrame) -> DataFrame:
     extra = curated.select(F.col("last_segment").alias("_segment"), F.col("tags").alias("_extra"))
     segment = F.lower(F.element_at(path_parts(F.col("path")), -1))
     keyed = catalog.withColumn("_segment", F.when(F.size(path_parts(F.col("path"))) > 0, segment))
-    merged = keyed.join(extra, "_segment", "left")
+    merged = attach(keyed, extra, ["_segment"], F.col("path"))
     return merged.withColumns({
         "tags": F.when(F.col("_extra").isNotNull(), F.array_sort(F.array_union("tags", "_extra"))).otherwise(F.col("tags")),
         "curated_hit": F.col("_extra").isNotNull(),
@@ -87,7 +91,13 @@ def merge_curated_tags(catalog: DataFrame, curated: DataFrame) -> DataFrame:
 def build_catalog(trees: DataFrame, curated: DataFrame | None = None, suffix_word: str | None = None,
                   generic: tuple[str, ...] = GENERIC_SEGMENTS) -> DataFrame:
     """Canonical path, title and tags per readable page; of equal paths the first page stays."""
-    titled = resolve_titles(trees, suffix_word).withColumn("path", canonical_path(F.col("url")))
+    return catalog_of(resolve_titles(trees, suffix_word), curated, generic)
+
+
+def catalog_of(titles: DataFrame, curated: DataFrame | None = None,
+               generic: tuple[str, ...] = GENERIC_SEGMENTS) -> DataFrame:
+    """The catalog of titles(page_id, url, title)."""
+    titled = titles.withColumn("path", canonical_path(F.col("url")))
     first = titled.groupBy("path").agg(F.min(F.struct("page_id", "title")).alias("e")).select(
         F.col("e.page_id").alias("page_ord"), "path", F.col("e.title").alias("title")
     )
@@ -111,7 +121,8 @@ def lookup_page(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     entries = catalog.groupBy(canonical_path(F.col("path")).alias("key")).agg(
         F.min_by("title", "page_ord").alias("title")
     )
-    return wanted.join(entries.withColumn("known", F.lit(True)), "key", "left").select(
+    # Requests may repeat one path any number of times.
+    return attach(wanted, entries.withColumn("known", F.lit(True)), ["key"], F.monotonically_increasing_id()).select(
         "path", F.col("key").alias("canonical"), F.coalesce("title", "key").alias("title"),
         F.coalesce("known", F.lit(False)).alias("known"),
     )

@@ -18,19 +18,23 @@ _H = F.col
 def extract_endpoints(tables: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """Tables with ``endpoint`` and ``method`` columns; the page's deprecation is inherited.
 
-    ``titles(page_id, title)`` supplies page titles; without it the title is the page's path.
+    Titles come from the tables' own ``title`` column or else from ``titles(page_id, title)``;
+    without either the title is the page's path.
     """
     headers = _H("headers")
+    carried = ("title",) if "title" in tables.columns else ()
     rows = html.bind_columns(
         tables,
         {"path": html.column_of(headers, "endpoint"), "method": html.column_of(headers, "method")},
         required=("path", "method"),
-        keep=("page_note",),
+        keep=("page_note", *carried),
     )
     rows = rows.withColumn("method", F.upper("method")).where(
         F.col("method").isin(*METHODS) & (F.col("path") != "")
     )
-    if titles is None:
+    if carried:
+        rows = rows.withColumn("title", F.coalesce("title", "url"))
+    elif titles is None:
         rows = rows.withColumn("title", F.col("url"))
     else:
         rows = rows.join(titles.select("page_id", "title"), "page_id", "left").withColumn(
@@ -132,11 +136,14 @@ def split_type_cell(cell: Column) -> Column:
     )
 
 
-def extract_schemas(trees: DataFrame) -> DataFrame:
-    """One resource per h2/h3 directly followed by a Property/Type table; rows stay in one array."""
+def extract_schemas(headed: DataFrame) -> DataFrame:
+    """One resource per h2/h3 directly followed by a Property/Type table; rows stay in one array.
+
+    ``headed`` are the tables of :func:`html.heading_tables`.
+    """
     headers = _H("headers")
     tables = (
-        html.heading_tables(trees)
+        headed
         .withColumn("_name", html.column_of(headers, "property"))
         .withColumn("_type", html.column_of(headers, "type"))
         .withColumn("_desc", html.column_of(headers, "description"))

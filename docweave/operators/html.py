@@ -242,24 +242,31 @@ def table_rows(node: Column) -> Column:
     return F.filter(rows, lambda row: (row["row_ord"] == 0) | (F.size(row["cells"]) > 0))
 
 
+def tables_in_page() -> Column:
+    """All pseudo-tables of a tree row: array of (tbl_ord, all_rows)."""
+    return F.transform(
+        F.filter("nodes", _is_table),
+        lambda t: F.struct(t["ord"].alias("tbl_ord"), table_rows(t).alias("all_rows")),
+    )
+
+
+def note_in_page() -> Column:
+    """Deprecation sentence of the page's text outside the chrome, or null."""
+    return let(page_text(mask(CHROME)), deprecation_note)
+
+
 def pseudo_tables(trees: DataFrame) -> DataFrame:
     """Every ``div.table``, nested ones too: (page_id, url, page_note, tbl_ord, headers, rows).
 
     ``page_note`` is the deprecation sentence of the page the table stands on.
     """
-    found = F.transform(
-        F.filter("nodes", _is_table),
-        lambda t: F.struct(t["ord"].alias("tbl_ord"), table_rows(t).alias("all_rows")),
-    )
     pages = trees.where(F.exists("nodes", _is_table))
-    note = let(page_text(mask(CHROME)), deprecation_note)
-    return split_header(pages.select("page_id", "url", note.alias("page_note"), F.inline(found)))
+    return split_header(pages.select("page_id", "url", note_in_page().alias("page_note"), F.inline(tables_in_page())))
 
 
 def page_deprecation(trees: DataFrame) -> DataFrame:
     """Deprecation sentence of each page's text outside the chrome, or null."""
-    note = let(page_text(mask(CHROME)), deprecation_note)
-    return trees.select("page_id", "url", note.alias("deprecation_note"))
+    return trees.select("page_id", "url", note_in_page().alias("deprecation_note"))
 
 
 def split_header(tables: DataFrame) -> DataFrame:
@@ -282,16 +289,15 @@ def table_cells(tables: DataFrame) -> DataFrame:
     )
 
 
-def heading_tables(trees: DataFrame, headings: tuple[str, ...] = ("h2", "h3")) -> DataFrame:
-    """Pseudo-tables whose previous sibling element is a heading, with that heading."""
+def headed_tables_in_page(headings: tuple[str, ...] = ("h2", "h3")) -> Column:
+    """Pseudo-tables right after a heading: array of (tbl_ord, heading, level, all_rows)."""
     def follows(h: Column) -> Column:
         # Nodes are elements only, so the next sibling element sits right after the subtree.
         nxt = F.get("nodes", h["last"] + 1)
         return F.coalesce(_is_table(nxt) & (nxt["parent"] == h["parent"]), F.lit(False))
 
-    heads = F.filter("nodes", lambda n: n["tag"].isin(*headings) & follows(n))
-    found = F.transform(
-        heads,
+    return F.transform(
+        F.filter("nodes", lambda n: n["tag"].isin(*headings) & follows(n)),
         lambda h: F.struct(
             (h["last"] + 1).alias("tbl_ord"),
             node_text(h, "").alias("heading"),
@@ -299,7 +305,11 @@ def heading_tables(trees: DataFrame, headings: tuple[str, ...] = ("h2", "h3")) -
             table_rows(F.get("nodes", h["last"] + 1)).alias("all_rows"),
         ),
     )
-    return split_header(trees.select("page_id", "url", F.inline(found)))
+
+
+def heading_tables(trees: DataFrame) -> DataFrame:
+    """Pseudo-tables whose previous sibling element is a heading, with that heading."""
+    return split_header(trees.select("page_id", "url", F.inline(headed_tables_in_page())))
 
 
 def column_of(headers: Column, *patterns: str, exact: bool = True, allof: bool = False) -> Column:

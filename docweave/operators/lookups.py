@@ -101,9 +101,11 @@ def errors_for_endpoint(endpoints: DataFrame, error_codes: DataFrame, limit: int
     rest = asked.join(lines, "line", "left_anti")
     needed = rest.select("segment").distinct()
     holders = substring_pairs(codes, "endpoint", needed, "segment").withColumnRenamed("needle", "segment")
-    everything = codes.withColumn("segment", F.lit(""))
-    by_segment = _counted(holders, "segment", limit).unionByName(_first_overall(everything, limit))
-    loose = rest.join(by_segment, "segment").withColumn("match", F.lit("segment"))
+    loose = rest.join(_counted(holders, "segment", limit), "segment")
+    total = codes.agg(F.count("*")).scalar()
+    first = _first_overall(codes.select("code", "reason", *POSITION), list(POSITION), ["code", "reason"], limit)
+    every = _with_each(rest.where("segment = ''"), first).withColumn("found", total)
+    loose = loose.unionByName(every).withColumn("match", F.lit("segment"))
     return exact.drop("line", "segment").unionByName(loose.drop("line", "segment"))
 
 
@@ -114,12 +116,18 @@ def _counted(codes: DataFrame, key: str, limit: int) -> DataFrame:
     return first.drop(*POSITION).join(counts, key)
 
 
-def _first_overall(codes: DataFrame, limit: int) -> DataFrame:
-    """Like ``_counted`` for one constant key, without putting all rows in one task."""
-    first = codes.orderBy(*POSITION).limit(limit).select("segment", "code", "reason", *POSITION)
-    rank = F.row_number().over(W.partitionBy("segment").orderBy(*POSITION))
-    counts = codes.groupBy("segment").agg(F.count("*").alias("found"))
-    return first.withColumn("rank", rank).drop(*POSITION).join(counts, "segment")
+def _first_overall(rows: DataFrame, order: list[str], shown: list[str], limit: int) -> Column:
+    """The first ``limit`` rows of a whole table as one small array, for use in another table."""
+    first = rows.orderBy(*order).limit(limit)
+    listed = F.array_sort(F.collect_list(F.struct(*order, F.struct(*shown).alias("item"))))
+    return first.agg(F.transform(listed, lambda r, i: F.struct((i + 1).alias("rank"), r["item"].alias("item")))).scalar()
+
+
+def _with_each(rows: DataFrame, listed: Column) -> DataFrame:
+    """Every row with each element of the array, as columns ``rank`` and the item's own."""
+    return rows.withColumn("_listed", listed).select(*rows.columns, F.inline("_listed")).select(
+        *rows.columns, "rank", "item.*"
+    )
 
 
 # ---------------------------------------------------------------- release notes that mention an endpoint
@@ -154,24 +162,17 @@ def release_mentions(endpoints: DataFrame, changes: DataFrame, limit: int = SHOW
         F.col("e_page_ord").alias("page_ord"), F.col("e_tbl_ord").alias("tbl_ord"),
         F.col("e_row_ord").alias("row_ord"), "method", "path", "rank", "found", "m.*",
     ).join(always, list(POSITION), "left_anti")
-    return named.unionByName(_mentioned_by_all(keyed.where("needle = ''"), texts, entry, limit)).drop("change_ord")
+    releases = texts.groupBy(*entry).agg(_first_change()).select(*entry, "m.*")
+    shown = ["change_ord", "date", "raw_date", "section", "title"]
+    total = releases.agg(F.count("*")).scalar()
+    every = _with_each(keyed.where("needle = ''").drop("needle"), _first_overall(releases, entry, shown, limit))
+    return named.unionByName(every.withColumn("found", total)).drop("change_ord")
 
 
 def _first_change() -> Column:
     return F.min(F.struct("change_ord", "date", "raw_date", "section", "title")).alias("m")
 
 
-def _mentioned_by_all(keyed: DataFrame, texts: DataFrame, entry: list[str], limit: int) -> DataFrame:
-    releases = texts.groupBy(*entry).agg(_first_change()).withColumn("needle", F.lit(""))
-    rank = F.row_number().over(W.partitionBy("needle").orderBy(*entry))
-    first = releases.orderBy(*entry).limit(limit).withColumn("rank", rank)
-    counts = releases.groupBy("needle").agg(F.count("*").alias("found"))
-    listed = first.join(counts, "needle").select("needle", "rank", "found", "m.*")
-    return keyed.join(listed, "needle").select(
-        *POSITION, "method", "path", "rank", "found", "change_ord", "date", "raw_date", "section", "title"
-    )
-
-
 # ---------------------------------------------------------------- profiles and suggestions
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docweave.functions.joins import attach
 from docweave.functions.text import LINE_END, strip
 
 TOPIC_LINE = r"(?md)^## ([^\n]*)(?:\n|\z)"
@@ -44,7 +45,8 @@ def lookup_topics(requests: DataFrame, topics: DataFrame) -> DataFrame:
     """Body of the first topic with the requested key; a blank body counts as not found."""
     first = topics.groupBy("topic_key").agg(F.min_by("body", F.struct("note_id", "ord")).alias("body"))
     asked = requests.select(F.col("topic").alias("requested"), topic_key(F.col("topic")).alias("topic_key"))
-    joined = asked.join(first, "topic_key", "left")
+    # Requests may repeat one topic any number of times.
+    joined = attach(asked, first, ["topic_key"], F.monotonically_increasing_id())
     body = F.nullif("body", F.lit(""))
     return joined.select("requested", "topic_key", body.alias("body"), body.isNotNull().alias("found"))
 

@@ -75,8 +75,8 @@ def _in_container(found) -> Column:
     )
 
 
-def release_blocks(trees: DataFrame) -> DataFrame:
-    """Element siblings of every h2 in the container, rendered: the raw material of entries."""
+def blocks_in_page() -> Column:
+    """Element siblings of every h2 in the container, rendered: array of (ord, parent, tag, title, body)."""
 
     def found(span: Column, drop: int) -> Column:
         scope = F.filter("nodes", lambda n: html.inside(n, span) & html.unmarked(n, drop))
@@ -95,8 +95,12 @@ def release_blocks(trees: DataFrame) -> DataFrame:
             ),
         )
 
-    with_h2 = trees.where(F.exists("nodes", lambda n: n["tag"] == "h2"))
-    return with_h2.select("page_id", "url", F.inline(_in_container(found)))
+    return _in_container(found)
+
+
+def release_blocks(trees: DataFrame) -> DataFrame:
+    """The raw material of entries, one row per block."""
+    return trees.select("page_id", "url", F.inline(blocks_in_page()))
 
 
 def classify_sections(blocks: DataFrame) -> DataFrame:
@@ -171,8 +175,8 @@ def parse_releases(trees: DataFrame) -> DataFrame:
     return collect_changes(classify_sections(release_blocks(trees)))
 
 
-def parse_upcoming(trees: DataFrame) -> DataFrame:
-    """An upcoming-changes page to one undated entry; a page without text gives no row."""
+def upcoming_in_page() -> Column:
+    """Body of an upcoming-changes page: its paragraphs, lists and headings, rendered."""
 
     def found(span: Column, drop: int) -> Column:
         blocks = F.filter(
@@ -183,17 +187,24 @@ def parse_upcoming(trees: DataFrame) -> DataFrame:
         texts = F.filter(F.transform(blocks, lambda n: _rendered(n, drop)), lambda t: t != "")
         return strip(F.array_join(texts, "\n\n"))
 
-    return (
-        trees.where("error IS NULL")
-        .select("page_id", "url", _in_container(found).alias("body"))
-        .where("body <> ''")
-        .select(
-            F.col("page_id").alias("page_ord"), F.lit(0).alias("sec_ord"), F.lit(0).alias("entry_ord"),
-            F.lit(None).cast("date").alias("date"), F.lit("Upcoming").alias("raw_date"),
-            F.lit(UPCOMING).alias("section"),
-            F.array(F.struct(F.lit("Upcoming changes").alias("title"), F.col("body").alias("body"))).alias("changes"),
-            F.col("url").alias("docs_path"),
-        )
+    return _in_container(found)
+
+
+def parse_upcoming(trees: DataFrame) -> DataFrame:
+    """An upcoming-changes page to one undated entry; a page without text gives no row."""
+    return upcoming_entries(trees.where("error IS NULL").select("page_id", "url", upcoming_in_page().alias("body")))
+
+
+def upcoming_entries(bodies: DataFrame) -> DataFrame:
+    """Entries of (page_id, url, body); blank bodies are dropped."""
+    change = F.struct(F.lit("Upcoming changes").alias("title"), F.col("body").alias("body"))
+    # Dropping blanks inside the array keeps the filter from rendering every page twice.
+    changes = let(F.array(change), lambda cs: F.filter(cs, lambda c: c["body"] != ""))
+    return bodies.select("page_id", "url", F.inline(changes)).select(
+        F.col("page_id").alias("page_ord"), F.lit(0).alias("sec_ord"), F.lit(0).alias("entry_ord"),
+        F.lit(None).cast("date").alias("date"), F.lit("Upcoming").alias("raw_date"),
+        F.lit(UPCOMING).alias("section"), F.array(F.struct("title", "body")).alias("changes"),
+        F.col("url").alias("docs_path"),
     )
 
 

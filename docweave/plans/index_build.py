@@ -14,29 +14,50 @@ from docweave.session import cut_lineage
 from docweave.sources import snapshots
 
 
+def page_facts(pages: DataFrame, release_path: str, upcoming_path: str, suffix_word: str | None = None) -> DataFrame:
+    """One row per page with everything the extractors need, in one narrow pass.
+
+    The trees themselves, larger than the pages, never leave the task that built them.
+    """
+    trees = html.shred_html(pages)
+    path = canonical_path(F.col("url"))
+    is_notes = path == canonical_path(F.lit(release_path))
+    is_upcoming = path == canonical_path(F.lit(upcoming_path))
+    tables = html.tables_in_page()
+    return trees.select(
+        "page_id", "url", "error",
+        catalogs.title_in_page(suffix_word).alias("title"),
+        F.when(F.exists("nodes", html._is_table), html.note_in_page()).alias("page_note"),
+        tables.alias("tables"), html.headed_tables_in_page().alias("headed"),
+        F.when(is_notes, releases.blocks_in_page()).alias("blocks"),
+        F.when(is_upcoming, releases.upcoming_in_page()).alias("upcoming"),
+    )
+
+
 def build_index(pages: DataFrame, release_path: str, upcoming_path: str,
                 suffix_word: str | None = None, curated: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All entity tables, the catalog, the parse errors and the checkpointed trees.
+    """All entity tables, the catalog, the parse errors and the checkpointed page facts.
 
-    Pages are parsed once and the trees checkpointed; pseudo-tables are cut out once and
-    checkpointed too. Every extractor then filters its few rows before it shuffles any.
+    Pages are parsed once; what the extractors need from them is checkpointed, which is
+    little for pages without tables. Every extractor then works on its own few rows.
     """
-    trees = cut_lineage(html.shred_html(pages))
-    tables = cut_lineage(html.pseudo_tables(trees))
-    titles = catalogs.resolve_titles(trees, suffix_word)
-    path = canonical_path(F.col("url"))
-    notes = releases.parse_releases(trees.where(path == canonical_path(F.lit(release_path))))
-    upcoming = releases.parse_upcoming(trees.where(path == canonical_path(F.lit(upcoming_path))))
+    facts = cut_lineage(page_facts(pages, release_path, upcoming_path, suffix_word))
+    tables = html.split_header(facts.select("page_id", "url", "title", "page_note", F.inline("tables")))
+    headed = html.split_header(facts.select("page_id", "url", F.inline("headed")))
+    titles = facts.where("error IS NULL").select("page_id", "url", "title")
+    blocks = facts.where("blocks IS NOT NULL").select("page_id", "url", F.inline("blocks"))
+    upcoming = facts.where("error IS NULL AND upcoming IS NOT NULL").select("page_id", "url", F.col("upcoming").alias("body"))
+    notes = releases.collect_changes(releases.classify_sections(blocks))
     return {
-        "trees": trees,
-        "catalog": catalogs.build_catalog(trees, curated, suffix_word),
-        "endpoints": entities.extract_endpoints(tables, titles),
+        "facts": facts,
+        "catalog": catalogs.catalog_of(titles, curated),
+        "endpoints": entities.extract_endpoints(tables),
         "error_codes": entities.extract_error_codes(tables),
         "status_codes": entities.extract_status_codes(tables),
-        "schemas": entities.extract_schemas(trees),
-        "releases": notes.unionByName(upcoming),
+        "schemas": entities.extract_schemas(headed),
+        "releases": notes.unionByName(releases.upcoming_entries(upcoming)),
         "validation_rules": entities.extract_rules(tables),
-        "parse_errors": html.parse_errors(trees),
+        "parse_errors": html.parse_errors(facts),
     }
 
 
@@ -48,7 +69,7 @@ def rebuild(pages: DataFrame, root: str, version: str, now: datetime.datetime, r
     readers stay with the previous version.
     """
     index = build_index(pages, release_path, upcoming_path, **options)
-    trees = index.pop("trees")
+    facts = index.pop("facts")
     spark = pages.sparkSession
     folder = f"{root}/v={version}"
     for name, table in index.items():
@@ -56,7 +77,7 @@ def rebuild(pages: DataFrame, root: str, version: str, now: datetime.datetime, r
     written = {name: spark.read.schema(table.schema).parquet(f"{folder}/{name}") for name, table in index.items()}
     counts = quality.index_summary(written)
     accepted = quality.accept_snapshot(quality.structural_floors(counts)).first()["accepted"]
-    sizes = trees.agg(F.count("*").alias("pages"), F.count_if(F.col("error").isNull()).alias("parsed")).first()
+    sizes = facts.agg(F.count("*").alias("pages"), F.count_if(F.col("error").isNull()).alias("parsed")).first()
     errors = counts.where("entity = 'parse_errors'").first()["n"]
     if not accepted or errors / max(sizes["pages"], 1) >= quality.FAILURE_SHARE:
         return False

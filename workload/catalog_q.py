@@ -62,9 +62,9 @@ def canonical_paths(spark, sf):
     return catalog.canonical_paths(pages(spark, sf), "url")
 
 
-@register("catalog_floor", f"WITH {PATHS_SQL} SELECT CAST(count(DISTINCT path) AS BIGINT) AS found, 50 AS least FROM paths")
+@register("catalog_floor", f"WITH {PATHS_SQL} SELECT CAST(count(DISTINCT path) AS BIGINT) AS found, 20 AS least FROM paths")
 def catalog_floor(spark, sf):
-    return catalog.catalog_floor(catalog.canonical_paths(pages(spark, sf), "url"))
+    return catalog.catalog_floor(catalog.canonical_paths(pages(spark, sf), "url"), 20)
 
 
 @register("resolve_titles", f"SELECT page_id, {TITLE_SQL} AS title FROM pages")

@@ -272,7 +272,7 @@ UNION ALL SELECT p_partkey, p_brand || 'item', 2, 1, 'price', 'Number', FALSE,
 UNION ALL SELECT p_partkey, p_brand || 'item', 2, 2, 'tag', 'Array of tags', NULL, 'first' || chr(10) || 'second', NULL, FALSE FROM part
 """)
 def extract_schemas(spark, sf):
-    fields = entities.schema_fields(entities.extract_schemas(_api(spark, sf)))
+    fields = entities.schema_fields(entities.extract_schemas(html.heading_tables(_api(spark, sf))))
     return fields.select(
         "page_ord", F.col("schema_name").alias("name"), "level", "field_ord", F.col("name").alias("field"), "type", "required",
         "description", "constraints", "deprecated",
