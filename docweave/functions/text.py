@@ -9,14 +9,13 @@ from docweave.functions.expr import let
 
 # The characters a Unicode-aware strip() removes.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 # Line ends besides "\n" that split a text into lines.
-LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 # One whitespace character in a Java pattern, with the same reach as WHITESPACE.
-SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
+SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 WORD = r"(?U)\w+"
 
 
@@ -62,6 +61,14 @@ def contains_fold(text: Column, needle: str) -> Column:
     return F.coalesce(F.contains(F.lower(text), F.lit(needle.lower())), F.lit(False))
 
 
+def title_case(text: Column) -> Column:
+    """Upper-case every letter that follows a non-letter, lower-case the others."""
+    words = F.split(F.lower(text), r"(?<=\P{L})(?=\p{L})")
+    return F.array_join(
+        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), ""
+    )
+
+
 def path_parts(path: Column) -> Column:
     """Non-empty path segments."""
     return F.filter(F.split(path, "/"), lambda part: part != "")
@@ -81,7 +88,7 @@ def url_path(url: Column) -> Column:
 
 # Wording that marks something as on its way out.
 DEPRECATION = (
-    r"(?i)\b(deprecated|will be removed|no longer supported?|sunset|end[- ]of[- ]life)\b"
+    r"(?iU)\b(deprecated|will be removed|no longer supported?|sunset|end[- ]of[- ]life)\b"
 )
 NOTE_LIMIT = 240
 

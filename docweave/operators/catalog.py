@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.expr import let
 from docweave.functions.joins import attach
-from docweave.functions.text import WORD, canonical_path, path_parts, strip
+from docweave.functions.text import WORD, canonical_path, path_parts, strip, title_case
 from docweave.operators import html
 
 # The least number of paths a healthy catalog has, and words not used as tags.
@@ -111,7 +111,7 @@ def list_catalog(catalog: DataFrame) -> DataFrame:
     """Entries in path order with their area: the second path segment in title case."""
     area = F.coalesce(F.get(path_parts(F.col("path")), F.lit(1)), F.lit("root"))
     return catalog.select(
-        F.initcap(F.translate(area, "-_", "  ")).alias("area"), "path", "title"
+        title_case(F.translate(area, "-_", "  ")).alias("area"), "path", "title"
     ).orderBy("path")
 
 

@@ -207,7 +207,7 @@ def extract_rules(tables: DataFrame) -> DataFrame:
 def extract_code_examples(trees: DataFrame, language: str | None = None) -> DataFrame:
     """Code blocks with the heading they stand under, optionally of one language."""
     blocks = html.code_blocks(trees)
-    if language is not None:
+    if language:
         blocks = blocks.where(F.coalesce("language", F.lit("")) == language.lower())
     return html.nearest_heading(trees, blocks).select(
         F.col("page_id").alias("page_ord"), F.col("url").alias("docs_path"), "ord", "language", "code",

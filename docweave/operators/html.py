@@ -358,7 +358,7 @@ def bind_columns(tables: DataFrame, roles: dict[str, Column], required: tuple[st
 
 def code_blocks(trees: DataFrame) -> DataFrame:
     """Non-blank ``pre > code`` blocks: (page_id, url, ord, language, code)."""
-    prefixed = r"^language-([\w+-]+)"
+    prefixed = r"(?U)^language-([\w+-]+)"
     blocks = F.transform(
         F.filter("nodes", lambda n: (n["tag"] == "code") & (F.get("nodes", n["parent"])["tag"] == "pre")),
         lambda n: F.struct(

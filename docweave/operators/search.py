@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from docweave.functions.expr import let
 from docweave.functions.joins import substring_pairs
-from docweave.functions.text import occurrences, rstrip, strip, tokens
+from docweave.functions.text import SPACE, occurrences, rstrip, strip, tokens
 from docweave.session import spread_small
 
 # Weights of a hit by place, the passage budget and the result limits.
 TITLE_WEIGHT, TAG_WEIGHT, CONTENT_WEIGHT = 4, 2, 1
 BUDGET = 2500
 DEFAULT_RESULTS, MAX_RESULTS = 5, 10
-HEADING = r"(?md)^(#{1,6})[\t-\r\x1c-\x20\x85\xa0]+(.+?)[\t-\r\x1c-\x20\x85\xa0]*$"
+HEADING = rf"(?md)^(#{{1,6}}){SPACE}+(.+?){SPACE}*$"
+BLANK_LINE = rf"\n{SPACE}*\n"
 
 
 def total_score(title: Column, tag: Column, content: Column) -> Column:
@@ -191,8 +192,7 @@ def _count_terms(terms: Column, text: Column) -> Column:
 
 
 def paragraphs_of(content: Column) -> Column:
-    space = r"[\t-\r\x1c-\x20\x85\xa0]"
-    return F.filter(F.transform(F.split(content, rf"\n{space}*\n", -1), strip), lambda p: p != "")
+    return F.filter(F.transform(F.split(content, BLANK_LINE, -1), strip), lambda p: p != "")
 
 
 def split_paragraphs(docs: DataFrame) -> DataFrame:
@@ -235,10 +235,12 @@ def select_passages(routed: DataFrame, budget: int = BUDGET) -> DataFrame:
     """
     ranked_by_query = "query" in routed.columns
     if ranked_by_query:
+        # Without a query text every unit counts as a hit and keeps its place.
+        asked = F.coalesce(F.col("query"), F.lit("")) != ""
         scored = let(tokens(F.col("query")), lambda terms: F.transform(
             "units",
             lambda u, i: F.struct(
-                (-_count_terms(terms, u["search_text"])).alias("neg"), i.alias("pos"),
+                F.when(asked, -_count_terms(terms, u["search_text"])).otherwise(-1).alias("neg"), i.alias("pos"),
                 (F.length(u["shown"]) + 2).alias("size"),
             ),
         ))

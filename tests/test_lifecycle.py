@@ -20,7 +20,7 @@ def test_canonical_paths(spark, path, expected):
 
 @pytest.mark.parametrize("text,expected", [
     ("Fine. The field is deprecated now. More.", "The field is deprecated now"), ("undeprecated", None), ("", None),
-    ("It reached end-of-life", "It reached end-of-life"), ("no longer support", None), ("No Longer Supported", "No Longer Supported"), ("x" * 300 + " sunset", "x" * 237 + "...")])
+    ("It reached end-of-life", "It reached end-of-life"), ("no longer support", None), ("No Longer Supported", "No Longer Supported"), ("\u00e9deprecated", None), ("x" * 300 + " sunset", "x" * 237 + "...")])
 def test_deprecation(spark, text, expected):
     assert spark.createDataFrame([(text,)], "t STRING").select(deprecation_note(F.col("t")).alias("d")).first().d == expected
 
@@ -32,6 +32,11 @@ def test_catalog_floor_fails_loudly(spark):
     assert catalog.catalog_floor(paths.unionByName(spark.createDataFrame([("/x",)], "path STRING"))).first().found == 50
 
 
+def test_listing_area_is_in_title_case(spark):
+    rows = spark.createDataFrame([("/docs/3yc-flow_x/a", "t"), ("/a", "r")], "path STRING, title STRING")
+    assert [r.area for r in catalog.list_catalog(rows).collect()] == ["Root", "3Yc Flow X"]
+
+
 def test_tags(spark):
     rows = spark.createDataFrame([("/docs/order-flow/a_b", "The Order of Things, 3YC")], "path STRING, title STRING")
     assert catalog.derive_tags(rows).first().tags == sorted({"order", "flow", "order flow", "a b", "things", "3yc"})

@@ -59,7 +59,7 @@ def test_batch_equals_brute_force(spark, monkeypatch):
 
 CONTENTS = [
     "", "plain only", "intro\n\n# A\n\nbody a\n## B  \nbody b\n", "# One\ntext", "## \nnext line\ntail\n# Z\n", "#no heading\n####### seven\n# yes",
-    "a\r\n# b\r\nc", "\n\n# only heading",
+    "a\r\n# b\r\nc", "\n\n# only heading", "#\u3000wide\xa0\nbody\u2028x\n## y\x1c\n",
 ]
 
 
@@ -128,6 +128,8 @@ def test_passages_equal_the_greedy_loop(spark):
     contents = random_contents(300, 5)
     docs = spark.createDataFrame(list(enumerate(contents)), "doc_id BIGINT, content STRING")
     asked = docs.withColumn("query", F.lit("order the"))
+    blank = {r.doc_id: (r.passage, r.omitted) for r in search.relevant_passages(docs.withColumn("query", F.lit("")), 120).collect()}
+    assert blank == {i: greedy(c, None, 120) for i, c in enumerate(contents)}
     for budget in (40, 120, 2500):
         got = {r.doc_id: (r.passage, r.omitted) for r in search.relevant_passages(asked, budget).collect()}
         lead = {r.doc_id: (r.passage, r.omitted) for r in search.lead_passages(docs, budget).collect()}
