@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.functions.joins import attach
 from docweave.operators import conformance, search
 from docweave.session import stored
 from docweave.sources.snapshots import read_snapshot
@@ -14,12 +15,14 @@ def search_with_passages(docs: DataFrame, queries: DataFrame, k: int = search.DE
                          budget: int = search.BUDGET, postings: DataFrame | None = None) -> DataFrame:
     """Top documents per query with their best passages.
 
-    Ranking works on postings only; contents are joined to the few hits afterwards.
+    Ranking works on postings only. The hits, at most ``k`` per query, are stored and
+    measured, so that they go to the contents and the contents stay where they are.
     """
     postings = stored(search.build_postings(docs)) if postings is None else postings
     hits = search.search_batch(postings, queries, k)
-    asked = hits.join(queries.select("query_id", F.col("text").alias("query")), "query_id")
-    found = asked.join(docs.select("doc_id", F.col("title"), "content"), "doc_id")
+    asked = stored(hits.join(queries.select("query_id", F.col("text").alias("query")), "query_id"))
+    contents = docs.select("doc_id", "title", "content")
+    found = attach(contents, asked, ["doc_id"], F.col("doc_id"), how="inner")
     return search.relevant_passages(found, budget)
 
 

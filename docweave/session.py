@@ -14,9 +14,10 @@ RESULT_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
-# Pages are long strings, so Arrow batches are bounded by a small row count.
+# Pages are long strings, so Arrow batches are bounded by a small row count and by bytes.
 SPEED_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

@@ -16,10 +16,11 @@ LOG = f"{CONTENT_CACHE}, outcome STRING, batch BIGINT"
 # ---------------------------------------------------------------- cache refresh
 
 
-def current_cache(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
+def current_cache(spark: SparkSession, root: str, before: int | None = None,
+                  paths: DataFrame | None = None) -> DataFrame:
     """State of the cache: the row of the latest batch per path in the append-only log.
 
-    With ``before``, batches from that one on are left out.
+    With ``before``, batches from that one on are left out; with ``paths(path)``, all others are.
     """
     try:
         log = spark.read.schema(LOG).parquet(f"{root}/batch=*")
@@ -27,6 +28,8 @@ def current_cache(spark: SparkSession, root: str, before: int | None = None) ->
         return spark.createDataFrame([], CONTENT_CACHE)
     if before is not None:
         log = log.where(F.col("batch") < before)
+    if paths is not None:
+        log = log.join(paths, "path", "left_semi")
     latest = log.where("content IS NOT NULL").groupBy("path").agg(
         F.max_by(F.struct("content", "etag", "fetched_at"), "batch").alias("c")
     )
@@ -42,13 +45,9 @@ def apply_batch(fetched: DataFrame, batch_id: int, root: str, ttl: int = cache.P
     """
     spark = fetched.sparkSession
     latest = cache.latest_fetch(fetched)
-    earlier = current_cache(spark, root, before=batch_id)
-    touched = earlier.join(latest.select("path", "ts"), "path")
-    newer = latest.join(earlier.select("path", "fetched_at"), "path", "left").where(
-        "fetched_at IS NULL OR ts >= fetched_at"
-    )
+    touched = current_cache(spark, root, before=batch_id, paths=latest.select("path"))
     have = F.col("content").isNotNull()
-    both = touched.drop("ts").join(newer.drop("fetched_at"), "path", "full_outer").where("kind IS NOT NULL")
+    both = latest.join(touched, "path", "left").where("fetched_at IS NULL OR ts >= fetched_at")
     age = F.unix_micros("ts") - F.unix_micros("fetched_at")
     outcome = (
         F.when(have & (age < ttl * 1_000_000), "fresh")

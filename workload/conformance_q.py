@@ -212,8 +212,8 @@ SELECT b.id AS body_id, count(*) FILTER (WHERE level = 'error') = 0 AS ok, CAST(
 FROM b LEFT JOIN issues ON body_id = b.id GROUP BY b.id
 """)
 def verdicts(spark, sf):
-    found = conformance.verdicts(bodies(spark, sf), issues(spark, sf))
-    return found.select("body_id", "ok", "errors", "warnings")
+    judged = conformance.judge(bodies(spark, sf), endpoints(spark), schemas(spark), rules(spark))
+    return conformance.verdicts(judged).select("body_id", "ok", "errors", "warnings")
 
 
 @register("issue_report", f"""
