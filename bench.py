@@ -27,6 +27,21 @@ def run(spark, name: str, sf_dir: str) -> float:
     return round(time.time() - start, 3)
 
 
+def rates(spark, sf_dir: str, times: dict[str, float]) -> dict[str, int]:
+    """Items per second where the number of items is known from the tables."""
+    def rows(name: str) -> int:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+
+    items = {
+        "shred_html": ("web_pages", lambda: rows("pages")), "build_index": ("api_pages", lambda: rows("part")),
+        "parse_releases": ("release_pages", lambda: rows("orders")), "validate": ("bodies", lambda: rows("orders")),
+        "search_batch": ("query_document_pairs", lambda: rows("benchmark") * rows("documents")),
+    }
+    return {
+        f"{label}_per_sec": round(count() / times[name]) for name, (label, count) in items.items() if times.get(name)
+    }
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -36,6 +51,7 @@ def main() -> None:
     wanted = sys.argv[1:] or HEADLINE
     times = {name: run(spark, name, sf_dir) for name in wanted}
     print(json.dumps({
+        "rates": rates(spark, sf_dir, times),
         "metric": "total time of headline queries", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions.text import is_deprecated, strip
 from docweave.operators import html
 
+# Request methods that make an endpoint.
 METHODS = ("GET", "POST", "PATCH", "PUT", "DELETE")
 # Source slips in the resources column, wrong and right, applied in order.
 CORRECTIONS = (("Subscription Transfer", "Subscription, Transfer"),)

@@ -32,7 +32,9 @@ LINE_TAGS = ("h1", "h2", "h3", "h4", "h5", "p", "li", "pre", "code", "th", "td")
 OPENERS = {"h1": "\n# ", "h2": "\n## ", "h3": "\n### ", "h4": "\n#### ", "h5": "\n#### ",
            "pre": "\n```\n", "li": "- "}
 CLOSERS = {"h1": "\n", "h2": "\n", "h3": "\n", "h4": "\n", "h5": "\n", "pre": "\n```\n"}
+# Class names that mark a content container, and the language of a code block.
 CONTENT_CLASS = r"(?i)content|main|body"
+CODE_LANGUAGE = r"(?U)^language-([\w+-]+)"
 WHOLE_PAGE = 2**31 - 1
 
 
@@ -358,16 +360,15 @@ def bind_columns(tables: DataFrame, roles: dict[str, Column], required: tuple[st
 
 def code_blocks(trees: DataFrame) -> DataFrame:
     """Non-blank ``pre > code`` blocks: (page_id, url, ord, language, code)."""
-    prefixed = r"(?U)^language-([\w+-]+)"
     blocks = F.transform(
         F.filter("nodes", lambda n: (n["tag"] == "code") & (F.get("nodes", n["parent"])["tag"] == "pre")),
         lambda n: F.struct(
             n["ord"].alias("ord"),
-            F.get(F.filter(n["cls"], lambda c: F.rlike(c, F.lit(prefixed))), F.lit(0)).alias("lang_class"),
+            F.get(F.filter(n["cls"], lambda c: F.rlike(c, F.lit(CODE_LANGUAGE))), F.lit(0)).alias("lang_class"),
             F.array_join(F.transform(runs_of(n), lambda r: r["text"]), "").alias("code"),
         ),
     )
-    language = F.lower(F.regexp_extract("lang_class", prefixed, 1)).alias("language")
+    language = F.lower(F.regexp_extract("lang_class", CODE_LANGUAGE, 1)).alias("language")
     return (
         trees.select("page_id", "url", F.inline(blocks))
         .where(strip(F.col("code")) != "")

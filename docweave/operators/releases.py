@@ -13,6 +13,7 @@ from docweave.functions.joins import substring_pairs
 from docweave.functions.text import is_deprecated, strip
 from docweave.operators import html
 
+# Release sections in report order.
 API_CHANGES, SANDBOX, UPCOMING, EARLIER = "api_changes", "sandbox", "upcoming", "earlier"
 SECTION_ORDER = (API_CHANGES, SANDBOX, UPCOMING, EARLIER)
 

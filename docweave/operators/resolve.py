@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions.joins import attach
 
+# How a request line is written.
 REQUEST_LINE = r"(?iU)^\s*(GET|POST|PATCH|PUT|DELETE)\s+(\S+)\s*$"
 ENDPOINT_ORDER = ("page_ord", "tbl_ord", "row_ord")
 

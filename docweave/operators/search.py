@@ -15,6 +15,7 @@ from docweave.session import spread_small
 TITLE_WEIGHT, TAG_WEIGHT, CONTENT_WEIGHT = 4, 2, 1
 BUDGET = 2500
 DEFAULT_RESULTS, MAX_RESULTS = 5, 10
+# How a heading line and a paragraph break are written.
 HEADING = rf"(?md)^(#{{1,6}}){SPACE}+(.+?){SPACE}*$"
 BLANK_LINE = rf"\n{SPACE}*\n"
 

@@ -135,3 +135,18 @@ def test_passages_equal_the_greedy_loop(spark):
         lead = {r.doc_id: (r.passage, r.omitted) for r in search.lead_passages(docs, budget).collect()}
         assert got == {i: greedy(c, "order the", budget) for i, c in enumerate(contents)}
         assert lead == {i: greedy(c, None, budget) for i, c in enumerate(contents)}
+
+
+def test_substring_pairs_on_long_and_short_texts(spark, monkeypatch):
+    from docweave.functions.joins import substring_pairs
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abc") for _ in range(n)) for n in (0, 3, 60, 64, 65, 300, 511, 512, 513, 3000)] * 2
+    needles = ["a", "abc", "cabca", "aaaaa", "zz", texts[9][250:262], texts[9][505:530], texts[5], texts[9] + "x", ""]
+    left = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING")
+    right = spark.createDataFrame([(n,) for n in needles + ["abc"]], "n STRING")
+    expected = sorted((i, n) for i, t in enumerate(texts) for n in set(needles) if n and n in t)
+    for bound in (200_000, 0):
+        monkeypatch.setattr("docweave.functions.joins.BROADCAST_ROWS", bound)
+        got = sorted((r.id, r.needle) for r in substring_pairs(left, "t", right, "n").collect())
+        assert got == expected

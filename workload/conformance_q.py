@@ -177,8 +177,7 @@ def limit_checks(spark, sf):
     prose = F.expr(PROSE)
     return table(spark, sf, "orders").select(
         "o_orderkey",
-        *[conformance.limit_of(prose, word, chars).cast("bigint").alias(f"{word}_{'chars' if chars else 'value'}")
-          for word in ("max", "min") for chars in (True, False)],
+        *[conformance.limit_of(prose, which).cast("bigint").alias(which) for which in conformance.LIMITS],
     )
 
 
