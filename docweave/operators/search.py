@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions.expr import let
-from docweave.functions.joins import substring_pairs
+from docweave.functions.joins import attach, substring_pairs
 from docweave.functions.text import SPACE, occurrences, rstrip, strip, tokens
 from docweave.session import spread_small
 
@@ -123,8 +123,8 @@ def search_batch(postings: DataFrame, queries: DataFrame, k: int = DEFAULT_RESUL
     """Top ``k`` documents for every row of ``queries(query_id, text)``.
 
     Postings meet the expanded words by equi-join; words no query asks for fall out there.
-    Hot words are evened out by adaptive skew handling, as postings are many rows per word
-    and the other side is small.
+    Hot words are split by adaptive skew handling: the join shuffles (``merge``), is inner and
+    is followed by a shuffle of its own, so a skewed word is divided among tasks.
     """
     terms = query_terms(queries)
     # The expansion grows with the vocabulary, so it must never be broadcast on an estimate.
@@ -134,8 +134,9 @@ def search_batch(postings: DataFrame, queries: DataFrame, k: int = DEFAULT_RESUL
         F.max("in_title").alias("title"),
         F.max("in_tags").alias("tag"),
     )
+    # A common token is in a large share of the documents: terms go to them, or salted if many.
     per_query = (
-        per_token.join(terms, "token")
+        attach(per_token, terms, ["token"], F.col("doc_id"), how="inner")
         .groupBy("query_id", "doc_id")
         .agg(
             F.sum(F.col("title") * F.col("times")).alias("title_score"),

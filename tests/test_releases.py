@@ -64,3 +64,11 @@ def test_feature_status_and_digest(spark, entries):
     assert rows == {"FIRST body": ("Live", "2026-04-09"), "s s": ("In Sandbox", "2026-01-08"), "nothing": ("Not documented", "None")}
     digest = releases.release_digest(changes, datetime.date(2026, 4, 20)).collect()
     assert [(r.section, r.month, r.changes) for r in digest] == [("api_changes", "2026-04", 2)]
+
+
+def test_since_filter_reaches_the_scan(spark, entries, tmp_path):
+    entries.write.parquet(str(tmp_path / "releases"))
+    recent = releases.filter_since(spark.read.parquet(str(tmp_path / "releases")), "2026-03-03").select("raw_date")
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date,2026-03-03)" in plan and "ReadSchema: struct<date:date,raw_date:string>" in plan
+    assert recent.count() == 2

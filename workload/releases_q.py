@@ -74,6 +74,14 @@ def parse_upcoming(spark, sf):
     )
 
 
+@register("rebucket_undated", """
+SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'earlier' ELSE 'sandbox' END AS section FROM orders
+""")
+def rebucket_undated(spark, sf):
+    dated = table(spark, sf, "orders").selectExpr("o_orderkey", "if(o_orderpriority = '5-LOW', NULL, CAST(o_orderdate AS DATE)) AS date")
+    return dated.select("o_orderkey", releases.entry_section(F.lit("sandbox"), F.col("date")).alias("section"))
+
+
 ENTRIES = "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'api_changes' WHEN 'O' THEN 'sandbox' ELSE 'upcoming' END AS section, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS date FROM orders"
 
 
