@@ -16,18 +16,39 @@ LOG = f"{CONTENT_CACHE}, outcome STRING, batch BIGINT"
 # ---------------------------------------------------------------- cache refresh
 
 
+def _read_log(spark: SparkSession, root: str, schema: str, part: str) -> DataFrame | None:
+    """Rows of all ``part=N`` folders with N as a column, so unneeded folders are not read."""
+    try:
+        return spark.read.schema(schema).option("basePath", root).parquet(f"{root}/{part}=*")
+    except AnalysisException:
+        return None
+
+
+def _latest_base(spark: SparkSession, root: str, before: int | None) -> int | None:
+    marks = _read_log(spark, f"{root}/done", "rows BIGINT, base BIGINT", "base")
+    if marks is None:
+        return None
+    if before is not None:
+        marks = marks.where(F.col("base") < before)
+    return marks.agg(F.max("base")).first()[0]
+
+
 def current_cache(spark: SparkSession, root: str, before: int | None = None,
                   paths: DataFrame | None = None) -> DataFrame:
-    """State of the cache: the row of the latest batch per path in the append-only log.
+    """State of the cache: per path the row of the latest batch, from the last compacted base on.
 
     With ``before``, batches from that one on are left out; with ``paths(path)``, all others are.
     """
-    try:
-        log = spark.read.schema(LOG).parquet(f"{root}/batch=*")
-    except AnalysisException:
+    log = _read_log(spark, root, LOG, "batch")
+    if log is None:
         return spark.createDataFrame([], CONTENT_CACHE)
     if before is not None:
         log = log.where(F.col("batch") < before)
+    base = _latest_base(spark, root, before)
+    if base is not None:
+        kept = spark.read.schema(CONTENT_CACHE).parquet(f"{root}/bases/base={base}")
+        kept = kept.withColumns({"outcome": F.lit("kept"), "batch": F.lit(base).cast("bigint")})
+        log = log.where(F.col("batch") > base).unionByName(kept)
     if paths is not None:
         log = log.join(paths, "path", "left_semi")
     latest = log.where("content IS NOT NULL").groupBy("path").agg(
@@ -36,6 +57,17 @@ def current_cache(spark: SparkSession, root: str, before: int | None = None,
     return latest.select("path", "c.*")
 
 
+def compact_cache(spark: SparkSession, root: str, upto: int) -> None:
+    """Fold all batches up to and including ``upto`` into one base table.
+
+    The base counts once its mark is written, so an unfinished one is never read.
+    """
+    state = current_cache(spark, root, before=upto + 1)
+    state.write.mode("overwrite").parquet(f"{root}/bases/base={upto}")
+    written = spark.read.schema(CONTENT_CACHE).parquet(f"{root}/bases/base={upto}")
+    written.agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{root}/done/base={upto}")
+
+
 def apply_batch(fetched: DataFrame, batch_id: int, root: str, ttl: int = cache.PAGE_TTL) -> None:
     """Merge one micro-batch of resolved fetches (path, kind, body, etag, ts) into the cache.
 
@@ -62,7 +94,7 @@ def apply_batch(fetched: DataFrame, batch_id: int, root: str, ttl: int = cache.P
         F.when(replaced, F.col("body")).otherwise(F.col("content")).alias("content"),
         F.when(replaced, F.col("new_etag")).otherwise(F.col("etag")).alias("etag"),
         F.when(replaced | (F.col("outcome") == "revalidated"), F.col("ts")).otherwise(F.col("fetched_at")).alias("fetched_at"),
-        "outcome", F.lit(batch_id).cast("bigint").alias("batch"),
+        "outcome",
     )
     rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 

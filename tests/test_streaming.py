@@ -37,6 +37,9 @@ def test_refresh_by_batches_equals_the_table_form(spark, tmp_path):
         jobs.apply_batch(spark.createDataFrame(rows, FETCHED), number, root)
         jobs.apply_batch(spark.createDataFrame(rows, FETCHED), number, root)  # a repeated batch changes nothing
         assert sorted(map(tuple, jobs.current_cache(spark, root).collect())) == sorted(map(tuple, state.collect()))
+        if number == 1:
+            jobs.compact_cache(spark, root, 1)
+            assert sorted(map(tuple, jobs.current_cache(spark, root).collect())) == sorted(map(tuple, state.collect()))
     final = {r.path: r.content for r in jobs.current_cache(spark, root).collect()}
     assert final == {"/a": "a3", "/b": "b1", "/c": "c1"}
 
