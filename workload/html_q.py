@@ -305,7 +305,22 @@ def extract_code_examples(spark, sf):
     return entities.extract_code_examples(_api(spark, sf), "Json").select("page_ord", "code", "nearby_heading")
 
 
-@register("clean_documents_whole_pages")
+# A paragraph without an end tag stays open to the end of the article and so holds all later text.
+@register("clean_documents_whole_pages", r"""
+WITH body AS (
+  SELECT page_id, regexp_extract(html, '<article><h1>(.*?)</h1>', 1, 's') AS head,
+         string_split(regexp_replace(regexp_replace(html, '^.*?<article><h1>.*?</h1>', '', 's'), '</article>.*$', '', 's'), '<p>')[2:] AS segs
+  FROM pages
+), plain AS (
+  SELECT page_id, head, segs, list_transform(segs, lambda g: array_to_string(list_filter(list_transform(string_split_regex(g, '<[^>]*>'),
+    lambda x: trim(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))), lambda x: x <> ''), ' ')) AS texts
+  FROM body
+)
+SELECT page_id, '# ' || trim(replace(replace(replace(replace(head, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) || chr(10) || chr(10)
+  || array_to_string(list_transform(range(1, len(segs) + 1), lambda i:
+       CASE WHEN contains(segs[i], '</p>') THEN texts[i] ELSE array_to_string(texts[i:], ' ') END), chr(10)) AS content
+FROM plain
+""")
 def clean_documents_whole_pages(spark, sf):
     """Nested text of the raw pages: unclosed paragraphs repeat what they contain."""
     return html.clean_documents(_trees(spark, sf), "nested").select("page_id", "content")
