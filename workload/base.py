@@ -40,3 +40,10 @@ def scratch(spark: SparkSession) -> str:
     if shared:
         return f"{shared.rstrip('/')}/docweave-{uuid.uuid4().hex}"
     return tempfile.mkdtemp(prefix="docweave-")
+
+
+def unescaped(sql: str) -> str:
+    """SQL for the text of a piece of HTML: named references, also one cut off at the end."""
+    for name, char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        sql = f"regexp_replace({sql}, '&{name}(;|$)', '{char}', 'g')"
+    return f"trim({sql})"

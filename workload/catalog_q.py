@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docweave.functions.text import canonical_path, url_path
 from docweave.operators import catalog, html
 from docweave.sources import readers
-from workload.base import register, scratch, table
+from workload.base import register, scratch, table, unescaped
 
 PATH_SQL = "regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', '')"
 CANON_SQL = """CASE WHEN length(s) > 1 THEN rtrim(s, '/') ELSE s END"""
@@ -16,8 +16,7 @@ PATHS_SQL = f"""paths AS (
     SELECT page_id, url, html, CASE WHEN p = '' THEN '/' WHEN starts_with(p, '/') THEN p ELSE '/' || p END AS s
     FROM (SELECT page_id, url, html, {PATH_SQL} AS p FROM pages))
 )"""
-TITLE_SQL = """trim(replace(replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1, 's'),
-  '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"""
+TITLE_SQL = unescaped("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")
 TAGS_SQL = """array_to_string(list_sort(list_distinct(list_concat(
   flatten(list_transform(segs, lambda s: list_filter(string_split_regex(s, '[-_]'), lambda w: length(w) >= 3))),
   list_transform(segs, lambda s: replace(replace(s, '-', ' '), '_', ' ')),

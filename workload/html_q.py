@@ -6,10 +6,17 @@ from pyspark.sql import functions as F
 
 from docweave.functions.text import deprecation_note
 from docweave.operators import entities, html
-from workload.base import register, table
+from workload.base import register, table, unescaped
 from workload.fixtures import api_pages
 
 
+def _sql(text: str) -> str:
+    """Put the SQL of ``unescaped`` in place of UNESCAPED(...)."""
+    for inner in ("regexp_replace(x, '<[^>]*>', '', 'g')", "x", "head"):
+        text = text.replace(f"UNESCAPED({inner})", unescaped(inner))
+    return text
+
+
 def _trees(spark, sf, **options):
     return html.shred_html(table(spark, sf, "pages"), **options)
 
@@ -100,7 +107,7 @@ def clean_documents_nested(spark, sf):
     return html.clean_documents(_api(spark, sf), "nested").select("page_id", "content")
 
 
-@register("clean_documents", r"""
+@register("clean_documents", _sql(r"""
 WITH body AS (
   SELECT page_id, regexp_extract(html, '<article><h1>(.*?)</h1>', 1, 's') AS head,
          regexp_replace(regexp_replace(html, '^.*?<article><h1>.*?</h1>', '', 's'), '</article>.*$', '', 's') AS rest
@@ -109,11 +116,11 @@ WITH body AS (
   SELECT page_id, head, string_split_regex(rest, '</?p>') AS parts FROM body
 )
 SELECT page_id,
-  '# ' || trim(replace(head, '&amp;', '&')) || chr(10) || chr(10) || array_to_string(
-    list_filter(list_transform(parts, lambda x: trim(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))), lambda x: x <> ''),
+  '# ' || UNESCAPED(head) || chr(10) || chr(10) || array_to_string(
+    list_filter(list_transform(parts, lambda x: UNESCAPED(regexp_replace(x, '<[^>]*>', '', 'g'))), lambda x: x <> ''),
     chr(10)) AS content
 FROM flat
-""")
+"""))
 def clean_documents(spark, sf):
     return html.clean_documents(_trees(spark, sf)).select("page_id", "content")
 
@@ -306,21 +313,21 @@ def extract_code_examples(spark, sf):
 
 
 # A paragraph without an end tag stays open to the end of the article and so holds all later text.
-@register("clean_documents_whole_pages", r"""
+@register("clean_documents_whole_pages", _sql(r"""
 WITH body AS (
   SELECT page_id, regexp_extract(html, '<article><h1>(.*?)</h1>', 1, 's') AS head,
          string_split(regexp_replace(regexp_replace(html, '^.*?<article><h1>.*?</h1>', '', 's'), '</article>.*$', '', 's'), '<p>')[2:] AS segs
   FROM pages
 ), plain AS (
   SELECT page_id, head, segs, list_transform(segs, lambda g: array_to_string(list_filter(list_transform(string_split_regex(g, '<[^>]*>'),
-    lambda x: trim(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))), lambda x: x <> ''), ' ')) AS texts
+    lambda x: UNESCAPED(x)), lambda x: x <> ''), ' ')) AS texts
   FROM body
 )
-SELECT page_id, '# ' || trim(replace(replace(replace(replace(head, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) || chr(10) || chr(10)
+SELECT page_id, '# ' || UNESCAPED(head) || chr(10) || chr(10)
   || array_to_string(list_transform(range(1, len(segs) + 1), lambda i:
        CASE WHEN contains(segs[i], '</p>') THEN texts[i] ELSE array_to_string(texts[i:], ' ') END), chr(10)) AS content
 FROM plain
-""")
+"""))
 def clean_documents_whole_pages(spark, sf):
     """Nested text of the raw pages: unclosed paragraphs repeat what they contain."""
     return html.clean_documents(_trees(spark, sf), "nested").select("page_id", "content")
