@@ -217,7 +217,8 @@ def _around(tag: Column, table: dict[str, str]) -> Column:
 # ---------------------------------------------------------------- pseudo-tables
 
 
-def _is_table(node: Column) -> Column:
+def is_table(node: Column) -> Column:
+    """Tables are marked by a class on a div, rows and cells are its nested divs."""
     return (node["tag"] == "div") & F.array_contains(node["cls"], "table")
 
 
@@ -247,7 +248,7 @@ def table_rows(node: Column) -> Column:
 def tables_in_page() -> Column:
     """All pseudo-tables of a tree row: array of (tbl_ord, all_rows)."""
     return F.transform(
-        F.filter("nodes", _is_table),
+        F.filter("nodes", is_table),
         lambda t: F.struct(t["ord"].alias("tbl_ord"), table_rows(t).alias("all_rows")),
     )
 
@@ -262,7 +263,7 @@ def pseudo_tables(trees: DataFrame) -> DataFrame:
 
     ``page_note`` is the deprecation sentence of the page the table stands on.
     """
-    pages = trees.where(F.exists("nodes", _is_table))
+    pages = trees.where(F.exists("nodes", is_table))
     return split_header(pages.select("page_id", "url", note_in_page().alias("page_note"), F.inline(tables_in_page())))
 
 
@@ -296,7 +297,7 @@ def headed_tables_in_page(headings: tuple[str, ...] = ("h2", "h3")) -> Column:
     def follows(h: Column) -> Column:
         # Nodes are elements only, so the next sibling element sits right after the subtree.
         nxt = F.get("nodes", h["last"] + 1)
-        return F.coalesce(_is_table(nxt) & (nxt["parent"] == h["parent"]), F.lit(False))
+        return F.coalesce(is_table(nxt) & (nxt["parent"] == h["parent"]), F.lit(False))
 
     return F.transform(
         F.filter("nodes", lambda n: n["tag"].isin(*headings) & follows(n)),

@@ -27,7 +27,7 @@ def page_facts(pages: DataFrame, release_path: str, upcoming_path: str, suffix_w
     return trees.select(
         "page_id", "url", "error",
         catalogs.title_in_page(suffix_word).alias("title"),
-        F.when(F.exists("nodes", html._is_table), html.note_in_page()).alias("page_note"),
+        F.when(F.exists("nodes", html.is_table), html.note_in_page()).alias("page_note"),
         tables.alias("tables"), html.headed_tables_in_page().alias("headed"),
         F.when(is_notes, releases.blocks_in_page()).alias("blocks"),
         F.when(is_upcoming, releases.upcoming_in_page()).alias("upcoming"),
