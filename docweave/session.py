@@ -40,21 +40,33 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, memory: str = "8
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    spark = tune(builder.getOrCreate())
+    spark = name_local_folder(tune(builder.getOrCreate()))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the cluster's shared folder so several branches can read it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` or one set with ``setCheckpointDir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        raise RuntimeError("No shared folder: set spark.checkpoint.dir, or name one with setCheckpointDir")
+    return folder.rstrip("/")
 
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one
-    (a test) gets a temporary folder.
-    """
+
+def name_local_folder(spark: SparkSession) -> SparkSession:
+    """For tests and local runs: name a temporary folder where none is set. Never does so on a cluster."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and context.master.split("[")[0] == "local":
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="docweave-shared-"))
+    return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the cluster's shared folder so several branches can read it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docweave-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -64,8 +76,7 @@ def stored(df: DataFrame) -> DataFrame:
     Unlike a checkpoint it can be pruned by column, and its size is known to the optimizer.
     """
     spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docweave-tables-")
-    target = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
+    target = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 

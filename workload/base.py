@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.session import tune
+from docweave.session import name_local_folder, shared_folder, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,7 +18,7 @@ def register(name: str, oracle: str | None = None):
 
     def keep(run):
         def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return run(tune(spark), sf_dir)
+            return run(name_local_folder(tune(spark)), sf_dir)
 
         tuned.__doc__ = run.__doc__
         QUERIES[name] = tuned
@@ -35,11 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a query that writes: on the cluster's shared storage if it names one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/docweave-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="docweave-")
+    """A new folder for a query that writes, on the storage that driver and executors share."""
+    return f"{shared_folder(spark)}/docweave-{uuid.uuid4().hex}"
 
 
 def unescaped(sql: str) -> str:
