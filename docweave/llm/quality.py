@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions.expr import let
 
 SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
 # Phrases of page furniture, in lower case: fixed values of the boilerplate rule.
 BOILERPLATE = (
@@ -23,16 +23,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def repeated_words(found: Column) -> Column:
-    """Number of words that lie in a five-word window occurring twice or more among the words ``found``.
+def window_hashes(found: Column) -> Column:
+    """64-bit hashes of all windows of five of the words ``found``, in order."""
+    places = F.sequence(F.lit(0), F.size(found) - WINDOW)
+    hashes = F.transform(places, lambda i: F.xxhash64(*[F.get(found, i + k) for k in range(WINDOW)]))
+    return F.when(F.size(found) >= WINDOW, hashes).otherwise(F.array().cast("array<bigint>"))
 
-    Windows are compared by a 64-bit hash, sorted with their places, so the work is n log n in
-    the length of a text; texts without a repeat are told by the hashes alone.
-    """
 
-    def hashes(w: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(w) - WINDOW)
-        return F.transform(places, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+def repeated_words(hashes: Column) -> Column:
+    """Number of words that lie in a five-word window occurring twice or more, from the windows' hashes.
+
+    Hashes are sorted with their places, so the work is n log n in the length of a text; texts
+    without a repeat are told by the hashes alone.
+    """
 
     def places(pairs: Column) -> Column:
         """Places of repeated windows, in order."""
@@ -44,18 +47,22 @@ def repeated_words(found: Column) -> Column:
         hits = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), twice)
         return F.sort_array(F.transform(hits, lambda k: F.get(pairs, k)["place"]))
 
-    def covered(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("hash"), i.alias("place"))))
-        start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("words"))
-        return F.aggregate(
-            let(pairs, places), start,
-            lambda s, p: F.struct(p.alias("last"), (s["words"] + F.least(F.lit(WINDOW), p - s["last"])).alias("words")),
-        )["words"]
+    pairs = F.array_sort(F.transform(hashes, lambda x, i: F.struct(x.alias("hash"), i.alias("place"))))
+    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("words"))
+    covered = F.aggregate(
+        let(pairs, places), start,
+        lambda s, p: F.struct(p.alias("last"), (s["words"] + F.least(F.lit(WINDOW), p - s["last"])).alias("words")),
+    )["words"]
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered).cast("long")
 
-    def count(h: Column) -> Column:
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))
 
-    return F.when(F.size(found) <= WINDOW, F.lit(0)).otherwise(let(hashes(found), count)).cast("long")
+def with_values(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once, whatever is done with them later.
+
+    They come from a generator of one row: the optimizer neither copies them into later
+    expressions nor pushes a filter on them below, as it does with plain columns.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in values.items()]))))
 
 
 def line_fails(line: Column) -> Column:
@@ -63,10 +70,10 @@ def line_fails(line: Column) -> Column:
 
     A line of white space alone does not fail.
     """
-    solid = F.length(F.translate(line, " \t\n\x0b\x0c\r", ""))
+    solid = F.length(F.regexp_replace(line, SPACE, ""))
     # Punctuation other than what sentences, addresses and numbers hold.
-    odd = F.length(F.regexp_replace(line, r"[\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:?'’\"()@+/_-]", ""))
-    bars = F.length(line) - F.length(F.translate(line, "|»›•", ""))
+    odd = F.length(line) - F.length(F.regexp_replace(line, r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:?'’\"()@+/_-]", ""))
+    bars = F.length(line) - F.length(F.regexp_replace(line, "[|»›•]", ""))
     unmarked = ~line.rlike(r"[.,;:!?…。！？]")
     boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
     navigation = (bars >= 3) & (bars * 4 >= F.size(words(line)) - bars)
@@ -83,22 +90,20 @@ def judge(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
     words and is not kept. Every row is judged on its own, without a shuffle.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    split = docs.withColumns({"_words": words(text), "_lines": F.split(text, "\n")})
+    solid = F.length(F.regexp_replace(text, SPACE, ""))
+    split = with_values(docs, {"_words": words(text), "_lines": F.split(text, "\n"), "word_chars": solid.cast("long")})
+    judged = F.transform("_lines", lambda line: F.struct(line.alias("line"), line_fails(line).alias("failed")))
     full = F.filter("_lines", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    failed = F.transform("_lines", lambda line: F.struct(line.alias("line"), line_fails(line).alias("failed")))
-    counted = split.withColumns({
+    halfway = with_values(split, {"_hashes": window_hashes(F.col("_words")), "_judged": judged, "_full": full})
+    done = with_values(halfway, {
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": let(full, lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")),
-        "_judged": failed,
-    })
-    judged = counted.drop("_words", "_lines").withColumns({
-        "base_failed": (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20),
+        "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": (F.size("_full") - F.size(F.array_distinct("_full"))).cast("long"),
+        "n_repeat_words": repeated_words(F.col("_hashes")),
         "cleaned": F.array_join(F.filter("_judged", lambda x: ~x["failed"])["line"], "\n"),
         "n_lines_failed": F.size(F.filter("_judged", lambda x: x["failed"])).cast("long"),
-    })
-    left = F.length(F.translate("cleaned", " \t\n\x0b\x0c\r", ""))
-    kept = ~F.col("base_failed") & (left >= F.col("word_chars") * F.lit(1.0 - max_lost))
-    return judged.drop("_judged").withColumn("kept", kept)
+    }).drop("_words", "_lines", "_hashes", "_judged", "_full")
+    left = F.length(F.regexp_replace("cleaned", SPACE, ""))
+    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    done = with_values(done, {"base_failed": failed, "_left": left})
+    return done.withColumn("kept", ~F.col("base_failed") & (F.col("_left") >= F.col("word_chars") * F.lit(1.0 - max_lost))).drop("_left")

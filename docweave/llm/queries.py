@@ -70,7 +70,7 @@ covered AS (
 split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM given),
 measured AS (
   SELECT doc_id, line, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS solid,
-    length(regexp_replace(line, '[\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:?''’"()@+/_-]', '', 'g')) AS odd,
+    length(line) - length(regexp_replace(line, '[^\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:?''’"()@+/_-]', '', 'g')) AS odd,
     length(line) - length(regexp_replace(line, '[|»›•]', '', 'g')) AS bars,
     len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n
   FROM split),
@@ -137,8 +137,8 @@ shingles AS (
     SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
       ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * both >= 90 * (x.n + y.n - both)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
 ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT a AS node, a AS seen FROM ways UNION SELECT node, b FROM reach JOIN ways ON seen = a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id
