@@ -40,20 +40,17 @@ def fold_events(events: DataFrame) -> DataFrame:
     upto = Window.partitionBy("conv_id").orderBy("message").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     own = Window.partitionBy("conv_id", "message")
     seq, kind = F.col("seq"), F.col("kind")
+    written = kind.isin(*RESETS, "delta") & (F.col("_cut").isNull() | (seq > F.col("_cut")))
     live = (
         events.withColumn("_cut", F.max(F.when(kind == "regenerate", seq)).over(upto))
-        .withColumn("_set", F.max(F.when(kind.isin(*RESETS) & (F.col("_cut").isNull() | (seq > F.col("_cut"))), seq)).over(own))
-        .where(kind.isin(*RESETS, "delta"))
-        .where(F.col("_cut").isNull() | (seq > F.col("_cut")))
+        .where(written)
+        .withColumn("_set", F.max(F.when(kind.isin(*RESETS), seq)).over(own))
+        .withColumn("_role", F.max_by("role", F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(own))
         .where(F.col("_set").isNull() | (seq >= F.col("_set")))
     )
     part = F.struct(seq, (~kind.isin(*RESETS)).alias("late"), "role", F.coalesce("text", F.lit("")).alias("text"))
-    folded = live.groupBy("conv_id", "message").agg(F.array_sort(F.collect_set(part)).alias("_parts"))
-    roles = F.filter(F.col("_parts.role"), lambda r: r.isNotNull())
-    return folded.select(
-        "conv_id", "message", F.get(roles, F.size(roles) - 1).alias("role"),
-        F.array_join("_parts.text", "").alias("text"),
-    )
+    folded = live.groupBy("conv_id", "message").agg(F.array_sort(F.collect_set(part)).alias("_parts"), F.max("_role").alias("role"))
+    return folded.select("conv_id", "message", "role", F.array_join("_parts.text", "").alias("text"))
 
 
 def render(messages: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:

@@ -82,7 +82,7 @@ def near_earlier(token: np.ndarray, side: np.ndarray, size: np.ndarray, place: n
         a, b = size[rows], size[other]
         need = -(-percent * (a + b) // (100 + percent))
         most = np.minimum(a - place[rows], b - place[other]) + np.minimum(place[rows], place[other])
-        apart = np.bitwise_count(sketch[rows] ^ sketch[other]).astype(np.int64)
+        apart = np.bitwise_count((sketch[rows] ^ sketch[other]).view(np.uint64)).astype(np.int64)
         good = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (most >= need) & (a + b - 2 * need >= apart)
         good &= (side[rows] != side[other]) | (side[rows] < 0)
         found.append((rows[good], other[good]))
