@@ -132,15 +132,15 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int =
             yield pa.RecordBatch.from_arrays(
                 [pa.array([doc[k] for k, _ in where], pa.int64()), pa.array([n for _, n in where], pa.int32()),
                  pa.array(sizes.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(sketch),
-                 pa.ListArray.from_arrays(offsets, pa.array(tokens[at].view(np.int64))),
+                 pa.ListArray.from_arrays(offsets, pa.array((tokens[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                  pa.array((frequent[ends_p] - frequent[ends_p - prefix]).astype(np.int32))],
                 names=["doc_id", "line", "size", "key", "sketch", "prefix", "frequent"])
 
-    shape = "doc_id long, line int, size int, key binary, sketch long, prefix array<long>, frequent int"
+    shape = "doc_id long, line int, size int, key binary, sketch long, prefix array<int>, frequent int"
     lines = stored(texts.mapInArrow(summary, shape))
-    first = F.min(F.struct("doc_id", "line")).alias("first")
-    classes = lines.groupBy("key").agg(first, *[F.first(c).alias(c) for c in ("size", "sketch", "prefix", "frequent")])
-    classes = stored(classes.select("key", "first.doc_id", "first.line", "size", "sketch", "prefix", "frequent"))
+    at = ["doc_id", "line"]
+    firsts = stored(lines.groupBy("key").agg(F.min(F.struct(*at)).alias("first")).select("key", "first.*"))
+    classes = lines.drop("key").join(firsts.select(*at), at, "left_semi")
 
     spread = classes.select("doc_id", "line", "size", "sketch", "frequent", F.size("prefix").alias("n"), F.posexplode("prefix").alias("place", "token"))
     row = ["token", "i", "j", "side", "doc_id", "line", "size", "place", "sketch"]
@@ -162,12 +162,13 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def compare(held: pa.Table) -> pa.RecordBatch:
                 c = {name: held[name].to_numpy() for name in held.column_names}
-                token = c["token"] ^ (c["i"].astype(np.int64) << 40) ^ (c["j"].astype(np.int64) << 20)
+                token = c["token"].astype(np.int64) ^ (c["i"].astype(np.int64) << 40) ^ (c["j"].astype(np.int64) << 52)
                 a, b = near_earlier(token, c["side"], c["size"].astype(np.int64), c["place"].astype(np.int64), c["sketch"],
                                     percent, c["open"] if marked else None)
                 other = (c["doc_id"][a] != c["doc_id"][b]) | (c["line"][a] != c["line"][b])
                 a, b = a[other], b[other]
-                return pa.RecordBatch.from_arrays([pa.array(c[n][k]) for k in (a, b) for n in ("doc_id", "line")], names=pair.names)
+                apart = np.bitwise_count((c["sketch"][a] ^ c["sketch"][b]).view(np.uint64)).astype(np.int32)
+                return pa.RecordBatch.from_arrays([*(pa.array(c[n][k]) for k in (a, b) for n in at), pa.array(apart)], names=[*pair.names, "apart"])
 
             held: list[pa.RecordBatch] = []
             for batch in batches:
@@ -185,7 +186,12 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int =
                 yield compare(pa.Table.from_batches(held).combine_chunks())
 
         order = ["token", "i", "j", "doc_id", "line"]
-        return rows.repartition("token", "i", "j").sortWithinPartitions(*order).mapInArrow(run, pair).distinct()
+        found = rows.repartition("token", "i", "j").sortWithinPartitions(*order).mapInArrow(run, StructType([*pair.fields, *StructType.fromDDL("apart int").fields]))
+        if marked:
+            return found.select(*pair.names).distinct()
+        # In the first round the closest candidate of each line, by its sketch.
+        best = F.min_by(F.struct("doc_id_", "line_"), F.struct("apart", "doc_id_", "line_")).alias("best")
+        return found.groupBy(*at).agg(best).select(*at, "best.doc_id_", "best.line_")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Sets of the lines (doc_id, line), made again from their texts."""
@@ -204,7 +210,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int =
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "line", "ids"])
 
-        numbers = wanted.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+        # Stored, so that a small one is broadcast by its known size and the texts stay where they are.
+        numbers = stored(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
         return texts.join(numbers, "doc_id").select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, line int, ids binary")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -224,7 +231,6 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int =
         both = left.join(right, ["doc_id_", "line_"]).select(*pair.names, "x", "y")
         return stored(both.mapInArrow(run, StructType([*pair.fields, *StructType.fromDDL("alike boolean").fields])))
 
-    at = ["doc_id", "line"]
     pairs = stored(candidates(spread, False))
     judged = verified(pairs)
     alike = judged.where("alike").select(*at).distinct()
@@ -236,7 +242,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int =
         rest = stored(rest.join(pairs, pair.names, "left_anti"))
         alike = alike.union(verified(rest).where("alike").select(*at).distinct())
 
-    gone = classes.select("key", *at).join(alike.withColumn("gone", F.lit(True)), at, "left")
+    gone = firsts.join(alike.withColumn("gone", F.lit(True)), at, "left")
     gone = gone.select("key", F.col("doc_id").alias("doc_id_"), F.col("line").alias("line_"), F.coalesce("gone", F.lit(False)).alias("gone"))
     later = (F.col("doc_id") != F.col("doc_id_")) | (F.col("line") != F.col("line_"))
     removed = lines.select("key", *at).join(gone, "key").where(F.col("gone") | later)
