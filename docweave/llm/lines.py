@@ -17,6 +17,9 @@ from docweave.session import stored
 BUCKET_BITS = 18
 # Lines of one token that meet in one task; more are cut into blocks that meet in pairs.
 BLOCK = 2000
+# Words of a parity sketch, and the tokens up to which a line keeps all of it folded into the first.
+SKETCH = 4
+FOLDED = 48
 BUFFER = 200_000
 
 
@@ -65,6 +68,27 @@ def ordered_sets(hashes: np.ndarray, sizes: np.ndarray, frequency: np.ndarray) -
     return hashes[new], often[new], np.bincount(line[new], minlength=len(sizes))
 
 
+def sketches(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Parity sketch of each line: every token turns one of 256 bits over. Rows of ``SKETCH`` words."""
+    starts = np.cumsum(sizes) - sizes
+    spots = (mix(tokens) & np.uint64(64 * SKETCH - 1)).astype(np.int64)
+    out = np.zeros((len(sizes), SKETCH), np.uint64)
+    if len(starts):
+        bits = np.left_shift(np.uint64(1), (spots & 63).astype(np.uint64))
+        for k in range(SKETCH):
+            out[:, k] = np.bitwise_xor.reduceat(np.where(spots >> 6 == k, bits, np.uint64(0)), starts)
+    short = sizes <= FOLDED
+    out[short, 0], out[short, 1:] = np.bitwise_xor.reduce(out[short], axis=1), 0
+    return out
+
+
+def bits_apart(a: np.ndarray, b: np.ndarray, folded: np.ndarray) -> np.ndarray:
+    """Bits in which sketches differ; where one of the two is folded, both are. Never more than tokens that differ."""
+    turned = a ^ b
+    whole = np.bitwise_count(turned).astype(np.int64).sum(1)
+    return np.where(folded, np.bitwise_count(np.bitwise_xor.reduce(turned, axis=1)).astype(np.int64), whole)
+
+
 def near_earlier(token: np.ndarray, side: np.ndarray, size: np.ndarray, place: np.ndarray, sketch: np.ndarray,
                  percent: int, all_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (row, earlier row) of the same token that may be similar; rows come by token, then in order of lines.
@@ -82,9 +106,11 @@ def near_earlier(token: np.ndarray, side: np.ndarray, size: np.ndarray, place: n
         a, b = size[rows], size[other]
         need = -(-percent * (a + b) // (100 + percent))
         most = np.minimum(a - place[rows], b - place[other]) + np.minimum(place[rows], place[other])
-        apart = np.bitwise_count((sketch[rows] ^ sketch[other]).view(np.uint64)).astype(np.int64)
-        good = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (most >= need) & (a + b - 2 * need >= apart)
+        good = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (most >= need)
         good &= (side[rows] != side[other]) | (side[rows] < 0)
+        left = np.flatnonzero(good)
+        apart = bits_apart(sketch[rows[left]], sketch[other[left]], np.minimum(a[left], b[left]) <= FOLDED)
+        good[left] = (a + b - 2 * need)[left] >= apart
         found.append((rows[good], other[good]))
         d += 1
         rows = (rows if all_of is not None else rows[~good])
@@ -109,6 +135,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int =
     verified on the sets; lines whose candidates fail get all theirs in a second round.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    words = [f"sketch{k}" for k in range(SKETCH)]
     shared = docs.sparkSession.sparkContext.broadcast(word_frequencies(texts, least))
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +148,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int =
             ends = np.cumsum(sizes)
             starts = ends - sizes
             prefix = sizes - -(-percent * sizes // 100) + 1
-            cells = np.left_shift(np.uint64(1), mix(tokens) & np.uint64(63))
-            sketch = np.bitwise_xor.reduceat(cells, starts).view(np.int64) if len(starts) else np.zeros(0, np.int64)
+            sketch = sketches(tokens, sizes).view(np.int64)
             at = np.repeat(starts - (np.cumsum(prefix) - prefix), prefix) + np.arange(prefix.sum())
             offsets = pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32))
             frequent = np.r_[0, np.cumsum(often[at] > block)]
@@ -131,19 +157,19 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int =
             keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([doc[k] for k, _ in where], pa.int64()), pa.array([n for _, n in where], pa.int32()),
-                 pa.array(sizes.astype(np.int32)), pa.array(keys, pa.binary()), pa.array(sketch),
+                 pa.array(sizes.astype(np.int32)), pa.array(keys, pa.binary()), *(pa.array(sketch[:, k]) for k in range(SKETCH)),
                  pa.ListArray.from_arrays(offsets, pa.array((tokens[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                  pa.array((frequent[ends_p] - frequent[ends_p - prefix]).astype(np.int32))],
-                names=["doc_id", "line", "size", "key", "sketch", "prefix", "frequent"])
+                names=["doc_id", "line", "size", "key", *words, "prefix", "frequent"])
 
-    shape = "doc_id long, line int, size int, key binary, sketch long, prefix array<int>, frequent int"
+    shape = f"doc_id long, line int, size int, key binary, {', '.join(f'{w} long' for w in words)}, prefix array<int>, frequent int"
     lines = stored(texts.mapInArrow(summary, shape))
     at = ["doc_id", "line"]
     firsts = stored(lines.groupBy("key").agg(F.min(F.struct(*at)).alias("first")).select("key", "first.*"))
     classes = lines.drop("key").join(firsts.select(*at), at, "left_semi")
 
-    spread = classes.select("doc_id", "line", "size", "sketch", "frequent", F.size("prefix").alias("n"), F.posexplode("prefix").alias("place", "token"))
-    row = ["token", "i", "j", "side", "doc_id", "line", "size", "place", "sketch"]
+    spread = classes.select("doc_id", "line", "size", *words, "frequent", F.size("prefix").alias("n"), F.posexplode("prefix").alias("place", "token"))
+    row = ["token", "i", "j", "side", "doc_id", "line", "size", "place", *words]
     zero = F.lit(0)
     rare = spread.where(F.col("place") < F.col("n") - F.col("frequent"))
     rare = rare.withColumns({"i": zero, "j": zero, "side": F.lit(-1)}).select(row)
@@ -163,11 +189,11 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int =
             def compare(held: pa.Table) -> pa.RecordBatch:
                 c = {name: held[name].to_numpy() for name in held.column_names}
                 token = c["token"].astype(np.int64) ^ (c["i"].astype(np.int64) << 40) ^ (c["j"].astype(np.int64) << 52)
-                a, b = near_earlier(token, c["side"], c["size"].astype(np.int64), c["place"].astype(np.int64), c["sketch"],
-                                    percent, c["open"] if marked else None)
+                size, sketch = c["size"].astype(np.int64), np.column_stack([c[w] for w in words]).view(np.uint64)
+                a, b = near_earlier(token, c["side"], size, c["place"].astype(np.int64), sketch, percent, c["open"] if marked else None)
                 other = (c["doc_id"][a] != c["doc_id"][b]) | (c["line"][a] != c["line"][b])
                 a, b = a[other], b[other]
-                apart = np.bitwise_count((c["sketch"][a] ^ c["sketch"][b]).view(np.uint64)).astype(np.int32)
+                apart = bits_apart(sketch[a], sketch[b], np.minimum(size[a], size[b]) <= FOLDED).astype(np.int32)
                 return pa.RecordBatch.from_arrays([*(pa.array(c[n][k]) for k in (a, b) for n in at), pa.array(apart)], names=[*pair.names, "apart"])
 
             held: list[pa.RecordBatch] = []
