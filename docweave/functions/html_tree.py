@@ -34,6 +34,8 @@ _NAMED = {name: chr(code) for code, name in codepoint2name.items()}
 
 def _char(code: int) -> str:
     """Character of a numeric reference; 128-159 follow Windows-1252, bad ones are U+FFFD."""
+    if code < 0 or 0xD800 <= code < 0xE000:  # half a pair is no character
+        return "\N{REPLACEMENT CHARACTER}"
     if code < 256:
         try:
             return bytes([code]).decode("windows-1252")
@@ -63,6 +65,14 @@ class TreeBuilder(HTMLParser):
         self.child_count: dict[tuple[int, str], int] = {}
         self.buffer: list[str] = []
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Skip a declaration of an unknown kind, like any other; the base class gives up on it."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else -1
+
     def updatepos(self, i, j):
         return j  # line numbers are not used
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 # Statuses worth another try, and how often to try.
 TRANSIENT_STATUS = (408, 425, 429, 500, 502, 503, 504)
-MAX_ATTEMPTS = 3
 
 
 def classify(status: Column, error_kind: Column) -> Column:
@@ -37,23 +36,20 @@ def slash_variants(paths: DataFrame) -> DataFrame:
 
 
 def resolve_fetch(attempts: DataFrame) -> DataFrame:
-    """One row per path: the last of at most three tries of the first variant that is not a 404.
+    """One row per path: the last try of the first variant, in order, that does not end in a 404, else of the last one.
 
-    The second variant counts only when the first one ended in a 404. A single aggregate
-    with map-side combine finds both ends; no group is ever sorted.
+    Every logged try and variant counts. Two aggregates with map-side combine find the ends of
+    the variants and then of the paths; no group is ever sorted.
     """
-    labelled = classify_attempts(attempts).where(F.col("attempt_no") <= MAX_ATTEMPTS)
     row = F.struct("variant_no", "attempt_no", "status", "error_kind", "etag", "body", "ts", "kind")
-
-    def end_of(variant: int) -> Column:
-        mine = F.col("variant_no") == variant
-        return F.max_by(F.when(mine, row), F.when(mine, F.col("attempt_no")))
-
-    ends = labelled.groupBy("path").agg(end_of(0).alias("first"), end_of(1).alias("second"))
-    settled = F.when(F.col("first.kind") != "not_found", F.col("first")).otherwise(F.coalesce("second", "first"))
+    labelled = classify_attempts(attempts)
+    variants = labelled.groupBy("path", "variant_no").agg(F.max_by(row, F.col("attempt_no")).alias("end"))
+    settled = F.when(F.col("end.kind") != "not_found", F.col("variant_no"))
+    ends = variants.groupBy("path").agg(
+        F.coalesce(F.min_by("end", settled), F.max_by("end", "variant_no")).alias("r")
+    )
     return (
-        ends.select("path", settled.alias("r"))
-        .select("path", "r.*")
+        ends.select("path", "r.*")
         .withColumn("ok", F.col("kind").isin("ok", "not_modified"))
     )
 

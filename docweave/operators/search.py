@@ -14,7 +14,7 @@ from docweave.session import spread_small
 # Weights of a hit by place, the passage budget and the result limits.
 TITLE_WEIGHT, TAG_WEIGHT, CONTENT_WEIGHT = 4, 2, 1
 BUDGET = 2500
-DEFAULT_RESULTS, MAX_RESULTS = 5, 10
+DEFAULT_RESULTS = 5
 # How a heading line and a paragraph break are written.
 HEADING = rf"(?md)^(#{{1,6}}){SPACE}+(.+?){SPACE}*$"
 BLANK_LINE = rf"\n{SPACE}*\n"
@@ -68,7 +68,7 @@ def search_top_k(docs: DataFrame, query: str, k: int = DEFAULT_RESULTS) -> DataF
     return (
         docs.select("doc_id", "title", F.inline(hits))
         .orderBy(F.col("total").desc(), "doc_id")
-        .limit(min(k, MAX_RESULTS))
+        .limit(k)
     )
 
 
@@ -147,7 +147,7 @@ def search_batch(postings: DataFrame, queries: DataFrame, k: int = DEFAULT_RESUL
         .where("total > 0")
     )
     best = W.partitionBy("query_id").orderBy(F.col("total").desc(), "doc_id")
-    return per_query.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= min(k, MAX_RESULTS))
+    return per_query.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 # ---------------------------------------------------------------- sections and paragraphs

@@ -158,3 +158,11 @@ def test_deeply_nested_page_is_linear(shred):
     page = "<p>x" * 20000
     assert html.node_table(shred(page)).count() == 20000
     assert clean(shred(page), "leaf").count("x") == 20000
+
+
+def test_odd_references_and_declarations_do_not_fail(shred):
+    pages = ["<p>&#55357;&#56832;</p>", "<p>&#99999999999999999999;</p>", "<p>a</p><![foo bar]><p>b</p>", "<p>&#x110000;&#-1;</p>"]
+    rows = shred(*pages).orderBy("page_id").collect()
+    assert [r.error for r in rows] == [None] * 4
+    text = ["".join(run.text for run in r.runs) for r in rows]
+    assert text[0] == "\ufffd\ufffd" and text[2] == "ab" and "\ufffd" in text[1]

@@ -45,7 +45,8 @@ def test_tags(spark):
 ATTEMPTS = [
     ("ok", 0, 1, 200, None), ("swap", 0, 1, 404, None), ("swap", 1, 1, 200, None), ("gone", 0, 1, 404, None), ("gone", 1, 1, 404, None),
     ("retry", 0, 1, 502, None), ("retry", 0, 2, 200, None), ("same", 0, 1, 304, None), ("down", 0, 1, None, "timeout"), ("down", 1, 1, 200, None),
-    ("late", 0, 1, 503, None), ("late", 0, 2, 404, None), ("late", 1, 1, 200, None), ("many", 0, 3, 500, None), ("many", 0, 4, 200, None)]
+    ("late", 0, 1, 503, None), ("late", 0, 2, 404, None), ("late", 1, 1, 200, None), ("many", 0, 3, 500, None), ("many", 0, 4, 200, None),
+    ("third", 0, 1, 404, None), ("third", 1, 1, 404, None), ("third", 2, 5, 200, None), ("only", 2, 4, 404, None)]
 
 
 def test_fetch_resolution(spark):
@@ -53,9 +54,9 @@ def test_fetch_resolution(spark):
     resolved = fetchlog.resolve_fetch(spark.createDataFrame(rows, layouts.ATTEMPTS))
     kinds = {r.path: (r.variant_no, r.kind) for r in resolved.collect()}
     assert kinds == {"ok": (0, "ok"), "swap": (1, "ok"), "gone": (1, "not_found"), "retry": (0, "ok"), "same": (0, "not_modified"),
-                     "down": (0, "transient"), "late": (1, "ok"), "many": (0, "transient")}
+                     "down": (0, "transient"), "late": (1, "ok"), "many": (0, "ok"), "third": (2, "ok"), "only": (2, "not_found")}
     good, bad = fetchlog.split_results(resolved, ("MARKER",))
-    assert {r.path for r in bad.collect()} == {"gone", "down", "many", "swap"} and good.count() == 4
+    assert {r.path for r in bad.collect()} == {"gone", "down", "only", "swap"} and good.count() == 6
 
 
 @pytest.fixture

@@ -150,3 +150,8 @@ def test_substring_pairs_on_long_and_short_texts(spark, monkeypatch):
         monkeypatch.setattr("docweave.functions.joins.BROADCAST_ROWS", bound)
         got = sorted((r.id, r.needle) for r in substring_pairs(left, "t", right, "n").collect())
         assert got == expected
+
+
+def test_more_results_than_ten_are_given(spark):
+    docs = spark.createDataFrame([(k, f"apple {k}", ["t"], "apple") for k in range(30)], "doc_id BIGINT, title STRING, tags ARRAY<STRING>, content STRING")
+    assert search.search_top_k(docs, "apple", 25).count() == 25
