@@ -16,9 +16,13 @@ from docweave.session import stored
 
 DIMENSIONS = 64
 LEAF = 16
+# Bits of a parity sketch.
+PARITY = 1024
 RATIO = 1.5
 # Documents of a cell that meet in one task; larger cells are cut into blocks that meet in pairs.
 BLOCK = 256
+# Candidates per member up to which a block lists its pairs; one with more is searched with its sets.
+LISTED = 4
 REMEMBERED = 1_000_000
 
 
@@ -113,6 +117,12 @@ def counts_of(ids: np.ndarray) -> np.ndarray:
     return np.bincount((ids >> np.uint64(7)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS).astype(np.int32)
 
 
+def parity_of(ids: np.ndarray) -> np.ndarray:
+    """Parity sketch: every shingle turns one bit over, so sets that differ in d shingles differ in at most d bits."""
+    spots = (mix(ids) >> np.uint64(20)) % np.uint64(PARITY)
+    return np.packbits(np.bincount(spots.astype(np.int64), minlength=PARITY) & 1).view(np.uint64)
+
+
 class Similar:
     """Exact test of two sets with the count bound before it."""
 
@@ -123,6 +133,10 @@ class Similar:
         """Whether an overlap, or a bound of it, is enough for the joint size of two sets."""
         return (100 + self.percent) * overlap >= self.percent * sizes
 
+    def near(self, apart, sizes):
+        """Whether sets whose sketches are so many bits apart may be similar."""
+        return (100 + self.percent) * (sizes - apart) >= 2 * self.percent * sizes
+
     def __call__(self, a: np.ndarray, b: np.ndarray) -> bool:
         small, large = (a, b) if len(a) <= len(b) else (b, a)
         if not len(small):
@@ -194,11 +208,32 @@ def spanning_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray,
     return links
 
 
+def listed_pairs(points: np.ndarray, parity: np.ndarray, sizes: np.ndarray, label: np.ndarray, side: np.ndarray,
+                 similar: Similar, most: int = LISTED) -> list[tuple[int, int]] | None:
+    """Pairs of different label whose count bound and sketches suffice, or None if there are over ``most`` per member.
+
+    ``side``: with two blocks in the group only pairs across them are looked at.
+    """
+    across = side.min() != side.max()
+    inside = np.flatnonzero(side == side.min())
+    tree = RTree(points[inside], sizes[inside])
+    pairs = []
+    for q in np.flatnonzero(side == side.max()).tolist():
+        found = inside[tree.search(points[q], sizes[q], similar)]
+        found = found[(label[found] != label[q]) & (across | (found < q))]
+        apart = np.bitwise_count(parity[found] ^ parity[q]).astype(np.int64).sum(1)
+        found = found[similar.near(apart, sizes[found] + sizes[q])]
+        pairs += [(q, p) for p in found.tolist()]
+        if len(pairs) > most * len(label):
+            return None
+    return pairs
+
+
 def _numbers(values: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(v, np.uint64) for v in values.to_pylist()]
 
 
-def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: int = BLOCK) -> DataFrame:
+def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: int = BLOCK, listed: int = LISTED) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, for links of Jaccard ``percent`` or more.
 
     A document's set is its distinct shingles of ``width`` words; with fewer words the whole
@@ -209,7 +244,9 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
     more are looked at, cells of the same members once. Each member is first held against the
     smallest member of its cell: count bound, then the sets. Cells whose members are still in
     several components are searched by R-trees of count vectors, in blocks, for links between
-    components. Every step returns links along which components grow, never all pairs.
+    components. A block lists its candidates if they are few per member, and a pair listed by many
+    cells is verified once, if parity sketches of the two allow it; a block with more candidates is searched again with the sets at hand.
+    Every step returns links along which components grow, never all pairs.
     """
     similar = Similar(percent)
 
@@ -254,25 +291,64 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for a, b in zip(_numbers(batch.column(2)), _numbers(batch.column(3))):
-                bound = np.minimum(counts_of(a), counts_of(b)).sum()
-                good.append(bool(similar.may(int(bound), len(a) + len(b))) and similar(a, b))
+            good = [similar(a, b) for a, b in zip(_numbers(batch.column(2)), _numbers(batch.column(3)))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    firsts = members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    both = firsts.join(sets.select(F.col("node").alias("a"), F.col("ids").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("ids").alias("y")), "b").select("a", "b", "x", "y")
-    direct = stored(both.mapInArrow(check, "a long, b long"))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _numbers(batch.column(1))
+            counts = [counts_of(s) for s in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in found], pa.int32()),
+                 pa.array([c.astype(np.uint16 if c.max() < 1 << 16 else np.int32).tobytes() for c in counts], pa.binary()),
+                 pa.array([parity_of(s).tobytes() for s in found], pa.binary())], names=["node", "size", "point", "parity"])
+
+    def points_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        short = 2 * DIMENSIONS
+        return np.array([np.frombuffer(x, np.uint16 if len(x) == short else np.int32).astype(np.int32) for x in column.to_pylist()])
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                c = dict(zip(batch.schema.names, batch.columns))
+                sizes = c["size_a"].to_numpy().astype(np.int64) + c["size_b"].to_numpy()
+                good = similar.may(np.minimum(points_of(c["point_a"]), points_of(c["point_b"])).sum(1), sizes)
+                parity = [np.array(_numbers(c[x])) for x in ("parity_a", "parity_b")]
+                good &= similar.near(np.bitwise_count(parity[0] ^ parity[1]).astype(np.int64).sum(1), sizes)
+                yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(pa.array(good))
+
+    points = stored(sets.mapInArrow(counted, "node long, size int, point binary, parity binary"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sets are similar."""
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("ids").alias("x")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("ids").alias("y")), "b").select("a", "b", "x", "y")
+        return stored(both.mapInArrow(check, "a long, b long"))
+
+    firsts = stored(members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    ends = [points.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in points.columns]) for x in "ab"]
+    direct = linked(firsts.join(ends[0], "a").join(ends[1], "b").mapInArrow(bounded, "a long, b long"))
     nodes = members.select("node").distinct()
     label = stored(components(nodes, direct))
 
-    labelled = members.select("cell", "node", "members").join(label, "node")
+    labelled = members.select("cell", "node").join(label, "node")
     mixed = labelled.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     parts = F.ceil(F.col("size") / block).cast("int")
     open_cells = labelled.join(mixed.select("cell", "size"), "cell").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    meets = open_cells.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(
-        "node", "component", "cell", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+    meets = stored(open_cells.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(
+        "node", "component", "cell", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
+
+    def candidates(group: pa.Table) -> pa.Table:
+        node = group["node"].to_numpy()
+        at = np.argsort(node, kind="stable")
+        points, parity = points_of(group["point"])[at], np.array(_numbers(group["parity"]))[at]
+        sizes, label, side = (group[c].to_numpy()[at] for c in ("size", "component", "part"))
+        pairs = listed_pairs(points, parity, sizes.astype(np.int64), label, side, similar, listed)
+        dense, node = pairs is None, node[at]
+        ends = [sorted((int(node[q]), int(node[p])), reverse=True) for q, p in pairs or []] or [[None, None]] * dense
+        n = len(ends)
+        return pa.table({"a": pa.array([x[0] for x in ends], pa.int64()), "b": pa.array([x[1] for x in ends], pa.int64()),
+                         **{c: pa.array(group[c][:1].to_pylist() * n, t) for c, t in (("cell", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))}})
 
     def search(group: pa.Table) -> pa.Table:
         node, label = group["node"].to_numpy(), group["component"].to_numpy()
@@ -282,7 +358,13 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
         a, b = ([int(node[at[link[k]]]) for link in links] for k in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    more = stored(meets.join(sets, "node").groupBy("cell", "i", "j").applyInArrow(search, "a long, b long"))
+    blocks = ["cell", "i", "j"]
+    found = stored(meets.join(points, "node").groupBy(*blocks).applyInArrow(candidates, "a long, b long, cell long, i int, j int"))
+    more = linked(found.where("a is not null").select("a", "b").distinct().join(firsts, ["a", "b"], "left_anti"))
+    dense = found.where("a is null").select(*blocks)
+    if not dense.isEmpty():
+        again = meets.join(dense, blocks, "left_semi").join(sets, "node")
+        more = more.union(stored(again.groupBy(*blocks).applyInArrow(search, "a long, b long")))
     final = components(nodes, direct.union(more))
     known = classes.select("key", "node", "least").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = stored(known.select("key", "least", "component"))

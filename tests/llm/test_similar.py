@@ -51,9 +51,9 @@ def near_texts(seed, families=12, size=7):
     return [None, "", "  \n", "one", "One", "one two", "ONE two", "one two three", *texts, *texts[:5], "long " * 3000, "long " * 3001]
 
 
-def check_groups(spark, texts, percent, width, block):
+def check_groups(spark, texts, percent, width, block, listed=overlap.LISTED):
     docs = spark.createDataFrame([(k, t, "k", k) for k, t in enumerate(texts)], "doc_id long, text string, key string, node long").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in overlap.jaccard_groups(docs, percent, width, block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in overlap.jaccard_groups(docs, percent, width, block, listed).collect()}
     sets = [shingles(t, width) for t in texts]
     links = [(a, b) for b in range(len(texts)) for a in range(b) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     label = closure(range(len(texts)), links)
@@ -68,6 +68,20 @@ def test_jaccard_groups_in_small_blocks_and_at_a_lower_bound(spark):
     check_groups(spark, near_texts(2, 6, 14), 80, 5, 4)
 
 
+def test_blocks_of_many_candidates_are_searched_with_their_sets(spark):
+    check_groups(spark, near_texts(3, 6, 14), 80, 3, 16, listed=0)
+
+
+def test_parity_sketches_never_part_similar_sets():
+    rnd = np.random.default_rng(5)
+    similar = overlap.Similar(80)
+    for n in (3, 40, 700, 5000):
+        a = np.unique(rnd.integers(0, 2**63, n, dtype=np.int64)).view(np.uint64)
+        b = np.unique(np.r_[a[n // 10 :], rnd.integers(0, 2**63, n // 10, dtype=np.int64).view(np.uint64)])
+        apart = int(np.bitwise_count(overlap.parity_of(a) ^ overlap.parity_of(b)).sum())
+        assert apart <= len(np.setxor1d(a, b)) and similar(a, b) and similar.near(apart, len(a) + len(b))
+
+
 def test_cells_are_shared_by_all_similar_sets():
     rnd = random.Random(4)
     for percent in (90, 80):
