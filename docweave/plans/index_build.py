@@ -62,24 +62,26 @@ def build_index(pages: DataFrame, release_path: str, upcoming_path: str,
 
 
 def rebuild(pages: DataFrame, root: str, version: str, now: datetime.datetime, release_path: str,
-            upcoming_path: str, **options) -> bool:
-    """Build, write as a snapshot version, check the floors and the failure rate.
+            upcoming_path: str, least_paths: int = catalogs.MIN_PATHS, **options) -> bool:
+    """Check the catalog floor, build, write to a new folder, check the floors and the failure rate.
 
-    Returns whether the new version was accepted. A rejected one gets no manifest, so
-    readers stay with the previous version.
+    Returns whether the new version was accepted; fewer than ``least_paths`` paths fail the job before
+    a page is parsed. A failed or rejected build gets no manifest, also under the name of a
+    published version, so readers stay with what was published before.
     """
+    catalogs.catalog_floor(pages.select(canonical_path(F.col("url")).alias("path")).distinct(), least_paths).collect()
     index = build_index(pages, release_path, upcoming_path, **options)
     facts = index.pop("facts")
     spark = pages.sparkSession
-    folder = f"{root}/v={version}"
+    folder = snapshots.new_folder(version)
     for name, table in index.items():
-        table.write.mode("overwrite").parquet(f"{folder}/{name}")
-    written = {name: spark.read.schema(table.schema).parquet(f"{folder}/{name}") for name, table in index.items()}
+        table.write.parquet(f"{root}/{folder}/{name}")
+    written = {name: spark.read.schema(table.schema).parquet(f"{root}/{folder}/{name}") for name, table in index.items()}
     counts = quality.index_summary(written)
     accepted = quality.accept_snapshot(quality.structural_floors(counts)).first()["accepted"]
     sizes = facts.agg(F.count("*").alias("pages"), F.count_if(F.col("error").isNull()).alias("parsed")).first()
     errors = counts.where("entity = 'parse_errors'").first()["n"]
     if not accepted or errors / max(sizes["pages"], 1) >= quality.FAILURE_SHARE:
         return False
-    snapshots.write_manifest(spark, folder, version, now, sizes["pages"], sizes["parsed"])
+    snapshots.write_manifest(spark, root, folder, version, now, sizes["pages"], sizes["parsed"])
     return True

@@ -72,30 +72,15 @@ def apply_batch(fetched: DataFrame, batch_id: int, root: str, ttl: int = cache.P
     """Merge one micro-batch of resolved fetches (path, kind, body, etag, ts) into the cache.
 
     Only paths of the batch are merged and only their new rows are written, into a folder
-    named by the batch, so a repeated batch overwrites itself. The time of the fetch is the
-    "now" of its path; results older than the stored state change nothing.
+    named by the batch, so a repeated batch overwrites itself. The fetches of a path are folded in
+    order of time (``cache.refreshed``), so the state is the same however a log is cut into
+    batches. Rows that leave an entry as it was carry no content.
     """
     spark = fetched.sparkSession
-    latest = cache.latest_fetch(fetched)
-    touched = current_cache(spark, root, before=batch_id, paths=latest.select("path"))
-    have = F.col("content").isNotNull()
-    both = latest.join(touched, "path", "left").where("fetched_at IS NULL OR ts >= fetched_at")
-    age = F.unix_micros("ts") - F.unix_micros("fetched_at")
-    outcome = (
-        F.when(have & (age < ttl * 1_000_000), "fresh")
-        .when(F.col("kind") == "ok", "replaced")
-        .when(have & (F.col("kind") == "not_modified"), "revalidated")
-        .when(have, "stale")
-        .otherwise("error")
-    )
-    replaced = F.col("outcome") == "replaced"
-    rows = both.withColumn("outcome", outcome).select(
-        "path",
-        F.when(replaced, F.col("body")).otherwise(F.col("content")).alias("content"),
-        F.when(replaced, F.col("new_etag")).otherwise(F.col("etag")).alias("etag"),
-        F.when(replaced | (F.col("outcome") == "revalidated"), F.col("ts")).otherwise(F.col("fetched_at")).alias("fetched_at"),
-        "outcome",
-    )
+    paths = cache.keyed(fetched).where("path IS NOT NULL").select("path").distinct()
+    rows = cache.refreshed(current_cache(spark, root, before=batch_id, paths=paths), fetched, ttl)
+    changed = F.col("outcome").isin("replaced", "revalidated") | (F.col("content").isNotNull() & (F.col("outcome") != "fresh"))
+    rows = rows.withColumn("content", F.when(changed, F.col("content")))
     rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
 
 

@@ -1,4 +1,5 @@
 import datetime
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,22 @@ def test_refresh_cases(spark, stored):
                     "/failed": ("stale", "x", "4"), "/none": ("error", None, None), "/first": ("replaced", "one", None)}
 
 
+def test_fetches_count_in_order_of_time(spark, stored):
+    def at(hours):
+        return NOW + datetime.timedelta(hours=hours)
+
+    fetched = spark.createDataFrame([
+        ("/a", "transient", None, None, at(1)), ("/a", "ok", "a", "1", at(0)), ("/b", "ok", "late", "9", at(30)), ("/b", "ok", "b", "1", at(0)),
+        ("/b", "ok", "soon", "2", at(5)), ("/c", "not_modified", None, None, at(0)), ("/c", "ok", None, "1", at(1)), ("/fresh", "ok", "n", "2", at(99)),
+        ("/failed", "transient", None, None, at(0)), ("/failed", "not_modified", None, None, at(1)), ("/d", "ok", "x", "1", at(0)), ("/d", "ok", "y", "2", at(0)),
+        (None, "ok", "z", "1", at(0))], FETCHED)
+    rows = {r.path: (r.outcome, r.content, r.etag, r.fetched_at) for r in cache.refresh_merge(stored, fetched, NOW).collect()}
+    assert rows["/a"] == ("replaced", "a", "1", at(0)) and rows["/b"] == ("replaced", "late", "9", at(30))
+    assert rows["/c"] == ("error", None, None, None) and rows["/fresh"][:3] == ("fresh", "f", "1")
+    assert rows["/failed"][:2] == ("revalidated", "x") and rows["/failed"][3] == at(1) and rows["/d"][1:3] == ("y", "2")
+    assert None not in rows and cache.refresh_merge(stored.limit(0), fetched.limit(0), NOW).count() == 0
+
+
 def test_cache_upkeep(spark, stored):
     batch = spark.createDataFrame([("stale", 1, "a"), ("/stale/", 2, "b"), ("/new", 1, "n")], "path STRING, seq INT, content STRING")
     rows = {r.path: (r.content, r.etag) for r in cache.put_many(stored, batch, NOW).collect()}
@@ -103,6 +120,12 @@ def test_snapshot_versions(spark, tmp_path):
     read = snapshots.read_snapshot(spark, root, ("t",))
     assert read["t"].first().n == 2 and read["manifest"].first().pages_parsed == 7
     assert snapshots.read_snapshot(spark, root, ("absent",)) is None
+    # The same name again: the later write counts; where its tables are damaged, the one before.
+    again = snapshots.write_snapshot({"t": one}, root, "4", NOW + datetime.timedelta(hours=1))
+    assert snapshots.read_snapshot(spark, root, ("t",))["t"].first().n == 1
+    for part in pathlib.Path(again, "t").glob("*.parquet"):
+        part.write_bytes(b"damaged")
+    assert snapshots.read_snapshot(spark, root, ("t",))["t"].first().n == 2
 
 
 def test_guarded_overwrite(spark, tmp_path):
@@ -166,9 +189,12 @@ def test_rebuild_accepts_and_rejects(spark, tmp_path):
         + "".join(f"<h2>S{i}</h2>" + table(("Property", "Type"), [("id", "String<br>Required")]) for i in range(6))
     )
     pages = spark.createDataFrame([(1, "/docs/a", page), (2, "/notes", "<h2>API changes</h2><h3>May 1, 2024</h3><p>x</p>")], layouts.PAGES)
-    assert index_build.rebuild(pages, root, "1", NOW, "/notes", "/notes/up")
+    with pytest.raises(Exception, match="catalog has only 2 paths"):
+        index_build.rebuild(pages, root, "0", NOW, "/notes", "/notes/up")
+    assert index_build.rebuild(pages, root, "1", NOW, "/notes", "/notes/up", least_paths=2)
     thin = spark.createDataFrame([(1, "/docs/a", "<p>nothing</p>")], layouts.PAGES)
-    assert not index_build.rebuild(thin, root, "2", NOW + datetime.timedelta(days=1), "/notes", "/notes/up")
+    for version in ("2", "1"):
+        assert not index_build.rebuild(thin, root, version, NOW + datetime.timedelta(days=1), "/notes", "/notes/up", least_paths=1)
     read = snapshots.read_snapshot(spark, root, ("endpoints", "releases"))
     assert read["endpoints"].count() == 12 and read["releases"].count() == 1
     bodies = spark.createDataFrame([(1, "POST /v3/e3", "{}")], "body_id BIGINT, endpoint STRING, body STRING")

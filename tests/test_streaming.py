@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from docweave import schemas as layouts
 from docweave.operators import cache
@@ -44,6 +45,28 @@ def test_refresh_by_batches_equals_the_table_form(spark, tmp_path):
     assert final == {"/a": "a3", "/b": "b1", "/c": "c1"}
 
 
+def test_any_cut_of_a_log_gives_the_same_cache(spark, tmp_path):
+    rnd = random.Random(4)
+    log = sorted(
+        ((f"/p{rnd.randrange(6)}", kind := rnd.choice(["ok", "not_modified", "transient", "permanent"]), f"b{k}" if kind == "ok" else None, f"e{k}", at(rnd.randrange(200)))
+         for k in range(120)), key=lambda r: r[4])
+    state = {}
+    order = {"ok": 0, "not_modified": 1, "transient": 2, "permanent": 2}
+    for path, kind, body, etag, ts in sorted(log, key=lambda r: (r[4], order[r[1]], [-ord(c) for c in r[2] or ""])):
+        content, _, since = old = state.get(path, (None, None, None))
+        if content is None or ts - since >= datetime.timedelta(days=1):
+            state[path] = (body, etag, ts) if kind == "ok" else (*old[:2], ts) if kind == "not_modified" and content else old
+    expected = sorted((p, *s) for p, s in state.items() if s[0] is not None)
+    times = sorted({r[4] for r in log})
+    for cuts in ([], [times[len(times) // 2]], [times[len(times) // 5], times[len(times) // 2], times[-3]]):
+        root = str(tmp_path / f"log{len(cuts)}")
+        edges = [times[0], *cuts, times[-1] + datetime.timedelta(hours=1)]
+        for number, (low, high) in enumerate(zip(edges, edges[1:])):
+            part = [r for r in log if low <= r[4] < high]
+            jobs.apply_batch(spark.createDataFrame(part, FETCHED), number, root)
+        assert sorted(map(tuple, jobs.current_cache(spark, root).collect())) == expected
+
+
 def test_validate_stream_equals_batch(spark, tmp_path):
     source = str(tmp_path / "bodies")
     bodies = conformance_q.bodies(spark, "/root/testdata/sf0.001")

@@ -113,23 +113,32 @@ def stored(spark, sf):
 
 
 def fetched(spark, sf):
-    """Several results per path; the latest is the one of the largest order key."""
+    """Several results per path, in order of the order key, over days."""
     return table(spark, sf, "orders").selectExpr(
         "concat('c/', o_custkey, '/') AS path",
         "CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'not_modified' ELSE 'transient' END AS kind",
         "if(o_orderstatus = 'F', concat('new ', o_orderkey), NULL) AS body", "if(o_orderstatus = 'F', concat('n', o_orderkey), NULL) AS etag",
-        "timestamp_micros(1705752000000000 + o_orderkey * 1000000) AS ts")
+        "timestamp_micros(1705752000000000 + o_orderkey * 10000000) AS ts")
 
 
 REFRESH_SQL = """
-WITH last AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
-b AS (SELECT coalesce(c_custkey, o_custkey) AS k, c_custkey IS NOT NULL AS have, c_nationkey * 2 < 24 AS young, c_name, c_nationkey, o_orderkey, o_orderstatus AS st
-  FROM customer FULL JOIN last ON o_custkey = c_custkey),
-r AS (SELECT *, CASE WHEN have AND young THEN 'fresh' WHEN st = 'F' THEN 'replaced' WHEN have AND st = 'O' THEN 'revalidated' WHEN have THEN 'stale' ELSE 'error' END AS outcome FROM b)
-SELECT '/c/' || k AS path, outcome, CASE WHEN outcome = 'replaced' THEN 'new ' || o_orderkey ELSE c_name END AS content,
-  CASE WHEN outcome = 'replaced' THEN 'n' || o_orderkey WHEN have THEN 'e' || c_nationkey END AS etag,
-  CAST(CASE WHEN outcome IN ('replaced', 'revalidated') THEN 1705752000 + o_orderkey WHEN have THEN 1705752000 - c_nationkey * 7200 END AS BIGINT) AS fetched
-FROM r
+WITH RECURSIVE f AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderstatus AS st, 1705752000 + o_orderkey * 10 AS ts,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+s AS (
+  SELECT coalesce(c_custkey, k) AS k, CAST(0 AS BIGINT) AS n, c_name AS content, 'e' || c_nationkey AS etag,
+    CAST(1705752000 - c_nationkey * 7200 AS BIGINT) AS fetched, coalesce(c_nationkey * 2 < 24, FALSE) AS young, FALSE AS touched, CAST(NULL AS VARCHAR) AS outcome
+  FROM customer FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) ON k = c_custkey
+  UNION ALL
+  SELECT k, n, CASE WHEN o = 'replaced' THEN 'new ' || id ELSE content END, CASE WHEN o = 'replaced' THEN 'n' || id ELSE etag END,
+    CASE WHEN o IN ('replaced', 'revalidated') THEN ts ELSE fetched END, young, touched OR o IN ('replaced', 'revalidated'),
+    CASE WHEN o = 'fresh' THEN coalesce(outcome, o) ELSE o END
+  FROM (SELECT s.k, f.n, content, etag, fetched, young, touched, outcome, id, ts,
+      CASE WHEN content IS NOT NULL AND (young OR (touched AND ts - fetched < 86400)) THEN 'fresh' WHEN st = 'F' THEN 'replaced'
+        WHEN content IS NOT NULL AND st = 'O' THEN 'revalidated' WHEN content IS NOT NULL THEN 'stale' ELSE 'error' END AS o
+    FROM s JOIN f ON f.k = s.k AND f.n = s.n + 1))
+SELECT '/c/' || k AS path, coalesce(outcome, CASE WHEN young THEN 'fresh' WHEN content IS NOT NULL THEN 'stale' ELSE 'error' END) AS outcome,
+  content, etag, CAST(fetched AS BIGINT) AS fetched
+FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1
 """
 
 
@@ -224,6 +233,29 @@ def build_index(spark, sf):
     return quality.index_summary({name: index[name] for name in names})
 
 
+@register("rebuild", """
+SELECT version, entity, CASE entity WHEN 'error_codes' THEN 2 * n ELSE n END AS n
+FROM (SELECT 'first' AS version, CAST(count(*) AS BIGINT) AS n FROM part),
+  (VALUES ('endpoints'), ('error_codes'), ('status_codes'), ('schemas'), ('catalog'), ('validation_rules')) AS e(entity)
+""")
+def rebuild(spark, sf):
+    """A build is accepted; two later ones, under its own and under another name, are rejected; readers keep the first."""
+    root, pages = scratch(spark), api_pages(spark, sf)
+    empty = pages.withColumn("html", F.lit("<p>nothing</p>"))
+    days = [datetime.datetime(2024, 1, 1) + datetime.timedelta(days=k) for k in range(3)]
+    done = [index_build.rebuild(p, root, v, day, "/notes", "/notes/upcoming")
+            for p, v, day in ((pages, "first", days[0]), (empty, "first", days[1]), (empty, "second", days[2]))]
+    if done != [True, False, False]:
+        raise AssertionError(f"accepted: {done}")
+    names = ("endpoints", "error_codes", "status_codes", "schemas", "catalog", "validation_rules")
+    read = snapshots.read_snapshot(spark, root, names)
+    counts = [read[name].agg(F.count("*").alias("n")).withColumn("entity", F.lit(name)) for name in names]
+    rows = counts[0]
+    for more in counts[1:]:
+        rows = rows.unionByName(more)
+    return rows.withColumn("version", F.lit(read["manifest"].first()["version"])).select("version", "entity", "n")
+
+
 @register("capture_parse_errors", "SELECT '/docs/' || lower(p_type) || '/' || p_partkey || '/' AS path, 'no content' AS error FROM part WHERE p_size = 7")
 def capture_parse_errors(spark, sf):
     from docweave.operators import html

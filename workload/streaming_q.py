@@ -15,14 +15,23 @@ def _stream(spark, sf, name):
 
 
 @register("cache_refresh_stream", """
-WITH last AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
-SELECT '/c/' || o_custkey AS path, 'page ' || o_orderkey AS content, 'e' || o_orderpriority AS etag FROM last WHERE o_orderstatus = 'F'
+WITH RECURSIVE f AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderstatus AS st, o_orderpriority AS prio, o_orderkey * 10 AS ts,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+s AS (
+  SELECT DISTINCT k, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS content, CAST(NULL AS VARCHAR) AS etag, CAST(NULL AS BIGINT) AS fetched FROM f
+  UNION ALL
+  SELECT s.k, f.n,
+    CASE WHEN st = 'F' AND (content IS NULL OR ts - fetched >= 86400) THEN 'page ' || id ELSE content END,
+    CASE WHEN st = 'F' AND (content IS NULL OR ts - fetched >= 86400) THEN 'e' || prio ELSE etag END,
+    CASE WHEN st = 'F' AND content IS NULL THEN ts WHEN st IN ('F', 'O') AND ts - fetched >= 86400 THEN ts ELSE fetched END
+  FROM s JOIN f ON f.k = s.k AND f.n = s.n + 1)
+SELECT '/c/' || k AS path, content, etag FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1) WHERE content IS NOT NULL
 """)
 def cache_refresh_stream(spark, sf):
     fetched = _stream(spark, sf, "orders").selectExpr(
         "concat('c/', o_custkey, '/') AS path", "CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'not_modified' ELSE 'permanent' END AS kind",
         "if(o_orderstatus = 'F', concat('page ', o_orderkey), NULL) AS body", "concat('e', o_orderpriority) AS etag",
-        "timestamp_seconds(o_orderkey) AS ts")
+        "timestamp_seconds(o_orderkey * 10) AS ts")
     target = scratch(spark)
     jobs.cache_refresh_stream(fetched, f"{target}/log", f"{target}/state").awaitTermination()
     return jobs.current_cache(spark, f"{target}/log").select("path", "content", "etag")
