@@ -38,11 +38,13 @@ def read_pages(spark, sf):
     return readers.read_pages(spark, f"{sf}/pages.parquet").select("page_id", "url", F.length("html").alias("n"))
 
 
-@register("split_failed", "SELECT '/p/' || p_partkey AS path, 'no content' AS error FROM part WHERE p_size > 40")
+@register("split_failed", "SELECT '/p/' || p_partkey AS path, CASE WHEN p_size > 40 THEN 'no content' END AS error, p_size > 40 AS failed FROM part")
 def split_failed(spark, sf):
     rendered = table(spark, sf, "part").selectExpr(
         "p_partkey AS page_id", "concat('/p/', p_partkey) AS url", "if(p_size > 40, NULL, concat('<p>', p_name)) AS html")
-    return readers.split_failed(rendered)[1]
+    good, bad = readers.split_failed(rendered)
+    good = good.select(F.col("url").alias("path"), F.lit(None).cast("string").alias("error"), F.lit(False).alias("failed"))
+    return good.unionByName(bad.withColumn("failed", F.lit(True)))
 
 
 @register("read_sitemap_xml", """

@@ -160,12 +160,12 @@ def warm_diff(spark, sf):
 
 
 @register("put_many", """
-WITH last AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS content FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
+WITH last AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS content FROM orders GROUP BY o_custkey)
 SELECT '/c/' || o_custkey AS path, content, CAST(NULL AS VARCHAR) AS etag FROM last
 UNION ALL SELECT '/c/' || c_custkey, c_name, 'e' || c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM last)
 """)
 def put_many(spark, sf):
-    batch = table(spark, sf, "orders").where("o_orderstatus = 'F'").selectExpr(
+    batch = table(spark, sf, "orders").selectExpr(
         "concat('c/', o_custkey) AS path", "o_orderkey AS seq", "o_orderpriority AS content")
     return cache.put_many(stored(spark, sf), batch, NOW).select("path", "content", "etag")
 
