@@ -98,11 +98,11 @@ def is_deprecated(text: Column) -> Column:
     return F.coalesce(F.rlike(text, F.lit(DEPRECATION)), F.lit(False))
 
 
-def deprecation_note(text: Column) -> Column:
+def deprecation_note(text: Column, limit: int | None = None) -> Column:
     """The sentence holding the first deprecation marker, or null.
 
     The sentence runs from after the last full stop before the marker to the first one
-    after it; beyond 240 characters it is cut to 237 and dotted.
+    after it. With ``limit``, as listings show it, a longer one is cut and dotted.
     """
     def sentence(found: Column) -> Column:
         before = F.substring(text, F.lit(1), found["at"] - 1)
@@ -111,13 +111,14 @@ def deprecation_note(text: Column) -> Column:
 
     def shorten(note: Column) -> Column:
         return F.when(
-            F.length(note) > NOTE_LIMIT, F.concat(F.substring(note, 1, NOTE_LIMIT - 3), F.lit("..."))
+            F.length(note) > limit, F.concat(F.substring(note, 1, limit - 3), F.lit("..."))
         ).otherwise(note)
 
     found = F.struct(
         F.regexp_instr(text, F.lit(DEPRECATION)).alias("at"), F.regexp_extract(text, DEPRECATION, 0).alias("marker")
     )
-    return F.when(is_deprecated(text), let(let(found, sentence), shorten))
+    whole = let(found, sentence)
+    return F.when(is_deprecated(text), whole if limit is None else let(whole, shorten))
 
 
 def substrings(text: Column, lengths: list[int]) -> Column:

@@ -255,7 +255,7 @@ def tables_in_page() -> Column:
 
 def note_in_page() -> Column:
     """Deprecation sentence of the page's text outside the chrome, or null."""
-    return let(page_text(mask(CHROME)), deprecation_note)
+    return let(page_text(mask(CHROME)), lambda text: deprecation_note(text))
 
 
 def pseudo_tables(trees: DataFrame) -> DataFrame:

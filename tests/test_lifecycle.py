@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave import schemas as layouts
-from docweave.functions.text import canonical_path, deprecation_note
+from docweave.functions.text import canonical_path, NOTE_LIMIT, deprecation_note
 from docweave.operators import cache, catalog, fetchlog, quality
 from docweave.plans import answer, index_build
 from docweave.sources import readers, snapshots
@@ -21,11 +21,16 @@ def test_canonical_paths(spark, path, expected):
 
 @pytest.mark.parametrize("text,expected", [
     ("Fine. The field is deprecated now. More.", "The field is deprecated now"), ("undeprecated", None), ("", None),
-    ("It reached end-of-life", "It reached end-of-life"), ("no longer support", None), ("No Longer Supported", "No Longer Supported"), ("\u00e9deprecated", None), ("x" * 300 + " sunset", "x" * 237 + "...")])
+    ("It reached end-of-life", "It reached end-of-life"), ("no longer support", None), ("No Longer Supported", "No Longer Supported"), ("\u00e9deprecated", None), ("x" * 300 + " sunset", "x" * 300 + " sunset")])
 def test_deprecation(spark, text, expected):
     assert spark.createDataFrame([(text,)], "t STRING").select(deprecation_note(F.col("t")).alias("d")).first().d == expected
 
 
+def test_notes_are_cut_where_a_listing_asks_for_it(spark):
+    long = spark.createDataFrame([("x" * 300 + " sunset",)], "t STRING")
+    assert long.select(deprecation_note(F.col("t"), NOTE_LIMIT).alias("d")).first().d == "x" * 237 + "..."
+
+
 def test_catalog_floor_fails_loudly(spark):
     paths = spark.range(49).selectExpr("concat('/p', id) AS path")
     with pytest.raises(Exception, match="catalog has only 49 paths"):

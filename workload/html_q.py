@@ -178,7 +178,7 @@ def bind_columns(spark, sf):
 WITH t AS (
   SELECT doc_id, 'The ' || source || ' feed Will Be Removed in ' || lang || repeat(' soon', CASE WHEN lang = 'en' THEN 60 ELSE 1 END) AS s
   FROM documents)
-SELECT doc_id, CASE WHEN length(s) > 240 THEN substr(s, 1, 237) || '...' ELSE s END AS note FROM t
+SELECT doc_id, s AS note FROM t
 """)
 def scan_deprecation(spark, sf):
     text = F.expr("""concat(text, '. The ', source, ' feed Will Be Removed in ', lang,
