@@ -120,16 +120,19 @@ def near_earlier(token: np.ndarray, side: np.ndarray, size: np.ndarray, place: n
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int = BLOCK) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int = BLOCK) -> DataFrame:
     """Columns of ``docs`` with similar later lines taken out of ``text``, plus n_lines and n_removed.
 
     A line is the set of its words, A-Z lower-cased. It is removed if any earlier line of any
     document, by doc_id and then place in the text, is alike: Jaccard similarity of at least
-    ``percent`` hundredths. Lines of fewer than ``least`` words are neither removed nor compared. A
-    null text stays null. Rows that repeat a doc_id are one document: what is removed from one of
+    ``percent`` hundredths. Every line with a word counts, however short; a line of white space alone
+    is neither removed nor compared. Words are runs between ASCII white space, so a line of a script
+    without spaces is one word and goes as a copy only. ``least`` above one leaves lines of fewer
+    words alone. A null text stays null. Rows that repeat a doc_id are one document: what is removed from one of
     them by its line number is removed from all.
 
-    Equal sets are one class, met at its first line. Of each class the rarest tokens (as many as
+    Equal sets are one class, met at its first line; sets too small to be like any other (under four
+    words at 80) go no further. Of each other class the rarest tokens (as many as
     two similar sets must share one of) are spread, and rows of one token are compared with those
     before them until a candidate is found, in blocks where a token has very many. Candidates are
     verified on the sets; lines whose candidates fail get all theirs in a second round.
@@ -147,7 +150,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 5, block: int =
             tokens, often, sizes = ordered_sets(hashes, sizes, shared.value)
             ends = np.cumsum(sizes)
             starts = ends - sizes
-            prefix = sizes - -(-percent * sizes // 100) + 1
+            # A set that even one more token takes below the bound is like equal sets only, which are its class.
+            prefix = np.where((100 - percent) * sizes < percent, 0, sizes - -(-percent * sizes // 100) + 1)
             sketch = sketches(tokens, sizes).view(np.int64)
             at = np.repeat(starts - (np.cumsum(prefix) - prefix), prefix) + np.arange(prefix.sum())
             offsets = pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32))

@@ -143,6 +143,20 @@ def test_line_dedup_equals_brute_force(spark):
             assert got[k].n_removed == sum(1 for d, _ in removed if d == k) and got[k].size == "s"
 
 
+def test_short_lines_are_removed_too(spark):
+    rnd = random.Random(8)
+    short = [" ".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 6))) for _ in range(60)]
+    rows = [(k, "\n".join(rnd.choice([*short, "", " \t", "她在河边的老磨坊前休息。", "Read more", "read  MORE"]) for _ in range(rnd.randint(1, 8)))) for k in range(60)]
+    rows += [(60, "k l m n"), (61, "k l m n o"), (62, "l m n o"), (63, "q r s"), (64, "q r s t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    removed = brute_lines(rows, least=1)
+    assert (61, 0) in removed and (62, 0) in removed and (64, 0) not in removed
+    for block in (2000, 3):
+        for row in lines.dedup_lines(docs, block=block).collect():
+            found = rows[row.doc_id][1].split("\n")
+            assert row.text == "\n".join(x for n, x in enumerate(found) if (row.doc_id, n) not in removed)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert overlap.jaccard_groups(docs).collect() == []
