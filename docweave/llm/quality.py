@@ -17,6 +17,9 @@ BOILERPLATE = (
     "share on facebook", "share on twitter", "skip to content", "back to top", "powered by wordpress",
 )
 
+# Phrases fail a line of which they make up at least one in so many characters.
+PHRASE_SHARE = 10
+
 
 def words(text: Column) -> Column:
     """Runs of characters other than space, tab, line feed, vertical tab, form feed and carriage return."""
@@ -65,34 +68,40 @@ def with_values(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[value.alias(name) for name, value in values.items()]))))
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, as_sql: bool = False) -> Column:
     """True for a line that is navigation, boilerplate, or lacks or overflows with punctuation.
 
-    A line of white space alone does not fail.
+    A line of white space alone does not fail. A line is boilerplate if phrases make up a tenth of
+    its characters, so a paragraph that mentions one stays. ``as_sql``: the rules as the SQL of
+    ``op3_quality_rules`` has them, where one phrase fails a line of any length.
     """
     solid = F.length(F.regexp_replace(line, SPACE, ""))
     # Punctuation other than what sentences, addresses and numbers hold.
     odd = F.length(line) - F.length(F.regexp_replace(line, r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:?'’\"()@+/_-]", ""))
     bars = F.length(line) - F.length(F.regexp_replace(line, "[|»›•]", ""))
     unmarked = ~line.rlike(r"[.,;:!?…。！？]")
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
+    phrases = "|".join(BOILERPLATE)
+    boilerplate = F.lower(line).rlike(phrases)
+    if not as_sql:
+        rest = F.length(F.regexp_replace(F.lower(line), phrases, ""))
+        boilerplate &= (F.length(F.lower(line)) - rest) * PHRASE_SHARE >= F.length(F.lower(line))
     navigation = (bars >= 3) & (bars * 4 >= F.size(words(line)) - bars)
     punctuation = unmarked | (odd * 10 > solid)
     return (solid > 0) & (boilerplate | navigation | punctuation)
 
 
-def judge(docs: DataFrame, max_lost: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, max_lost: float = 0.5, as_sql: bool = False) -> DataFrame:
     """Columns of ``docs`` with the counts of the base rules, the cleaned text and the verdict.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, ``cleaned``
     (the text without its failing lines), n_lines_failed and ``kept``: base rules passed and at
     most ``max_lost`` of the characters of the words lost with failing lines. A null text has no
-    words and is not kept. Every row is judged on its own, without a shuffle.
+    words and is not kept. Every row is judged on its own, without a shuffle. ``as_sql`` as in ``line_fails``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     solid = F.length(F.regexp_replace(text, SPACE, ""))
     split = with_values(docs, {"_words": words(text), "_lines": F.split(text, "\n"), "word_chars": solid.cast("long")})
-    judged = F.transform("_lines", lambda line: F.struct(line.alias("line"), line_fails(line).alias("failed")))
+    judged = F.transform("_lines", lambda line: F.struct(line.alias("line"), line_fails(line, as_sql).alias("failed")))
     full = F.filter("_lines", lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     halfway = with_values(split, {"_hashes": window_hashes(F.col("_words")), "_judged": judged, "_full": full})
     done = with_values(halfway, {

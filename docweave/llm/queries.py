@@ -95,8 +95,8 @@ FROM counted
 
 @register("op3_quality_rules", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and verdict of every document."""
-    judged = quality.judge(table(spark, sf_dir, "documents"))
+    """Base counts and verdict of every document, by the line rules of the SQL."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), as_sql=True)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_failed")
 
 

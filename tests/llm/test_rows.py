@@ -90,6 +90,19 @@ def test_quality_counts_and_verdicts(spark):
     assert got[4].cleaned == prose and quality.judge(docs.limit(0).drop("_words")).count() == 0
 
 
+def judged_as(spark, texts, **given):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r.kept, r.n_lines_failed) for r in quality.judge(docs, **given).orderBy("doc_id").collect()]
+
+
+def test_a_long_line_may_mention_a_phrase(spark):
+    article = " ".join(f"Mill{k} ground corn{k}, and people{k} rest{k} there{k}." for k in range(30))
+    mention = f"{article} The owner's privacy policy was short. In spring it reopened, and many people came."
+    line = "Click here to read our privacy policy and terms of use."
+    assert judged_as(spark, [mention, f"{article}\n{line}", line]) == [(True, 0), (True, 1), (False, 1)]
+    assert judged_as(spark, [mention], as_sql=True) == [(False, 1)]
+
+
 def test_clean_documents_are_kept(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
