@@ -25,8 +25,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: lines like an earlier one go; a document of which nothing is left stays, with an empty text."""
-    return with_text(docs, lines.dedup_lines(docs), "text")
+    """Operator 4: lines like an earlier one go, and with them a document that had words and has none left.
+
+    A document without words before, or with a null text, stays as it is.
+    """
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    left = lines.dedup_lines(docs.withColumn("_worded", worded))
+    return with_text(docs, left.where(~F.col("_worded") | worded), "text")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -189,3 +189,11 @@ def test_pipeline_stages(spark):
             assert start == at
             at += length
     assert len(corpus_pipeline.STAGES) == 4
+
+
+def test_emptied_documents_go(spark):
+    text = "The river runs past the old mill.\nMany people rest there in the evenings of summer."
+    rows = [(k, text) for k in range(3, 9)] + [(9, f"{text}\nA line of its own stays here."), (10, ""), (11, None), (12, " \n"), (13, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, SMALL).collect()}
+    assert got == {3: text, 9: "A line of its own stays here.", 10: "", 11: None, 12: " \n", 13: ""}
