@@ -17,6 +17,9 @@ BOILERPLATE = (
     "share on facebook", "share on twitter", "skip to content", "back to top", "powered by wordpress",
 )
 
+# Marks of sentences, quotes and dashes, which are not odd; more than three of them to a letter or digit are too many.
+MARKS = "!¡¿…。！？“”„‟«»‹›‘’‚‛–—‒―"
+MARKS_EACH = 3
 # Phrases fail a line of which they make up at least one in so many characters.
 PHRASE_SHARE = 10
 
@@ -72,12 +75,15 @@ def line_fails(line: Column, as_sql: bool = False) -> Column:
     """True for a line that is navigation, boilerplate, or lacks or overflows with punctuation.
 
     A line of white space alone does not fail. A line is boilerplate if phrases make up a tenth of
-    its characters, so a paragraph that mentions one stays. ``as_sql``: the rules as the SQL of
-    ``op3_quality_rules`` has them, where one phrase fails a line of any length.
+    its characters, so a paragraph that mentions one stays. Sentence marks, quotes and dashes are
+    ordinary punctuation; a line of little else fails. ``as_sql``: the rules as the SQL of
+    ``op3_quality_rules`` has them, where one phrase fails a line of any length and such marks
+    count as odd.
     """
     solid = F.length(F.regexp_replace(line, SPACE, ""))
     # Punctuation other than what sentences, addresses and numbers hold.
-    odd = F.length(line) - F.length(F.regexp_replace(line, r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:?'’\"()@+/_-]", ""))
+    plain = ("" if as_sql else MARKS) + r"\p{L}\p{M}\p{N}\x20\x09-\x0D.,;:?'’\"()@+/_-"
+    odd = F.length(line) - F.length(F.regexp_replace(line, f"[^{plain}]", ""))
     bars = F.length(line) - F.length(F.regexp_replace(line, "[|»›•]", ""))
     unmarked = ~line.rlike(r"[.,;:!?…。！？]")
     phrases = "|".join(BOILERPLATE)
@@ -87,6 +93,10 @@ def line_fails(line: Column, as_sql: bool = False) -> Column:
         boilerplate &= (F.length(F.lower(line)) - rest) * PHRASE_SHARE >= F.length(F.lower(line))
     navigation = (bars >= 3) & (bars * 4 >= F.size(words(line)) - bars)
     punctuation = unmarked | (odd * 10 > solid)
+    if not as_sql:
+        marks = F.length(line) - F.length(F.regexp_replace(line, f"[{MARKS}]", ""))
+        letters = F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]", ""))
+        punctuation |= marks > letters * MARKS_EACH
     return (solid > 0) & (boilerplate | navigation | punctuation)
 
 

@@ -103,6 +103,16 @@ def test_a_long_line_may_mention_a_phrase(spark):
     assert judged_as(spark, [mention], as_sql=True) == [(False, 1)]
 
 
+def test_clean_dialogue_is_kept(spark):
+    en = "“Yes!” he said.\n“No—never!”\n‘Why?’ “Because…”\n“The mill by the river is closed today, my friend!” she said."
+    fr = "« Oui ! »\n— Non ! dit-il.\n«Ah… bon ?»\n— Le moulin près de la rivière est fermé aujourd'hui !"
+    de = "„Ja!“ rief er.\n»Nein!«\n„Ach so…“\n„Die Mühle am Fluss ist heute leider geschlossen!“ – sagte sie."
+    es = "¡Hola, amigo!\n¿Qué? ¡No!\n—¡Ven aquí! —dijo.\n—¡El molino junto al río está cerrado hoy, señor!"
+    assert judged_as(spark, [en, fr, de, es]) == [(True, 0)] * 4
+    assert [n for _, n in judged_as(spark, ["!!!!!!", "¡¡!! a !!!", "### a. ***", "“Yes!” «»‹»›! | $ . #"])] == [1] * 4
+    assert all(n for _, n in judged_as(spark, [en, fr, de, es], as_sql=True))
+
+
 def test_clean_documents_are_kept(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
