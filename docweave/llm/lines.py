@@ -21,6 +21,7 @@ BLOCK = 2000
 SKETCH = 4
 FOLDED = 48
 BUFFER = 200_000
+LAST = 2**63 - 1
 
 
 def _line_words(texts: list[str | None], least: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
@@ -129,7 +130,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
     is neither removed nor compared. Words are runs between ASCII white space, so a line of a script
     without spaces is one word and goes as a copy only. ``least`` above one leaves lines of fewer
     words alone. A null text stays null. Rows that repeat a doc_id are one document: what is removed from one of
-    them by its line number is removed from all.
+    them by its line number is removed from all. Rows without a doc_id come
+    after all others, in order of a hash of their text; those of equal text are one document.
 
     Equal sets are one class, met at its first line; sets too small to be like any other (under four
     words at 80) go no further. Of each other class the rarest tokens (as many as
@@ -137,7 +139,11 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
     before them until a candidate is found, in blocks where a token has very many. Candidates are
     verified on the sets; lines whose candidates fail get all theirs in a second round.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # A document is told by doc_id and own: without a doc_id, the last one and a hash of the text above 0.
+    number = F.col("doc_id").cast("long")
+    own_hash = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(LAST)).bitwiseOR(F.lit(1))
+    identity = {"doc_id": F.coalesce(number, F.lit(LAST)), "own": F.when(number.isNull(), own_hash).otherwise(F.lit(0).cast("long"))}
+    texts = docs.select(identity["doc_id"].alias("doc_id"), "text", identity["own"].alias("own"))
     words = [f"sketch{k}" for k in range(SKETCH)]
     shared = docs.sparkSession.sparkContext.broadcast(word_frequencies(texts, least))
 
@@ -145,7 +151,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
         import xxhash
 
         for batch in batches:
-            doc = batch.column(0).to_pylist()
+            doc, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             hashes, where, sizes = _line_words(batch.column(1).to_pylist(), least)
             tokens, often, sizes = ordered_sets(hashes, sizes, shared.value)
             ends = np.cumsum(sizes)
@@ -160,33 +166,34 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
             raw = tokens.tobytes()
             keys = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([doc[k] for k, _ in where], pa.int64()), pa.array([n for _, n in where], pa.int32()),
+                [pa.array([doc[k] for k, _ in where], pa.int64()), pa.array([own[k] for k, _ in where], pa.int64()), pa.array([n for _, n in where], pa.int32()),
                  pa.array(sizes.astype(np.int32)), pa.array(keys, pa.binary()), *(pa.array(sketch[:, k]) for k in range(SKETCH)),
                  pa.ListArray.from_arrays(offsets, pa.array((tokens[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))),
                  pa.array((frequent[ends_p] - frequent[ends_p - prefix]).astype(np.int32))],
-                names=["doc_id", "line", "size", "key", *words, "prefix", "frequent"])
+                names=["doc_id", "own", "line", "size", "key", *words, "prefix", "frequent"])
 
-    shape = f"doc_id long, line int, size int, key binary, {', '.join(f'{w} long' for w in words)}, prefix array<int>, frequent int"
+    shape = f"doc_id long, own long, line int, size int, key binary, {', '.join(f'{w} long' for w in words)}, prefix array<int>, frequent int"
     lines = stored(texts.mapInArrow(summary, shape))
-    at = ["doc_id", "line"]
+    at = ["doc_id", "own", "line"]
     firsts = stored(lines.groupBy("key").agg(F.min(F.struct(*at)).alias("first")).select("key", "first.*"))
     classes = lines.drop("key").join(firsts.select(*at), at, "left_semi")
 
-    spread = classes.select("doc_id", "line", "size", *words, "frequent", F.size("prefix").alias("n"), F.posexplode("prefix").alias("place", "token"))
-    row = ["token", "i", "j", "side", "doc_id", "line", "size", "place", *words]
+    spread = classes.select(*at, "size", *words, "frequent", F.size("prefix").alias("n"), F.posexplode("prefix").alias("place", "token"))
+    row = ["token", "i", "j", "side", *at, "size", "place", *words]
     zero = F.lit(0)
     rare = spread.where(F.col("place") < F.col("n") - F.col("frequent"))
     rare = rare.withColumns({"i": zero, "j": zero, "side": F.lit(-1)}).select(row)
     # Of tokens frequent in the texts, those with many rows here are cut into blocks.
     often = spread.where(F.col("place") >= F.col("n") - F.col("frequent"))
     parts = often.groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("doc_id", "line"), F.col("parts")).cast("int")
+    part = F.pmod(F.xxhash64(*at), F.col("parts")).cast("int")
     cut = often.join(parts, "token").withColumn("part", part).withColumn("other", F.explode(F.sequence(zero, F.col("parts") - 1)))
     i, j = F.least("part", "other"), F.greatest("part", "other")
     cut = cut.withColumns({"i": i, "j": j, "side": F.when(i == j, F.lit(-1)).otherwise(F.col("part"))}).select(row)
     spread = rare.union(cut)
 
-    pair = StructType.fromDDL("doc_id long, line int, doc_id_ long, line_ int")
+    ends = [f"{n}_" for n in at]
+    pair = StructType.fromDDL("doc_id long, own long, line int, doc_id_ long, own_ long, line_ int")
 
     def candidates(rows: DataFrame, marked: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +202,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
                 token = c["token"].astype(np.int64) ^ (c["i"].astype(np.int64) << 40) ^ (c["j"].astype(np.int64) << 52)
                 size, sketch = c["size"].astype(np.int64), np.column_stack([c[w] for w in words]).view(np.uint64)
                 a, b = near_earlier(token, c["side"], size, c["place"].astype(np.int64), sketch, percent, c["open"] if marked else None)
-                other = (c["doc_id"][a] != c["doc_id"][b]) | (c["line"][a] != c["line"][b])
+                other = np.logical_or.reduce([c[n][a] != c[n][b] for n in at])
                 a, b = a[other], b[other]
                 apart = bits_apart(sketch[a], sketch[b], np.minimum(size[a], size[b]) <= FOLDED).astype(np.int32)
                 return pa.RecordBatch.from_arrays([*(pa.array(c[n][k]) for k in (a, b) for n in at), pa.array(apart)], names=[*pair.names, "apart"])
@@ -215,50 +222,50 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
             if held:
                 yield compare(pa.Table.from_batches(held).combine_chunks())
 
-        order = ["token", "i", "j", "doc_id", "line"]
+        order = ["token", "i", "j", *at]
         found = rows.repartition("token", "i", "j").sortWithinPartitions(*order).mapInArrow(run, StructType([*pair.fields, *StructType.fromDDL("apart int").fields]))
         if marked:
             return found.select(*pair.names).distinct()
         # In the first round the closest candidate of each line, by its sketch.
-        best = F.min_by(F.struct("doc_id_", "line_"), F.struct("apart", "doc_id_", "line_")).alias("best")
-        return found.groupBy(*at).agg(best).select(*at, "best.doc_id_", "best.line_")
+        best = F.min_by(F.struct(*ends), F.struct("apart", *ends)).alias("best")
+        return found.groupBy(*at).agg(best).select(*at, "best.*")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        """Sets of the lines (doc_id, line), made again from their texts."""
+        """Sets of the lines (doc_id, own, line), made again from their texts."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                doc, out = batch.column(0).to_pylist(), []
-                for k, (text, numbers) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                doc, out = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), []
+                for k, (text, numbers) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                     found = (text or "").encode().lower().split(b"\n")
                     for n in numbers:
                         if n < len(found):
                             words = found[n].split()
                             hashes = np.array([word_hashes()[w] for w in words], np.uint64)
-                            out.append((doc[k], n, np.unique(hashes).tobytes()))
-                columns = list(zip(*out)) or [(), (), ()]
+                            out.append((*doc[k], n, np.unique(hashes).tobytes()))
+                columns = list(zip(*out)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "line", "ids"])
+                    [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=[*at, "ids"])
 
         # Stored, so that a small one is broadcast by its known size and the texts stay where they are.
-        numbers = stored(wanted.groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
-        return texts.join(numbers, "doc_id").select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, line int, ids binary")
+        numbers = stored(wanted.groupBy("doc_id", "own").agg(F.collect_set("line").alias("lines")))
+        wide = texts.join(numbers, ["doc_id", "own"]).select("doc_id", "own", "text", "lines")
+        return wide.mapInArrow(run, "doc_id long, own long, line int, ids binary")
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = []
-                for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                for x, y in zip(*(batch.column(c).to_pylist() for c in ("x", "y"))):
                     a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     both = len(np.intersect1d(a, b, assume_unique=True))
                     good.append((100 + percent) * both >= percent * (len(a) + len(b)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(good, pa.bool_())], names=[*pair.names, "alike"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in pair.names), pa.array(good, pa.bool_())], names=[*pair.names, "alike"])
 
-        ends = pairs.select("doc_id", "line").union(pairs.select("doc_id_", "line_")).distinct()
-        sets = stored(sets_of(ends))
-        left = pairs.join(sets.withColumnRenamed("ids", "x"), ["doc_id", "line"])
-        right = sets.select(F.col("doc_id").alias("doc_id_"), F.col("line").alias("line_"), F.col("ids").alias("y"))
-        both = left.join(right, ["doc_id_", "line_"]).select(*pair.names, "x", "y")
+        sets = stored(sets_of(pairs.select(*at).union(pairs.select(*ends)).distinct()))
+        left = pairs.join(sets.withColumnRenamed("ids", "x"), at)
+        right = sets.select(*[F.col(n).alias(f"{n}_") for n in at], F.col("ids").alias("y"))
+        both = left.join(right, ends).select(*pair.names, "x", "y")
         return stored(both.mapInArrow(run, StructType([*pair.fields, *StructType.fromDDL("alike boolean").fields])))
 
     pairs = stored(candidates(spread, False))
@@ -273,13 +280,13 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
         alike = alike.union(verified(rest).where("alike").select(*at).distinct())
 
     gone = firsts.join(alike.withColumn("gone", F.lit(True)), at, "left")
-    gone = gone.select("key", F.col("doc_id").alias("doc_id_"), F.col("line").alias("line_"), F.coalesce("gone", F.lit(False)).alias("gone"))
-    later = (F.col("doc_id") != F.col("doc_id_")) | (F.col("line") != F.col("line_"))
+    gone = gone.select("key", *[F.col(n).alias(f"{n}_") for n in at], F.coalesce("gone", F.lit(False)).alias("gone"))
+    later = (F.col("doc_id") != F.col("doc_id_")) | (F.col("own") != F.col("own_")) | (F.col("line") != F.col("line_"))
     removed = lines.select("key", *at).join(gone, "key").where(F.col("gone") | later)
-    removed = removed.groupBy("doc_id").agg(F.collect_set("line").alias("_removed")).withColumnRenamed("doc_id", "_doc")
+    removed = removed.groupBy(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).agg(F.collect_set("line").alias("_removed"))
     found = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(zero, F.size("_found") - 1), "_removed")
-    joined = docs.join(removed, F.col("doc_id").cast("long") == F.col("_doc"), "left").withColumn("_found", found)
+    joined = docs.join(removed, (identity["doc_id"] == F.col("_doc")) & (identity["own"] == F.col("_own")), "left").withColumn("_found", found)
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda k: F.get("_found", k)), "\n"))
     return joined.select(

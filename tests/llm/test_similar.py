@@ -157,6 +157,18 @@ def test_short_lines_are_removed_too(spark):
             assert row.text == "\n".join(x for n, x in enumerate(found) if (row.doc_id, n) not in removed)
 
 
+def test_lines_without_a_doc_id_come_last(spark):
+    line, near, alone = "a b c d e f g h i j", "a b c d e f g h i k", "l m n o p q"
+    rows = [(None, f"{line}\n{alone}"), (1, line), (2, near), (3, f"x y z\n{line}"), (None, f"{near}\nr s"), (None, f"{alone}\nr s"), (None, None), (None, "r s\nx y z")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
+    for block in (2000, 2):
+        got = {r.row: r for r in lines.dedup_lines(docs, block=block).collect()}
+        assert [got[k].text for k in (1, 2, 3, 6)] == [line, "", "x y z", None]
+        left = [x for k in (0, 4, 5, 7) for x in got[k].text.split("\n") if x]
+        assert sorted(left) == [alone, "r s"]
+        assert sum(got[k].n_removed for k in (0, 4, 5, 7)) == 6 and got[6].n_removed == 0
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert overlap.jaccard_groups(docs).collect() == []
