@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import lines, overlap, quality
 from docweave.llm.queries import pack_documents
-from docweave.session import name_local_folder, shared_folder, tune
+from docweave.session import name_local_folder, shared_folder, stored, tune
 
 
 def with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
@@ -35,13 +35,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: of each group of near-duplicates the document of the smallest id stays.
+    """Operator 7: of each group of near-duplicates one row stays, that of the smallest id; without an id only if none has one.
 
     Taken with shingles of five words and a similarity of 0.8, as stages on word shingles are.
+    Documents without words are in no group and stay. Rows are numbered and stored, as ids may
+    repeat or be null.
     """
-    groups = overlap.jaccard_groups(docs, percent=80, width=5)
-    first = groups.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(first.withColumnRenamed("doc_id", "_first"), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = overlap.jaccard_groups(numbered, percent=80, width=5, row="_row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("least")
+    first = groups.where("component is not null").groupBy("component").agg(least).select("least._row")
+    first = first.union(groups.where("component is null").select("_row"))
+    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
+
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,12 +233,15 @@ def _numbers(values: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(v, np.uint64) for v in values.to_pylist()]
 
 
-def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: int = BLOCK, listed: int = LISTED) -> DataFrame:
+def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: int = BLOCK, listed: int = LISTED,
+                   row: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, for links of Jaccard ``percent`` or more.
 
     A document's set is its distinct shingles of ``width`` words; with fewer words the whole
     sequence is one, and an empty or null text has none and links with nothing. ``component_id`` is
     the smallest doc_id reachable by links. Rows that repeat a doc_id are documents of their own.
+    ``row`` names a column of distinct longs that tells rows apart where doc_ids repeat or are null;
+    it is returned too, with a ``component`` that is null only for documents without a set.
 
     Equal sets are one class. Classes are dealt into cells (see ``Cells``); only cells of two or
     more are looked at, cells of the same members once. Each member is first held against the
@@ -258,13 +261,14 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
             found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.binary()),
                  pa.array([cells.of(s) for s in found], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "key", "cells"])
+                names=["doc_id", "row", "n_shingles", "key", "cells"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(texts.mapInArrow(summary, "doc_id long, n_shingles long, key binary, cells array<long>"))
-    classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("least"), F.first("cells").alias("cells"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row or "doc_id").cast("long").alias("row"))
+    rows = stored(texts.mapInArrow(summary, "doc_id long, row long, n_shingles long, key binary, cells array<long>"))
+    classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(
+        F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("cells").alias("cells"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
 
     spread = classes.select("node", F.explode("cells").alias("cell"))
@@ -284,8 +288,8 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "ids"])
 
     # The sets of documents that share a cell, made again from their texts.
-    wanted = members.select("node").distinct().join(classes.select("node", "key", "least"), "node")
-    chosen = texts.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    wanted = members.select("node").distinct().join(classes.select("node", "key", "row"), "node")
+    chosen = texts.join(wanted.select("row").distinct(), "row", "left_semi").select("doc_id", "text")
     sets = chosen.mapInArrow(full, "key binary, ids binary").join(wanted.select("node", "key"), "key").select("node", "ids")
     sets = stored(sets)
 
@@ -369,6 +373,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
     known = classes.select("key", "node", "least").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = stored(known.select("key", "least", "component"))
     smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = known.join(smallest, "component").select("key", "component_id")
-    return rows.select("doc_id", "n_shingles", "key").join(known, "key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = known.join(smallest, "component").select("key", "component_id", "component")
+    more = [F.col("row").alias(row), "component"] if row else []
+    return rows.select("doc_id", "row", "n_shingles", "key").join(known, "key", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more)

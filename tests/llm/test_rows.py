@@ -207,3 +207,18 @@ def test_emptied_documents_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, SMALL).collect()}
     assert got == {3: text, 9: "A line of its own stays here.", 10: "", 11: None, 12: " \n", 13: ""}
+
+
+def test_one_row_of_a_group_stays(spark):
+    def text(k):
+        return " ".join(f"w{k}x{n}" for n in range(60))
+
+    near = text(1) + " more"
+    rows = [(1, text(1)), (1, text(1)), (1, text(2)), (2, near), (0, text(2)), (None, text(3)), (None, text(3)), (None, text(3) + " more"),
+            (None, near), (3, text(4)), (3, text(5)), (None, ""), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_stage(spark, docs, SMALL)
+    left = Counter((r.doc_id, r.text) for r in got.collect())
+    third = [x for x in left if x in {(None, text(3)), (None, text(3) + " more")}]
+    assert got.columns == ["doc_id", "text"] and len(third) == 1
+    assert left == Counter([(1, text(1)), (0, text(2)), third[0], (3, text(4)), (3, text(5)), (None, ""), (None, None), (4, "")])
