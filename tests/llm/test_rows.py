@@ -8,10 +8,13 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from docweave.llm import chat, quality, queries, shards, urls
+from docweave.session import stored
 from tests.conftest import SMALL
+from tests.llm.test_similar import brute_lines, closure, shingles
 from workload.check import canonical, oracle_rows
 
 EVENTS = "conv_id long, seq long, kind string, message long, role string, text string, extra int"
@@ -222,3 +225,61 @@ def test_one_row_of_a_group_stays(spark):
     third = [x for x in left if x in {(None, text(3)), (None, text(3) + " more")}]
     assert got.columns == ["doc_id", "text"] and len(third) == 1
     assert left == Counter([(1, text(1)), (0, text(2)), third[0], (3, text(4)), (3, text(5)), (None, ""), (None, None), (4, "")])
+
+
+def plain_fails(line):
+    low, solid = line.lower(), re.sub(r"\s", "", line)
+    mentioned = sum(map(len, re.findall("|".join(quality.BOILERPLATE), low)))
+    bars = sum(c in "|»›•" for c in line)
+    odd = sum(not (c.isalnum() or c.isspace() or c in ".,;:?'’\"()@+/_-" + quality.MARKS) for c in line)
+    marks, letters = sum(c in quality.MARKS for c in line), sum(c.isalnum() for c in line)
+    boilerplate = mentioned and mentioned * 10 >= len(low)
+    unmarked = not re.search(r"[.,;:!?…。！？]", line)
+    return bool(solid) and bool(boilerplate or (bars >= 3 and bars * 4 >= len(line.split()) - bars) or unmarked or odd * 10 > len(solid) or marks > 3 * letters)
+
+
+def test_stages_equal_plain_python(spark):
+    rnd = random.Random(9)
+
+    def sentence(n):
+        return " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(400)) for _ in range(n)) + "."
+
+    pool = [sentence(n) for n in (1, 2, 3, 7, 12, 30)] + ["Home | About | News | Contact", "All rights reserved.", "“Yes!” he said.", "no mark here", "#### ,", ""]
+    texts = ["\n".join([sentence(rnd.randint(12, 80)), *rnd.choices(pool, k=rnd.randint(0, 4))]) for _ in range(25)]
+    for k in range(8):
+        # The same words in other lines pass line dedup; near_stage links them, or not with every tenth word changed.
+        base = [f"{w}," for w in sentence(90).rstrip(".").split()]
+        for width, changed in ((90, ()), (9, ()), (13, (40,)), (17, range(5, 90, 10))):
+            words = [f"z{k}q{width}x{n}," if n in changed else w for n, w in enumerate(base)]
+            texts.append("\n".join(" ".join(words[n : n + width]) for n in range(0, 90, width)))
+    texts += [texts[0], texts[30], "too few words.", None, ""]
+    docs = stored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    one = stored(stages[0](spark, docs, SMALL))
+    want = {}
+    for k, text in enumerate(texts):
+        n, solid, _, _, repeated = base_counts(text)
+        cleaned = "\n".join(x for x in (text or "").split("\n") if not plain_fails(x))
+        if n >= 10 and 100 * repeated <= 20 * n and 2 * len(re.sub(r"\s", "", cleaned)) >= solid:
+            want[k] = cleaned
+    assert dict(one.collect()) == want and 20 < len(want) < len(texts)
+
+    two = stored(stages[1](spark, one, SMALL))
+    removed = brute_lines(sorted(want.items()), least=1)
+    left = {k: "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) not in removed) for k, t in want.items()}
+    left = {k: t for k, t in left.items() if t.split() or not want[k].split()}
+    assert dict(two.collect()) == left and len(left) < len(want)
+
+    three = stored(stages[2](spark, two, SMALL))
+    sets = {k: shingles(t, 5) for k, t in left.items()}
+    links = [(a, b) for a in left for b in left if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0]
+    label = closure(left, links)
+    final = {k: t for k, t in left.items() if label[k] == k}
+    assert dict(three.collect()) == final and links
+
+    lengths = Counter()
+    for r in stages[3](spark, three, SMALL).collect():
+        lengths[r.doc_id] += r.length
+    encoder = Tokenizer.from_file(str(queries.BYTE_VOCABULARY))
+    assert dict(lengths) == {k: len(encoder.encode(t, add_special_tokens=False).ids) + 1 for k, t in final.items()}
