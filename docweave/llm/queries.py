@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import chat, lines, overlap, packing, pieces, quality, shards, urls, vectors
+from docweave.llm import alignment, chat, lines, overlap, packing, pieces, quality, shards, urls, vectors
 from docweave.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
+from docweave.session import stored
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -169,3 +170,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document among 8 shards, and its shard among 9."""
     return shards.shard_documents(table(spark, sf_dir, "documents"), 8)
+
+
+@register("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of every document under two vocabularies, with the corpus-wide support of its links."""
+    aligned = alignment.align(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, BYTE_RANKS, PIECE_MODEL)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    aligned = stored(aligned.withColumn("groups_sha256", digest).drop("groups", "ends"))
+    return alignment.link_support(aligned, PIECE_MODEL)
