@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import alignment, chat, lines, overlap, packing, pieces, quality, shards, urls, vectors
+from docweave.llm import alignment, chat, lines, overlap, packing, pieces, quality, recurrent, shards, urls, vectors
 from docweave.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 from docweave.session import stored
 
@@ -179,3 +179,9 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
     aligned = stored(aligned.withColumn("groups_sha256", digest).drop("groups", "ends"))
     return alignment.link_support(aligned, PIECE_MODEL)
+
+
+@register("op13_lm_scoring")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole document by word shares and by a recurrent model learned from nine tenths of the documents."""
+    return recurrent.score_documents(table(spark, sf_dir, "documents"))
