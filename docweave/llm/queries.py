@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import alignment, chat, lines, overlap, packing, pieces, quality, recurrent, shards, urls, vectors
+from docweave.llm import alignment, chat, lines, overlap, packing, pieces, quality, recurrent, shards, trie, urls, vectors
 from docweave.llm.common import ORACLES, QUERIES, register, table  # noqa: F401
 from docweave.session import stored
 
@@ -185,3 +185,40 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every whole document by word shares and by a recurrent model learned from nine tenths of the documents."""
     return recurrent.score_documents(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH numbered AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT DISTINCT c, c - c % 20 AS head, xor(list_reduce(range(8 * length(CAST(c AS VARCHAR))), lambda a, j:
+    CASE WHEN (CASE WHEN j % 8 = 0 THEN xor(a, CAST(ascii(substr(CAST(c AS VARCHAR), CAST(j // 8 + 1 AS BIGINT), 1)) AS BIGINT)) ELSE a END) & 1 = 1
+      THEN xor((CASE WHEN j % 8 = 0 THEN xor(a, CAST(ascii(substr(CAST(c AS VARCHAR), CAST(j // 8 + 1 AS BIGINT), 1)) AS BIGINT)) ELSE a END) >> 1, CAST(3988292384 AS BIGINT))
+      ELSE (CASE WHEN j % 8 = 0 THEN xor(a, CAST(ascii(substr(CAST(c AS VARCHAR), CAST(j // 8 + 1 AS BIGINT), 1)) AS BIGINT)) ELSE a END) >> 1 END,
+    CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) % 4 AS h FROM numbered),
+turns AS (
+  SELECT i.c, 0 AS own, place, role, text FROM ids i JOIN numbered n ON n.c = i.head AND place <= h
+  UNION ALL SELECT i.c, 1, place, role, text FROM ids i JOIN numbered n ON n.c = i.c AND place > h),
+paths AS (
+  SELECT i.c, coalesce(list({'role': role, 'text': text} ORDER BY own, place) FILTER (WHERE role IS NOT NULL), []) AS path
+  FROM ids i LEFT JOIN turns t ON t.c = i.c GROUP BY i.c),
+prefixes AS (SELECT c, len(path) AS n, path, unnest(range(0, len(path) + 1)) AS d FROM paths),
+nodes AS (
+  SELECT d, path[1:d] AS prefix, min(c) AS c, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends,
+    CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(any_value(path[d].text), '[\x20\x09-\x0D]+'), lambda w: w <> '')) END AS words
+  FROM prefixes GROUP BY d, path[1:d]),
+children AS (SELECT prefix[1:d - 1] AS prefix, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+counted AS (SELECT x.*, coalesce(n, 0) AS n_children FROM nodes x LEFT JOIN children k ON k.prefix = x.prefix),
+spread AS (SELECT unnest(range(0, d + 1)) AS up, prefix, n_children, (n_convs - 1) * words AS saved FROM counted),
+below AS (SELECT prefix[1:up] AS prefix, sum(saved) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM spread GROUP BY 1)
+SELECT x.c AS conv_id, CAST(x.d AS BIGINT) AS depth, p.c AS parent_conv_id, x.n_convs, x.n_children, b.leaves AS n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM counted x JOIN below b ON b.prefix = x.prefix LEFT JOIN nodes p ON x.d > 0 AND p.prefix = x.prefix[1:x.d - 1]
+"""
+
+
+@register("op11_prefix_trie", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct opening of the rebuilt conversations, with what sharing it saves."""
+    return trie.prefix_trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
