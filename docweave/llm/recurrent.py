@@ -20,6 +20,8 @@ from docweave.session import stored
 BLOCK_WORDS, CHUNK = 1 << 22, 1 << 14
 # Words of documents that are scored or trained on together, and lanes and steps of a training window.
 TOGETHER, LANES, WINDOW = 1 << 20, 128, 16
+# Texts whose states move on together when they are scored.
+TEXTS = 512
 # Numbers per row of parameters on their way to the average, and tasks averaged in one group.
 SLICE, GROUPED = 1 << 15, 64
 SMOOTH = 0.1
@@ -192,14 +194,14 @@ class Network:
         def drawn(*shape, scale):
             return draw.normal(0, scale, shape)
 
-        with np.errstate(divide="ignore"):
+        with np.errstate(divide="ignore", invalid="ignore"):
             start = {
                 "embed": drawn(kept + 2, embedded, scale=0.3),
                 "into": drawn(embedded, 3 * hidden, scale=embedded**-0.5), "bias": np.zeros(3 * hidden),
                 "again": drawn(hidden, 3 * hidden, scale=hidden**-0.5), "again_bias": np.zeros(hidden),
-                "class": drawn(hidden, self.classes + 1, scale=0.05), "class_bias": np.maximum(np.log(per_class), -40),
+                "class": drawn(hidden, self.classes + 1, scale=0.05), "class_bias": np.maximum(np.log(per_class / per_class.sum()), -80),
                 "word": drawn(self.classes, hidden, width, scale=0.05),
-                "word_bias": np.maximum(np.log(mass), -40).reshape(self.classes, width),
+                "word_bias": np.where(mass > 0, np.log(mass) - np.repeat(np.log(per_class[:-1]), width), -80).reshape(self.classes, width),
             }
         # Words that do not exist (a small corpus) have no mass at all, whatever is learned.
         self.absent = (mass == 0).reshape(self.classes, width)
@@ -236,34 +238,34 @@ class Network:
         return states, (given, kept)
 
     def _normalised(self, logits: np.ndarray) -> np.ndarray:
-        """Log probabilities, in place."""
-        logits -= logits.max(1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(1, keepdims=True))
+        """Log probabilities, in place. Logits are kept where their exponential is finite; they begin at or below 0."""
+        np.clip(logits, -80, 80, out=logits)
+        logits -= np.log(np.exp(logits) @ np.ones((logits.shape[1], 1), self.dtype))
         return logits
 
-    def _by_class(self, targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Places of the targets of each class of words."""
-        classes = np.minimum(targets // self.width, self.classes)
+    def _classes(self, targets: np.ndarray) -> np.ndarray:
+        return np.where(targets == self.kept, self.classes, targets // self.width)
+
+    def _by_class(self, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """Places of the targets in classes of words, ordered by class, and the part of each class."""
         order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            if cuts[c + 1] > cuts[c]:
-                yield c, order[cuts[c] : cuts[c + 1]]
-
-    def _within(self, c: int, states: np.ndarray) -> np.ndarray:
-        logits = states @ self.p["word"][c] + self.p["word_bias"][c]
-        logits[:, self.absent[c]] = -1e9
+        cuts = np.searchsorted(classes[order], np.arange(self.classes + 1)).tolist()
+        return order[: cuts[-1]], [(c, slice(i, j)) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+
+    def _within(self, states: np.ndarray, classes: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+        """Log probabilities of the words of each state's class, for states ordered by class."""
+        logits = self.p["word_bias"][classes]
+        for c, part in parts:
+            logits[part] += states[part] @ self.p["word"][c]
+        logits[self.absent[classes]] = -80
         return self._normalised(logits)
 
     def log_probability(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target (a word's rank, or ``kept``: outside) after its state."""
-        classes = np.minimum(targets // self.width, self.classes)
-        classes[targets == self.kept] = self.classes
+        classes = self._classes(targets)
         out = self._normalised(states @ self.p["class"] + self.p["class_bias"])[np.arange(len(targets)), classes].astype(np.float64)
-        inside = np.flatnonzero(classes < self.classes)
-        for c, at in self._by_class(targets[inside]):
-            at = inside[at]
-            out[at] += self._within(c, states[at])[np.arange(len(at)), targets[at] - c * self.width]
+        at, parts = self._by_class(classes)
+        out[at] += self._within(states[at], classes[at], parts)[np.arange(len(at)), targets[at] - classes[at] * self.width]
         return out
 
     def gradients(self, inputs, targets, counted, state, fresh):
@@ -277,8 +279,7 @@ class Network:
         scale = self.dtype(1 / max(1, len(live)))
         flat = states.reshape(-1, h)[live]
         wanted = targets.ravel()[live]
-        classes = np.minimum(wanted // self.width, self.classes)
-        classes[wanted == self.kept] = self.classes
+        classes = self._classes(wanted)
         log_class = self._normalised(flat @ p["class"] + p["class_bias"])
         loss = -float(log_class[np.arange(len(live)), classes].sum())
         d_class = np.exp(log_class)
@@ -286,18 +287,20 @@ class Network:
         d_class *= scale
         g = {"class": flat.T @ d_class, "class_bias": d_class.sum(0)}
         d_flat = d_class @ p["class"].T
+        at, parts = self._by_class(classes)
+        near, own = flat[at], classes[at]
+        log_word = self._within(near, own, parts)
+        place = (np.arange(len(at)), wanted[at] - own * self.width)
+        loss -= float(log_word[place].sum())
+        d_word = np.exp(log_word)
+        d_word[place] -= 1
+        d_word *= scale
         g["word"], g["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-        inside = np.flatnonzero(classes < self.classes)
-        for c, at in self._by_class(wanted[inside]):
-            at = inside[at]
-            log_word = self._within(c, flat[at])
-            place = wanted[at] - c * self.width
-            loss -= float(log_word[np.arange(len(at)), place].sum())
-            d_word = np.exp(log_word)
-            d_word[np.arange(len(at)), place] -= 1
-            d_word *= scale
-            g["word"][c], g["word_bias"][c] = flat[at].T @ d_word, d_word.sum(0)
-            d_flat[at] += d_word @ p["word"][c].T
+        d_near = np.empty_like(near)
+        for c, part in parts:
+            g["word"][c], g["word_bias"][c] = near[part].T @ d_word[part], d_word[part].sum(0)
+            np.matmul(d_word[part], p["word"][c].T, out=d_near[part])
+        d_flat[at] += d_near
         d_states = np.zeros((states.shape[0] * states.shape[1], h), self.dtype)
         d_states[live] = d_flat
         d_states = d_states.reshape(states.shape)
@@ -319,8 +322,9 @@ class Network:
         g["into"], g["bias"] = given.reshape(-1, given.shape[2]).T @ rows, rows.sum(0)
         d_given = rows @ p["into"].T
         order = np.argsort(inputs.ravel(), kind="stable")
-        ids, first = np.unique(inputs.ravel()[order], return_index=True)
-        g["embed"] = (ids, np.add.reduceat(d_given[order], first))
+        ids = inputs.ravel()[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        g["embed"] = (ids[first], np.add.reduceat(d_given[order], first))
         return g, loss, states[-1]
 
 
@@ -446,25 +450,22 @@ def train(known: DataFrame, network: Network, rounds: int, rate: float) -> Netwo
 def text_scores(network: Network, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log probability of whole texts; states are carried from window to window until a text ends."""
     order = np.argsort([-len(t) for t in texts], kind="stable")
-    sizes = np.array([len(texts[k]) for k in order])
-    total = np.zeros(len(texts))
-    for first in range(0, len(order), 4 * LANES):
-        group, size = order[first : first + 4 * LANES], sizes[first : first + 4 * LANES]
-        state = np.zeros((len(group), network.hidden), network.dtype)
-        before = np.full(len(group), network.kept + 1)
+    sizes, total = np.array([len(texts[k]) for k in order]), np.zeros(len(texts))
+    # Texts end to end, longest first, and then room to read on behind the last.
+    flat = np.concatenate([*(texts[k] for k in order), np.zeros(WINDOW, np.int64)])
+    starts = np.cumsum(sizes) - sizes
+    for first in range(0, len(order), TEXTS):
+        group, size, start = order[first : first + TEXTS], sizes[first : first + TEXTS], starts[first : first + TEXTS]
+        state, before = np.zeros((len(group), network.hidden), network.dtype), np.full(len(group), network.kept + 1)
         for t in range(0, int(size[0]), WINDOW):
             live = int((size > t).sum())
-            targets = np.zeros((min(WINDOW, int(size[0]) - t), live), np.int64)
-            counted = np.arange(t, t + len(targets))[:, None] < size[:live]
-            for j in range(live):
-                part = texts[group[j]][t : t + len(targets)]
-                targets[: len(part), j] = part
-            inputs = np.concatenate([before[None, :live], targets[:-1]])
-            states, _ = network.forward(inputs, state[:live])
+            steps = np.arange(t, min(t + WINDOW, int(size[0])))[:, None]
+            counted = np.flatnonzero((steps < size[:live]).ravel())
+            targets = flat[np.minimum(start[:live] + steps, len(flat) - 1)]
+            states, _ = network.forward(np.concatenate([before[None, :live], targets[:-1]]), state[:live])
             state, before = states[-1], targets[-1]
-            flat = np.flatnonzero(counted.ravel())
-            scores = network.log_probability(states.reshape(-1, network.hidden)[flat], targets.ravel()[flat])
-            total[group[:live]] += np.bincount(flat % live, weights=scores, minlength=live)
+            scores = network.log_probability(states.reshape(-1, network.hidden)[counted], targets.ravel()[counted])
+            total[group[:live]] += np.bincount(counted % live, weights=scores, minlength=live)
     return total
 
 
@@ -489,7 +490,7 @@ def score_documents(docs: DataFrame, kept: int = 4096, rounds: int = 4, rate: fl
         network.load(shared.value)
         for held, texts in gathered(batches, "ids"):
             table = pa.Table.from_batches(held)
-            scores = text_scores(network, texts) / ln10 + table["rest_score"].to_numpy()
+            scores = text_scores(network, texts) / ln10 + table["rest_score"].to_numpy() if total else np.zeros(len(texts))
             made = table.drop_columns(["ids", "rest_score"])
             made = made.append_column("train_tokens", pa.array(np.full(len(texts), total), pa.int64())).append_column("score", pa.array(scores, pa.float64()))
             yield from made.combine_chunks().to_batches()
