@@ -182,7 +182,7 @@ class Network:
     untrained network already gives the smoothed frequencies. Start of a text: its own input.
     """
 
-    def __init__(self, counts: Counts, kept: int, hidden: int = 32, embedded: int = 24, width: int = 64, dtype=np.float32):
+    def __init__(self, counts: Counts, kept: int, hidden: int = 16, embedded: int = 16, width: int = 32, dtype=np.float32):
         self.kept, self.hidden, self.width = kept, hidden, width
         self.classes = -(-kept // width)
         self.dtype = dtype
@@ -469,7 +469,7 @@ def text_scores(network: Network, texts: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def score_documents(docs: DataFrame, kept: int = 4096, rounds: int = 4, rate: float = 0.05) -> DataFrame:
+def score_documents(docs: DataFrame, kept: int = 2048, rounds: int = 4, rate: float = 0.05) -> DataFrame:
     """Score every whole text of ``docs(doc_id, text)`` by a recurrent model learned from the documents not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed frequencies) and
