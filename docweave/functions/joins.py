@@ -9,14 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.functions.text import substrings
+from docweave.functions.needles import find_needles
 
 SALTS = 16
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Characters up to which a text is cut in place, and the step in which longer ones are cut.
-SHORT_TEXT = 64
-CHUNK = 256
 
 
 def fits_broadcast(table: DataFrame) -> bool:
@@ -42,37 +39,6 @@ def attach(facts: DataFrame, dimension: DataFrame, keys: list[str], spread: Colu
 
 
 def substring_pairs(texts: DataFrame, text_col: str, needles: DataFrame, needle_col: str) -> DataFrame:
-    """Rows of ``texts`` paired with every distinct non-empty needle their text contains.
-
-    Exact and free of nested loops: each text is cut into its substrings of the lengths
-    that occur among the needles, and those meet the needles by an equi-join. Long texts
-    travel as a digest and are cut chunk by chunk, so that neither one row nor the copies
-    of a row grow with the square of a text. The only thing brought to the driver is the
-    set of needle lengths (one integer per length) and the needles' total size, which
-    decides whether they may be broadcast.
-    """
-    wanted = needles.select(F.col(needle_col).alias("needle")).where("length(needle) > 0").distinct()
-    seen = wanted.agg(
-        F.collect_set(F.length("needle")).alias("sizes"), F.count("*").alias("rows"),
-        F.coalesce(F.sum(F.octet_length("needle")), F.lit(0)).alias("bytes"),
-    ).first()
-    sizes = sorted(seen["sizes"])
-    small = seen["rows"] <= BROADCAST_ROWS and seen["bytes"] <= BROADCAST_BYTES
-    wanted = F.broadcast(wanted) if small else wanted.hint("merge")
-    text, length = F.col(text_col), F.length(text_col)
-
-    short = texts.where(length <= SHORT_TEXT).withColumn("needle", F.explode(substrings(text, sizes)))
-    pairs = short.join(wanted, "needle")
-
-    keyed = texts.where(length > SHORT_TEXT).withColumn("_digest", F.sha2(text, 256))
-    overlap = max(sizes, default=1) - 1
-    chunks = F.transform(
-        F.sequence(F.lit(1), length, F.lit(CHUNK)), lambda start: F.substring(text, start, F.lit(CHUNK + overlap))
-    )
-    pieces = (
-        keyed.select("_digest", F.explode(chunks).alias("chunk"))
-        .select("_digest", F.explode(substrings(F.col("chunk"), sizes)).alias("needle"))
-        .join(wanted, "needle")
-        .distinct()
-    )
-    return pairs.unionByName(keyed.join(pieces.hint("merge"), "_digest").drop("_digest"))
+    """Rows of ``texts`` paired with every distinct non-empty needle their text contains, see ``find_needles``."""
+    found = find_needles(texts, text_col, needles, needle_col)
+    return found.withColumn("needle", F.explode("found.key")).drop("found")

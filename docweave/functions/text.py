@@ -119,20 +119,3 @@ def deprecation_note(text: Column, limit: int | None = None) -> Column:
     )
     whole = let(found, sentence)
     return F.when(is_deprecated(text), whole if limit is None else let(whole, shorten))
-
-
-def substrings(text: Column, lengths: list[int]) -> Column:
-    """Distinct substrings of ``text`` having one of the given lengths."""
-    def of_length(size: int) -> Column:
-        return F.when(
-            F.length(text) >= size,
-            F.transform(
-                F.sequence(F.lit(1), F.length(text) - size + 1),
-                lambda start: F.substring(text, start, F.lit(size)),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-
-    pieces = [of_length(size) for size in lengths if size > 0]
-    if not pieces:
-        return F.array().cast("array<string>")
-    return F.array_distinct(F.concat(*pieces))

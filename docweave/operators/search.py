@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docweave.functions.expr import let
-from docweave.functions.joins import attach, substring_pairs
+from docweave.functions.needles import find_needles
 from docweave.functions.text import SPACE, occurrences, rstrip, strip, tokens
-from docweave.session import spread_small
+from docweave.session import spread_small, stored
 
 # Weights of a hit by place, the passage budget and the result limits.
 TITLE_WEIGHT, TAG_WEIGHT, CONTENT_WEIGHT = 4, 2, 1
 BUDGET = 2500
 DEFAULT_RESULTS = 5
+# Postings of a shard, query words that visit a shard together, and documents under one upper bound.
+SHARD_POSTINGS, PART_TERMS, BLOCK_DOCS = 2_000_000, 1_000_000, 64
 # How a heading line and a paragraph break are written.
 HEADING = rf"(?md)^(#{{1,6}}){SPACE}+(.+?){SPACE}*$"
 BLANK_LINE = rf"\n{SPACE}*\n"
@@ -106,48 +111,140 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def expand_terms(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """(word, token, k): vocabulary words holding a query token, with the occurrences in it.
+def expand_terms(postings: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(word, found): vocabulary words holding query tokens, with (key, times) of every token in them.
 
-    A token consists of word characters only, so an occurrence in a text never crosses the
-    edge of a word: counting inside words and adding up is exact.
+    ``tokens(token, token_id)`` are distinct. A token consists of word characters only, so an occurrence in a text
+    never crosses the edge of a word: counting inside words and adding up is exact.
     """
-    vocabulary = postings.select("word").distinct()
-    pairs = substring_pairs(vocabulary, "word", terms, "token")
-    return pairs.select(
-        "word", F.col("needle").alias("token"), occurrences(F.col("word"), F.col("needle")).alias("k")
-    )
+    return find_needles(postings.select("word").distinct(), "word", tokens, "token", "token_id")
 
 
 def search_batch(postings: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS) -> DataFrame:
     """Top ``k`` documents for every row of ``queries(query_id, text)``.
 
-    Postings meet the expanded words by equi-join; words no query asks for fall out there.
-    Hot words are split by adaptive skew handling: the join shuffles (``merge``), is inner and
-    is followed by a shuffle of its own, so a skewed word is divided among tasks.
+    Postings meet the words that hold a query token by equi-join; words no query asks for fall out there. What is left
+    goes to shards of documents, and the query words to all shards; a shard returns its ``k`` best
+    documents of every query (``_shard_best``), and these are merged. So no row per query and document leaves
+    a task, and a common token, which is in a large share of the documents, is divided among the shards. Both shards and parts of
+    the queries have a bounded size.
     """
-    terms = query_terms(queries)
+    spark = postings.sparkSession
+    terms = stored(query_terms(queries))
+    tokens = stored(terms.select("token").distinct().withColumn("token_id", F.monotonically_increasing_id()))
+    numbered = terms.join(tokens, "token").select("query_id", "token_id", "times")
     # The expansion grows with the vocabulary, so it must never be broadcast on an estimate.
-    hits = postings.join(expand_terms(postings, terms).hint("merge"), "word")
-    per_token = hits.groupBy("doc_id", "token").agg(
-        F.sum(F.col("tf") * F.col("k")).alias("content"),
-        F.max("in_title").alias("title"),
-        F.max("in_tags").alias("tag"),
-    )
-    # A common token is in a large share of the documents: terms go to them, or salted if many.
-    per_query = (
-        attach(per_token, terms, ["token"], F.col("doc_id"), how="inner")
-        .groupBy("query_id", "doc_id")
-        .agg(
-            F.sum(F.col("title") * F.col("times")).alias("title_score"),
-            F.sum(F.col("tag") * F.col("times")).alias("tag_score"),
-            F.sum(F.col("content") * F.col("times")).alias("content_score"),
-        )
-        .withColumn("total", total_score(F.col("title_score"), F.col("tag_score"), F.col("content_score")))
-        .where("total > 0")
-    )
-    best = W.partitionBy("query_id").orderBy(F.col("total").desc(), "doc_id")
-    return per_query.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    hits = postings.join(expand_terms(postings, tokens).hint("merge"), "word")
+    shards = max(spark.sparkContext.defaultParallelism, -(-postings.count() // SHARD_POSTINGS))
+    parts = max(1, -(-terms.count() // PART_TERMS))
+    dealt = hits.select(
+        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), _every(parts).alias("part"),
+        "doc_id", "tf", "in_title", "in_tags", "found")
+    asked = numbered.select(
+        F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), _every(shards).alias("shard"), "query_id", "token_id", "times")
+    types = {f.name: f.dataType.simpleString() for f in (postings.schema["doc_id"], queries.schema["query_id"])}
+    schema = f"query_id {types['query_id']}, doc_id {types['doc_id']}, title_score long, tag_score long, content_score long, total long"
+
+    def best(rows: pa.Table, words: pa.Table) -> pa.Table:
+        return _shard_best(rows, words, k)
+
+    partial = dealt.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(best, schema)
+    order = W.partitionBy("query_id").orderBy(F.col("total").desc(), "doc_id")
+    return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _every(number: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, … of every run, end to end."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _shard_best(rows: pa.Table, terms: pa.Table, k: int) -> pa.Table:
+    """The ``k`` best documents of one shard for every query, by postings in blocks with upper bounds.
+
+    Documents are ordered by all they could score and cut into blocks, so that blocks differ in what they can reach.
+    Every token keeps its highest score per block; their sum over a query's words bounds each block. The most promising blocks
+    are scored first; then only those are whose bound reaches the k-th best total (equal totals count, as
+    the smaller document wins them).
+    """
+    flat = rows["found"].combine_chunks()
+    sizes = pc.list_value_length(flat).to_numpy().astype(np.int64)
+    # Documents by number, in order of their ids.
+    ids = pc.unique(rows["doc_id"]).sort()
+    doc = pc.index_in(rows["doc_id"], ids).to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(rows.num_rows), sizes)
+    tokens, token = np.unique(flat.flatten().field("key").to_numpy(), return_inverse=True)
+    places = token * len(ids) + doc[row]
+    order = np.argsort(places, kind="stable")
+    first = np.flatnonzero(np.r_[True, places[order][1:] != places[order][:-1]]) if len(order) else np.zeros(0, np.int64)
+    if not len(first):
+        return _results(ids, terms["query_id"].combine_chunks().slice(0, 0), *np.zeros((5, 0), np.int64))
+    times, at = flat.flatten().field("times").to_numpy().astype(np.int64)[order], row[order]
+    content = np.add.reduceat(rows["tf"].to_numpy()[at] * times, first)
+    title = np.maximum.reduceat(rows["in_title"].to_numpy()[at].astype(np.int64), first)
+    tag = np.maximum.reduceat(rows["in_tags"].to_numpy()[at].astype(np.int64), first)
+    token, doc = places[order][first] // len(ids), places[order][first] % len(ids)
+    impact = title * TITLE_WEIGHT + tag * TAG_WEIGHT + content * CONTENT_WEIGHT
+
+    by_impact = np.argsort(-np.bincount(doc, weights=impact, minlength=len(ids)), kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[by_impact] = np.arange(len(ids))
+    order = np.lexsort((place[doc], token))
+    token, doc, title, tag, content, impact = (x[order] for x in (token, doc, title, tag, content, impact))
+    block = place[doc] // BLOCK_DOCS
+    blocks = int(block.max()) + 1
+    # One entry per token and block: where its postings are and their highest score.
+    entry = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
+    entry_size, entry_block, highest = np.diff(np.r_[entry, len(token)]), block[entry], np.maximum.reduceat(impact, entry)
+    entry_of_token = np.searchsorted(token[entry], np.arange(len(tokens) + 1))
+
+    query_ids = terms["query_id"].combine_chunks().dictionary_encode()
+    query = query_ids.indices.to_numpy()
+    asked, known = np.searchsorted(tokens, terms["token_id"].to_numpy()), np.isin(terms["token_id"].to_numpy(), tokens)
+    order = np.flatnonzero(known)
+    order = order[np.argsort(query[order], kind="stable")]
+    query, asked, times = query[order], asked[order], terms["times"].to_numpy()[order]
+    cuts = np.r_[np.flatnonzero(np.r_[True, query[1:] != query[:-1]]), len(query)] if len(query) else np.zeros(1, np.int64)
+    found = []
+    for a, b in zip(cuts, cuts[1:]):
+        start, size = entry_of_token[asked[a:b]], entry_of_token[asked[a:b] + 1] - entry_of_token[asked[a:b]]
+        own, weight = _runs(start, size), np.repeat(times[a:b], size)
+        bound = np.bincount(entry_block[own], weights=weight * highest[own], minlength=blocks)
+        ranked = np.argsort(-bound, kind="stable")
+        ranked = ranked[bound[ranked] > 0]
+        head = 1 + -(-k // BLOCK_DOCS)
+        hits = _scored(own, weight, ranked[:head], blocks, entry_block, entry, entry_size, doc, title, tag, content)
+        least = np.partition(hits[1], len(hits[1]) - k)[-k] if len(hits[1]) >= k else 1
+        rest = ranked[head:][bound[ranked[head:]] >= least]
+        if len(rest):
+            more = _scored(own, weight, rest, blocks, entry_block, entry, entry_size, doc, title, tag, content)
+            hits = [np.r_[x, y] for x, y in zip(hits, more)]
+        top = np.lexsort((hits[0], -hits[1]))[:k]
+        found.append([np.full(len(top), query[a]), *(x[top] for x in hits)])
+    number, doc, total, title, tag, content = (np.concatenate(x) for x in zip(*found)) if found else np.zeros((6, 0), np.int64)
+    return _results(ids, query_ids.dictionary.take(pa.array(number, pa.int64())), doc, title, tag, content, total)
+
+
+def _scored(own, weight, chosen, blocks, entry_block, entry, entry_size, doc, title, tag, content) -> list[np.ndarray]:
+    """Documents of the chosen blocks that score, with total and its parts."""
+    wanted = np.zeros(blocks, bool)
+    wanted[chosen] = True
+    here = wanted[entry_block[own]]
+    entries, weight = own[here], weight[here]
+    at, weight = _runs(entry[entries], entry_size[entries]), np.repeat(weight, entry_size[entries])
+    docs, number = np.unique(doc[at], return_inverse=True)
+    parts = [np.bincount(number, weights=weight * x[at], minlength=len(docs)).astype(np.int64) for x in (title, tag, content)]
+    total = parts[0] * TITLE_WEIGHT + parts[1] * TAG_WEIGHT + parts[2] * CONTENT_WEIGHT
+    return [x[total > 0] for x in (docs, total, *parts)]
+
+
+def _results(ids: pa.Array, queries: pa.Array, doc, title, tag, content, total) -> pa.Table:
+    scores = {"title_score": title, "tag_score": tag, "content_score": content, "total": total}
+    return pa.table({
+        "query_id": queries, "doc_id": ids.take(pa.array(doc.astype(np.int64))), **{n: pa.array(x.astype(np.int64)) for n, x in scores.items()}})
 
 
 # ---------------------------------------------------------------- sections and paragraphs

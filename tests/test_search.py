@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions.text import tokens
@@ -146,12 +147,75 @@ def test_substring_pairs_on_long_and_short_texts(spark, monkeypatch):
     left = spark.createDataFrame(list(enumerate(texts)), "id INT, t STRING")
     right = spark.createDataFrame([(n,) for n in needles + ["abc"]], "n STRING")
     expected = sorted((i, n) for i, t in enumerate(texts) for n in set(needles) if n and n in t)
-    for bound in (200_000, 0):
-        monkeypatch.setattr("docweave.functions.joins.BROADCAST_ROWS", bound)
+    for bound in (200_000, 3):
+        monkeypatch.setattr("docweave.functions.needles.NEEDLE_ROWS", bound)
         got = sorted((r.id, r.needle) for r in substring_pairs(left, "t", right, "n").collect())
         assert got == expected
 
 
+def test_containment_beyond_one_automaton_and_of_many_lengths(spark, monkeypatch):
+    from docweave.functions import needles
+    from docweave.functions.joins import substring_pairs
+
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ab") for _ in range(n)) for n in (0, 1, 7, 250, 900)] + [None, "aß😀a", "aaaaaaa"]
+    wanted = {texts[4][k : k + k // 2 + 1] for k in range(200)} | {"aa", "ß😀", "zzz", "aaa"}
+    assert len({len(w) for w in wanted}) >= 100
+    left = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts * 2)], "id INT, t STRING, _x INT")
+    right = spark.createDataFrame([(w, k) for k, w in enumerate(sorted(wanted))] + [("", -1), (None, -2)], "n STRING, number LONG")
+    names = dict(enumerate(sorted(wanted)))
+    pairs = sorted((i, w) for i, t in enumerate(texts * 2) for w in wanted if t and w in t)
+    for bound in (200_000, 30, 1):
+        monkeypatch.setattr(needles, "NEEDLE_ROWS", bound)
+        assert sorted((r.id, r.needle) for r in substring_pairs(left, "t", right, "n").collect()) == pairs
+        found = needles.find_needles(left, "t", right, "n", "number")
+        assert found.columns == ["id", "t", "_x", "found"]
+        counts = sorted((r.id, names[f.key], f.times) for r in found.collect() for f in r.found)
+        assert counts == sorted((i, w, (texts * 2)[i].count(w)) for i, w in pairs)
+
+
+@pytest.mark.parametrize("shard, part, block, words", [(10, 1, 1, 200_000), (7, 2, 3, 2), (2_000_000, 1_000_000, 64, 200_000)])
+def test_batch_by_shards_and_blocks(spark, monkeypatch, shard, part, block, words):
+    rnd = random.Random(block)
+    monkeypatch.setattr(search, "SHARD_POSTINGS", shard * 100)
+    monkeypatch.setattr(search, "PART_TERMS", part)
+    monkeypatch.setattr(search, "BLOCK_DOCS", block)
+    monkeypatch.setattr("docweave.functions.needles.NEEDLE_ROWS", words)
+    rows, docs = make_docs(spark, 150, 9)
+    queries = {f"q{k}": " ".join(rnd.choice([*WORDS, "ord", "e", "zzz"]) for _ in range(rnd.randrange(5))) for k in range(8)}
+    table = spark.createDataFrame([*queries.items(), ("none", None)], "query_id STRING, text STRING")
+    got = {}
+    for r in search.search_batch(search.build_postings(docs), table, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.title_score, r.tag_score, r.content_score, r.total))
+    assert got == {q: brute(rows, text, 4) for q, text in queries.items() if brute(rows, text, 4)}
+
+
+def test_no_row_per_query_and_document_leaves_a_task(spark):
+    rows, docs = make_docs(spark, 400, 4)
+    table = spark.createDataFrame([(k, "a b order customer") for k in range(50)], "query_id BIGINT, text STRING")
+    found = search.search_batch(search.build_postings(docs), table, 3)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Only the merge is keyed by query, and it stands above the shards, which give k rows per query each.
+    lines = plan.splitlines()
+    merge = [k for k, line in enumerate(lines) if "hashpartitioning(query_id" in line]
+    shards = [k for k, line in enumerate(lines) if "FlatMapCoGroupsInArrow" in line]
+    assert merge and shards and merge[0] < shards[0] and not any("query_id" in line and "Join" in line for line in lines[shards[0]:] if "token" not in line)
+
+
+def test_a_shard_gives_its_best_only(spark):
+    import pyarrow as pa
+
+    found = [[{"key": 5, "times": 1}]] * 200
+    rows = pa.table({
+        "doc_id": pa.array(range(200)), "tf": pa.array([1 + d % 17 for d in range(200)]), "in_title": pa.array([0] * 200, pa.int32()), "in_tags": pa.array([0] * 200, pa.int32()),
+        "found": pa.array(found, pa.list_(pa.struct([("key", pa.int64()), ("times", pa.int32())])))})
+    terms = pa.table({"query_id": pa.array([1, 2, 3]), "token_id": pa.array([5, 5, 6]), "times": pa.array([1, 2, 1])})
+    best = search._shard_best(rows, terms, 4).to_pylist()
+    expected = sorted(range(200), key=lambda d: (-(d % 17), d))[:4]
+    assert [(r["query_id"], r["doc_id"], r["total"]) for r in best] == [(q, d, q * 17) for q in (1, 2) for d in expected]
+
+
 def test_more_results_than_ten_are_given(spark):
     docs = spark.createDataFrame([(k, f"apple {k}", ["t"], "apple") for k in range(30)], "doc_id BIGINT, title STRING, tags ARRAY<STRING>, content STRING")
     assert search.search_top_k(docs, "apple", 25).count() == 25
