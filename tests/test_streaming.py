@@ -3,7 +3,7 @@ import random
 
 from docweave import schemas as layouts
 from docweave.operators import cache
-from docweave.streaming import jobs
+from docweave.streaming import jobs, state
 from workload import conformance_q
 
 START = datetime.datetime(2024, 5, 1)
@@ -67,6 +67,58 @@ def test_any_cut_of_a_log_gives_the_same_cache(spark, tmp_path):
         assert sorted(map(tuple, jobs.current_cache(spark, root).collect())) == expected
 
 
+def keyed_run(spark, root, parts, ttl=24 * 3600, keep_ms=None):
+    """Write parts of a log one after the other and drain the stream after the last."""
+    for part in parts:
+        spark.createDataFrame(part, FETCHED).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    source = spark.readStream.schema(FETCHED).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    state.keyed_refresh_stream(source, f"{root}/changes", f"{root}/checkpoint", ttl, keep_ms).awaitTermination()
+    return sorted(map(tuple, state.keyed_cache(spark, f"{root}/changes").collect()))
+
+
+def test_keyed_state_equals_a_loop_for_any_cut(spark, tmp_path):
+    rnd = random.Random(11)
+    log = sorted(
+        ((f"/p{rnd.randrange(5)}" if k % 17 else None, kind := rnd.choice(["ok", "ok", "not_modified", "transient"]), f"b{k}" if kind == "ok" and k % 13 else None, f"e{k}", at(rnd.randrange(200)))
+         for k in range(150)), key=lambda r: r[4])
+    entries = {}
+    rank = {"ok": 0, "not_modified": 1, "transient": 2}
+    for path, kind, body, etag, ts in sorted(log, key=lambda r: (r[4], rank[r[1]] if r[2] or r[1] != "ok" else 2, [-ord(c) for c in r[2] or ""])):
+        old = entries.get(path)
+        if path and not (old and ts - old[2] < datetime.timedelta(days=1)):
+            if kind == "ok" and body:
+                entries[path] = (body, etag, ts)
+            elif kind == "not_modified" and old:
+                entries[path] = (*old[:2], ts)
+    expected = sorted((p, *e) for p, e in entries.items())
+    times = sorted({r[4] for r in log})
+    for number, cuts in enumerate(([], [times[len(times) // 2]], [times[len(times) // 5], times[len(times) // 2], times[-3]])):
+        edges = [times[0], *cuts, times[-1] + datetime.timedelta(hours=1)]
+        parts = [[r for r in log if low <= r[4] < high] for low, high in zip(edges, edges[1:])]
+        assert keyed_run(spark, str(tmp_path / f"log{number}"), parts) == expected
+
+
+def test_late_fetch_changes_nothing_and_state_survives_a_restart(spark, tmp_path):
+    root = str(tmp_path / "log")
+    assert keyed_run(spark, root, [[("/a", "ok", "new", "e2", at(50))]]) == [("/a", "new", "e2", at(50))]
+    assert keyed_run(spark, root, [[("/a", "ok", "old", "e1", at(10))]]) == [("/a", "new", "e2", at(50))]
+    assert keyed_run(spark, root, [[("/a", "not_modified", None, None, at(90))]]) == [("/a", "new", "e2", at(90))]
+
+
+def test_entries_leave_the_state_after_their_time(spark, tmp_path):
+    import time
+
+    outcomes = {}
+    for keep, name in ((1500, "short"), (600_000, "long")):
+        root = str(tmp_path / name)
+        keyed_run(spark, root, [[("/a", "ok", "a1", "e1", at(0))]], keep_ms=keep)
+        time.sleep(2)
+        keyed_run(spark, root, [[("/a", "not_modified", None, None, at(30))]], keep_ms=keep)
+        outcomes[name] = sorted(r.outcome for r in spark.read.parquet(f"{root}/changes").collect())
+    # Gone from the state, a path that was not modified has nothing to renew.
+    assert outcomes == {"short": ["error", "replaced"], "long": ["replaced", "revalidated"]}
+
+
 def test_validate_stream_equals_batch(spark, tmp_path):
     source = str(tmp_path / "bodies")
     bodies = conformance_q.bodies(spark, "/root/testdata/sf0.001")

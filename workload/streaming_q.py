@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docweave.streaming import jobs
+from docweave.streaming import jobs, state
 from workload import conformance_q
 from workload.base import register, scratch, table
 
@@ -14,7 +14,7 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-@register("cache_refresh_stream", """
+REFRESHED_SQL = """
 WITH RECURSIVE f AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderstatus AS st, o_orderpriority AS prio, o_orderkey * 10 AS ts,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
 s AS (
@@ -26,17 +26,34 @@ s AS (
     CASE WHEN st = 'F' AND content IS NULL THEN ts WHEN st IN ('F', 'O') AND ts - fetched >= 86400 THEN ts ELSE fetched END
   FROM s JOIN f ON f.k = s.k AND f.n = s.n + 1)
 SELECT '/c/' || k AS path, content, etag FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1) WHERE content IS NOT NULL
-""")
+"""
+FETCHES = (
+    "concat('c/', o_custkey, '/') AS path", "CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'not_modified' ELSE 'permanent' END AS kind",
+    "if(o_orderstatus = 'F', concat('page ', o_orderkey), NULL) AS body", "concat('e', o_orderpriority) AS etag", "timestamp_seconds(o_orderkey * 10) AS ts")
+
+
+@register("cache_refresh_stream", REFRESHED_SQL)
 def cache_refresh_stream(spark, sf):
-    fetched = _stream(spark, sf, "orders").selectExpr(
-        "concat('c/', o_custkey, '/') AS path", "CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'not_modified' ELSE 'permanent' END AS kind",
-        "if(o_orderstatus = 'F', concat('page ', o_orderkey), NULL) AS body", "concat('e', o_orderpriority) AS etag",
-        "timestamp_seconds(o_orderkey * 10) AS ts")
+    fetched = _stream(spark, sf, "orders").selectExpr(*FETCHES)
     target = scratch(spark)
     jobs.cache_refresh_stream(fetched, f"{target}/log", f"{target}/state").awaitTermination()
     return jobs.current_cache(spark, f"{target}/log").select("path", "content", "etag")
 
 
+@register("keyed_refresh_stream", REFRESHED_SQL)
+def keyed_refresh_stream(spark, sf):
+    """The fetch log in three parts by time, each a micro-batch of its own, with the entries in keyed state."""
+    orders = table(spark, sf, "orders")
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    target = scratch(spark)
+    third = F.floor((F.col("o_orderkey") - low) * 3 / (high - low + 1))
+    for part in range(3):
+        orders.where(third == part).coalesce(1).write.mode("append").parquet(f"{target}/fetches")
+    source = spark.readStream.schema(orders.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/fetches")
+    state.keyed_refresh_stream(source.selectExpr(*FETCHES), f"{target}/changes", f"{target}/state").awaitTermination()
+    return state.keyed_cache(spark, f"{target}/changes").select("path", "content", "etag")
+
+
 @register("validate_stream", f"WITH {conformance_q.ISSUES_SQL} SELECT body_id, level, rule, field FROM issues")
 def validate_stream(spark, sf):
     bodies = _stream(spark, sf, "orders").selectExpr(
