@@ -89,7 +89,7 @@ def parse(formatted: Column) -> Column:
 
     def role(escaped: Column) -> Column:
         # A doubled backslash is told from one before an n by looking at pairs from the left.
-        plain = F.regexp_replace(unescape(escaped), r"\G((?:[^\\]|\\\\)*)\\n", "$1\n")
+        plain = F.regexp_replace(unescape(escaped), r"\G([^\\]*+(?:\\\\[^\\]*+)*+)\\n", "$1\n")
         return F.regexp_replace(plain, r"\\\\", r"\\")
 
     return F.arrays_zip(

@@ -283,3 +283,15 @@ def test_stages_equal_plain_python(spark):
         lengths[r.doc_id] += r.length
     encoder = Tokenizer.from_file(str(queries.BYTE_VOCABULARY))
     assert dict(lengths) == {k: len(encoder.encode(t, add_special_tokens=False).ids) + 1 for k, t in final.items()}
+
+
+def test_long_roles_come_back(spark):
+    from docweave.llm import chat
+
+    roles = ["r" * 2000, "a\\n\n" * 50_000, "\\" * 300_000 + "\n", "x" * 1_000_000, "<s>\n" * 10_000, ""]
+    rows = [(k, 1, role, "text") for k, role in enumerate(roles)]
+    rendered = chat.render(spark.createDataFrame(rows, "conv_id long, message long, role string, text string"))
+    from pyspark.sql import functions as F
+
+    back = {r.conv_id: r.t[0].role for r in rendered.select("conv_id", chat.parse(F.col("formatted")).alias("t")).collect()}
+    assert back == dict(enumerate(roles))
