@@ -19,7 +19,7 @@ from docweave.session import stored
 # Words after which a block of documents is closed, and distinct words per dictionary row.
 BLOCK_WORDS, CHUNK = 1 << 22, 1 << 14
 # Words of documents that are scored or trained on together, and lanes and steps of a training window.
-TOGETHER, LANES, WINDOW = 1 << 20, 128, 16
+TOGETHER, LANES, WINDOW = 1 << 22, 128, 16
 # Texts whose states move on together when they are scored.
 TEXTS = 512
 # Numbers per row of parameters on their way to the average, and tasks averaged in one group.
@@ -78,7 +78,7 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 found = (text or b"").lower().split()
                 found.append(b"")
-                tokens.append(np.array(list(map(numbers.__getitem__, found)), np.int32))
+                tokens.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
             learned = [t for t, h in zip(tokens, held) if not h]
             more = np.bincount(np.concatenate([np.zeros(0, np.int32), *learned]), minlength=len(numbers))
             more[: len(seen)] += seen
@@ -237,11 +237,22 @@ class Network:
             kept.append((before, update, reset, carried, new))
         return states, (given, kept)
 
-    def _normalised(self, logits: np.ndarray) -> np.ndarray:
-        """Log probabilities, in place. Logits are kept where their exponential is finite; they begin at or below 0."""
+    def _softmax(self, logits: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probability of the picked column of every row, and the exponentials and their sums.
+
+        Logits, which begin at or below 0, are kept where their exponential is finite.
+        """
         np.clip(logits, -80, 80, out=logits)
-        logits -= np.log(np.exp(logits) @ np.ones((logits.shape[1], 1), self.dtype))
-        return logits
+        own = logits[np.arange(len(logits)), picked]
+        powers = np.exp(logits, out=logits)
+        sums = powers @ np.ones((powers.shape[1], 1), self.dtype)
+        return own - np.log(sums[:, 0]), powers, sums
+
+    def _slope(self, powers: np.ndarray, sums: np.ndarray, picked: np.ndarray, scale) -> np.ndarray:
+        """Gradient of the scaled negative log probability by the logits, in place of the exponentials."""
+        powers *= scale / sums
+        powers[np.arange(len(powers)), picked] -= scale
+        return powers
 
     def _classes(self, targets: np.ndarray) -> np.ndarray:
         return np.where(targets == self.kept, self.classes, targets // self.width)
@@ -252,20 +263,22 @@ class Network:
         cuts = np.searchsorted(classes[order], np.arange(self.classes + 1)).tolist()
         return order[: cuts[-1]], [(c, slice(i, j)) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
 
-    def _within(self, states: np.ndarray, classes: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
-        """Log probabilities of the words of each state's class, for states ordered by class."""
+    def _word_logits(self, states: np.ndarray, classes: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+        """Logits of the words of each state's class, for states ordered by class."""
         logits = self.p["word_bias"][classes]
         for c, part in parts:
             logits[part] += states[part] @ self.p["word"][c]
-        logits[self.absent[classes]] = -80
-        return self._normalised(logits)
+        if self.absent.any():
+            logits[self.absent[classes]] = -80
+        return logits
 
     def log_probability(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log probability of each target (a word's rank, or ``kept``: outside) after its state."""
         classes = self._classes(targets)
-        out = self._normalised(states @ self.p["class"] + self.p["class_bias"])[np.arange(len(targets)), classes].astype(np.float64)
+        out = self._softmax(states @ self.p["class"] + self.p["class_bias"], classes)[0].astype(np.float64)
         at, parts = self._by_class(classes)
-        out[at] += self._within(states[at], classes[at], parts)[np.arange(len(at)), targets[at] - classes[at] * self.width]
+        own = classes[at]
+        out[at] += self._softmax(self._word_logits(states[at], own, parts), targets[at] - own * self.width)[0]
         return out
 
     def gradients(self, inputs, targets, counted, state, fresh):
@@ -280,26 +293,23 @@ class Network:
         flat = states.reshape(-1, h)[live]
         wanted = targets.ravel()[live]
         classes = self._classes(wanted)
-        log_class = self._normalised(flat @ p["class"] + p["class_bias"])
-        loss = -float(log_class[np.arange(len(live)), classes].sum())
-        d_class = np.exp(log_class)
-        d_class[np.arange(len(live)), classes] -= 1
-        d_class *= scale
+        log_class, powers, sums = self._softmax(flat @ p["class"] + p["class_bias"], classes)
+        d_class = self._slope(powers, sums, classes, scale)
         g = {"class": flat.T @ d_class, "class_bias": d_class.sum(0)}
         d_flat = d_class @ p["class"].T
         at, parts = self._by_class(classes)
         near, own = flat[at], classes[at]
-        log_word = self._within(near, own, parts)
-        place = (np.arange(len(at)), wanted[at] - own * self.width)
-        loss -= float(log_word[place].sum())
-        d_word = np.exp(log_word)
-        d_word[place] -= 1
-        d_word *= scale
+        place = wanted[at] - own * self.width
+        log_word, powers, sums = self._softmax(self._word_logits(near, own, parts), place)
+        loss = -float(log_class.sum()) - float(log_word.sum())
+        d_word = self._slope(powers, sums, place, scale)
         g["word"], g["word_bias"] = np.zeros_like(p["word"]), np.zeros_like(p["word_bias"])
-        d_near = np.empty_like(near)
+        back, d_near = np.ascontiguousarray(p["word"].transpose(0, 2, 1)), np.empty_like(near)
         for c, part in parts:
-            g["word"][c], g["word_bias"][c] = near[part].T @ d_word[part], d_word[part].sum(0)
-            np.matmul(d_word[part], p["word"][c].T, out=d_near[part])
+            g["word"][c] = near[part].T @ d_word[part]
+            d_near[part] = d_word[part] @ back[c]
+        if parts:
+            g["word_bias"][[c for c, _ in parts]] = np.add.reduceat(d_word, [part.start for _, part in parts])
         d_flat[at] += d_near
         d_states = np.zeros((states.shape[0] * states.shape[1], h), self.dtype)
         d_states[live] = d_flat
