@@ -225,17 +225,17 @@ class Network:
         given = p["embed"][inputs]
         gates = given @ p["into"] + p["bias"]
         steps, lanes = inputs.shape
-        states = np.empty((steps, lanes, h), self.dtype)
-        kept = []
+        states, before, carried, new = (np.empty((steps, lanes, h), self.dtype) for _ in range(4))
+        open_ = np.empty((steps, lanes, 2 * h), self.dtype)  # how far each unit updates and resets
+        kept = None if fresh is None else (~fresh[:, :, None]).astype(self.dtype)
         for t in range(steps):
-            before = state if fresh is None else state * ~fresh[t][:, None]
-            again = before @ p["again"]
-            update, reset = _sigmoid(gates[t, :, :h] + again[:, :h]), _sigmoid(gates[t, :, h : 2 * h] + again[:, h : 2 * h])
-            carried = again[:, 2 * h :] + p["again_bias"]
-            new = np.tanh(gates[t, :, 2 * h :] + reset * carried)
-            state = states[t] = new + update * (before - new)
-            kept.append((before, update, reset, carried, new))
-        return states, (given, kept)
+            before[t] = state if fresh is None else state * kept[t]
+            again = before[t] @ p["again"]
+            open_[t] = _sigmoid(gates[t, :, : 2 * h] + again[:, : 2 * h])
+            carried[t] = again[:, 2 * h :] + p["again_bias"]
+            new[t] = np.tanh(gates[t, :, 2 * h :] + open_[t, :, h:] * carried[t])
+            state = states[t] = new[t] + open_[t, :, :h] * (before[t] - new[t])
+        return states, (given, before, open_, carried, new, kept)
 
     def _softmax(self, logits: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log probability of the picked column of every row, and the exponentials and their sums.
@@ -287,7 +287,7 @@ class Network:
         The state before the window is taken as given, which cuts the way back there.
         """
         p, h = self.p, self.hidden
-        states, (given, kept) = self.forward(inputs, state, fresh)
+        states, (given, before, open_, carried, new, kept) = self.forward(inputs, state, fresh)
         live = np.flatnonzero(counted.ravel())
         scale = self.dtype(1 / max(1, len(live)))
         flat = states.reshape(-1, h)[live]
@@ -314,19 +314,21 @@ class Network:
         d_states = np.zeros((states.shape[0] * states.shape[1], h), self.dtype)
         d_states[live] = d_flat
         d_states = d_states.reshape(states.shape)
-        d_gates = np.empty((*inputs.shape, 3 * h), self.dtype)
-        d_again = np.empty_like(d_gates)
+        update, reset = open_[:, :, :h], open_[:, :, h:]
+        # What each gate passes on of the state's gradient, for the whole window at once.
+        by_new = (1 - update) * (1 - new * new)
+        by_update, by_reset = (before - new) * update * (1 - update), by_new * carried * reset * (1 - reset)
+        by_gate, by_carried = np.concatenate([by_update, by_reset, by_new], 2), by_new * reset
+        d_gates, d_again = np.empty_like(by_gate), np.empty_like(by_gate)
+        back = np.ascontiguousarray(p["again"].T)
         d_next = np.zeros_like(state)
         for t in range(len(inputs) - 1, -1, -1):
-            before, update, reset, carried, new = kept[t]
             d_state = d_states[t] + d_next
-            d_new = d_state * (1 - update) * (1 - new * new)
-            d_update = d_state * (before - new) * update * (1 - update)
-            d_reset = d_new * carried * reset * (1 - reset)
-            d_gates[t, :, :h], d_gates[t, :, h : 2 * h], d_gates[t, :, 2 * h :] = d_update, d_reset, d_new
-            d_again[t, :, : 2 * h], d_again[t, :, 2 * h :] = d_gates[t, :, : 2 * h], d_new * reset
-            d_next = (d_state * update + d_again[t] @ p["again"].T) * ~fresh[t][:, None]
-        before = np.stack([k[0] for k in kept]).reshape(-1, h)
+            np.multiply(by_gate[t].reshape(-1, 3, h), d_state[:, None], out=d_gates[t].reshape(-1, 3, h))
+            d_again[t, :, : 2 * h] = d_gates[t, :, : 2 * h]
+            np.multiply(d_state, by_carried[t], out=d_again[t, :, 2 * h :])
+            d_next = (d_state * update[t] + d_again[t] @ back) * kept[t]
+        before = before.reshape(-1, h)
         rows = d_gates.reshape(-1, 3 * h)
         g["again"], g["again_bias"] = before.T @ d_again.reshape(-1, 3 * h), d_again[:, :, 2 * h :].sum((0, 1))
         g["into"], g["bias"] = given.reshape(-1, given.shape[2]).T @ rows, rows.sum(0)
