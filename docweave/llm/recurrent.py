@@ -18,6 +18,8 @@ from docweave.session import stored
 
 # Words after which a block of documents is closed, and distinct words per dictionary row.
 BLOCK_WORDS, CHUNK = 1 << 22, 1 << 14
+# Words of learned documents gathered before they are counted.
+FRESH = 1 << 20
 # Words of documents that are scored or trained on together, and lanes and steps of a training window.
 TOGETHER, LANES, WINDOW = 1 << 22, 128, 16
 # Texts whose states move on together when they are scored.
@@ -63,10 +65,15 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, rows, size, numbers, seen = TaskContext.get().partitionId() << 32, 0, 0, Numbers(), np.zeros(0, np.int64)
+        block, rows, size, numbers, seen, learned = TaskContext.get().partitionId() << 32, 0, 0, Numbers(), np.zeros(0, np.int64), []
+
+        def counted():
+            more = np.bincount(np.concatenate([np.zeros(0, np.int32), *learned]), minlength=len(numbers))
+            more[: len(seen)] += seen
+            return more
 
         def listed():
-            words = list(numbers)
+            words, seen = list(numbers), counted()
             for at in range(0, len(words), CHUNK):
                 part = slice(at, at + CHUNK)
                 yield _record(BLOCK_TYPES, {"block": [block], "first": [at], "words": [words[part]], "seen": [seen[part]]}, 1)
@@ -79,10 +86,9 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
                 found = (text or b"").lower().split()
                 found.append(b"")
                 tokens.append(np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)))
-            learned = [t for t, h in zip(tokens, held) if not h]
-            more = np.bincount(np.concatenate([np.zeros(0, np.int32), *learned]), minlength=len(numbers))
-            more[: len(seen)] += seen
-            seen = more
+            learned += [t for t, h in zip(tokens, held) if not h]
+            if sum(map(len, learned)) >= FRESH:
+                seen, learned = counted(), []
             if ids:
                 yield _record(BLOCK_TYPES, {
                     "block": np.full(len(ids), block), "row": np.arange(rows, rows + len(ids)), "doc_id": ids, "held_out": held,
@@ -90,7 +96,7 @@ def word_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
             rows, size = rows + len(ids), size + sum(map(len, tokens))
             if size >= block_words:
                 yield from listed()
-                block, rows, size, numbers, seen = block + 1, 0, 0, Numbers(), np.zeros(0, np.int64)
+                block, rows, size, numbers, seen, learned = block + 1, 0, 0, Numbers(), np.zeros(0, np.int64), []
         yield from listed()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, StructType.fromDDL(BLOCKS))
