@@ -176,18 +176,21 @@ def _first_change() -> Column:
 # ---------------------------------------------------------------- profiles and suggestions
 
 
-def describe_endpoints(endpoints: DataFrame, schemas: DataFrame, error_codes: DataFrame,
-                       changes: DataFrame) -> DataFrame:
-    """One row per documented (method, path): schema, first errors, first mentions, deprecation."""
+def describe_endpoints(endpoints: DataFrame, schemas: DataFrame, error_codes: DataFrame, changes: DataFrame,
+                       shown_errors: int = SHOWN_ERRORS, shown_mentions: int = SHOWN_MENTIONS) -> DataFrame:
+    """One row per documented (method, path): schema, first errors, first mentions, deprecation.
+
+    ``n_errors`` and ``n_mentions`` tell how many there are; ask for as many to see all.
+    """
     first = endpoints.groupBy("method", "path").agg(
         F.min_by(
             F.struct("page_ord", "tbl_ord", "row_ord", "title", "docs_path", "deprecated", "deprecation_note"),
             F.struct(*POSITION),
         ).alias("e")
     ).select("method", "path", "e.*")
-    errors = _listed(errors_for_endpoint(first, error_codes), F.struct("rank", "code", "reason"), "errors")
+    errors = _listed(errors_for_endpoint(first, error_codes, shown_errors), F.struct("rank", "code", "reason"), "errors")
     mentions = _listed(
-        release_mentions(first, changes), F.struct("rank", "date", "raw_date", "section", "title"), "mentions"
+        release_mentions(first, changes, shown_mentions), F.struct("rank", "date", "raw_date", "section", "title"), "mentions"
     )
     profiled = attach(first, resolve.request_schemas(schemas), ["docs_path"], F.xxhash64("method", "path"))
     none = F.lit(0).cast("bigint")
@@ -202,7 +205,7 @@ def describe_endpoints(endpoints: DataFrame, schemas: DataFrame, error_codes: Da
 
 
 def _listed(rows: DataFrame, item: Column, name: str) -> DataFrame:
-    """Fold the (at most 20) ranked rows of each endpoint into an array."""
+    """Fold the ranked rows of each endpoint, as many as are shown, into an array."""
     return rows.groupBy(*POSITION).agg(
         F.array_sort(F.collect_list(item)).alias(name), F.max("found").alias(f"n_{name}")
     )

@@ -69,3 +69,15 @@ def test_topics(spark):
     rows = {r.requested: r.body for r in notes.lookup_topics(asked, topics).collect()}
     assert rows == {"CUSTOMER_lifecycle": "### tip\ntext\n---\nmore", "3yc lga 2024": "body", "blank": None, "no": None}
     assert notes.missed_topics(asked, topics).count() == 2
+
+
+def test_profile_shows_all_that_is_asked_for(spark, endpoints, codes):
+    schemas = spark.createDataFrame([], layouts.SCHEMAS)
+    changes = spark.createDataFrame(
+        [(9, 1, k, 0, None, f"Note {k}", "upcoming", "/r", f"T{k}", "see /v3/customers") for k in range(8)],
+        "page_ord BIGINT, sec_ord INT, entry_ord INT, change_ord INT, date DATE, raw_date STRING, section STRING, docs_path STRING, title STRING, body STRING")
+    first = {r.path: r for r in lookups.describe_endpoints(endpoints, schemas, codes, changes).collect()}["/v3/customers"]
+    assert (len(first.errors), first.n_errors, len(first.mentions), first.n_mentions) == (20, 25, 5, 8)
+    full = {r.path: r for r in lookups.describe_endpoints(endpoints, schemas, codes, changes, 25, 8).collect()}["/v3/customers"]
+    assert [e.code for e in full.errors] == [str(1000 + k) for k in range(25)]
+    assert [m.title for m in full.mentions] == [f"T{k}" for k in range(8)]
