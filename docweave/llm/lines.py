@@ -129,9 +129,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
     ``percent`` hundredths. Every line with a word counts, however short; a line of white space alone
     is neither removed nor compared. Words are runs between ASCII white space, so a line of a script
     without spaces is one word and goes as a copy only. ``least`` above one leaves lines of fewer
-    words alone. A null text stays null. Rows that repeat a doc_id are one document: what is removed from one of
-    them by its line number is removed from all. Rows without a doc_id come
-    after all others, in order of a hash of their text; those of equal text are one document.
+    words alone. A null text stays null. Rows that repeat a doc_id are documents of their own where their texts
+    differ, in order of a hash of the text; those of equal text are one document. Rows without a doc_id come
+    after all others and are told apart in the same way.
 
     Equal sets are one class, met at its first line; sets too small to be like any other (under four
     words at 80) go no further. Of each other class the rarest tokens (as many as
@@ -139,10 +139,10 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
     before them until a candidate is found, in blocks where a token has very many. Candidates are
     verified on the sets; lines whose candidates fail get all theirs in a second round.
     """
-    # A document is told by doc_id and own: without a doc_id, the last one and a hash of the text above 0.
+    # A document is told by doc_id (without one, the last) and own, a hash of the text, which is odd without a doc_id.
     number = F.col("doc_id").cast("long")
-    own_hash = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(LAST)).bitwiseOR(F.lit(1))
-    identity = {"doc_id": F.coalesce(number, F.lit(LAST)), "own": F.when(number.isNull(), own_hash).otherwise(F.lit(0).cast("long"))}
+    own_hash = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(LAST - 1))
+    identity = {"doc_id": F.coalesce(number, F.lit(LAST)), "own": own_hash + number.isNull().cast("long")}
     texts = docs.select(identity["doc_id"].alias("doc_id"), "text", identity["own"].alias("own"))
     words = [f"sketch{k}" for k in range(SKETCH)]
     shared = docs.sparkSession.sparkContext.broadcast(word_frequencies(texts, least))

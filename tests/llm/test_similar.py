@@ -214,3 +214,15 @@ def test_components_of_chains(spark):
     got = dict(components(nodes, spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{k: 0 for k in range(41)}, 90: 90, 95: 90, 100: 90, 500: 500}
     assert components(nodes, spark.createDataFrame([], "a long, b long")).where(F.col("node") != F.col("component")).count() == 0
+
+
+def test_unlike_texts_of_one_doc_id_lose_only_their_own_lines(spark):
+    rows = [
+        (1, "a line that all of them have in common"), (2, "a line that all of them have in common\nprecious words of this one"),
+        (2, "precious line nobody else has at all\na line that all of them have in common"), (2, None),
+        (None, "one more without an id\na line that all of them have in common"), (None, "a line that all of them have in common\nlast of all")]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text").collect()
+    expected = [
+        (1, "a line that all of them have in common"), (2, "precious words of this one"), (2, "precious line nobody else has at all"), (2, None),
+        (None, "one more without an id"), (None, "last of all")]
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
