@@ -2,86 +2,74 @@
 
 from __future__ import annotations
 
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.operators import cache, conformance
 from docweave.schemas import CONTENT_CACHE
+from docweave.streaming import log
 
-LOG = f"{CONTENT_CACHE}, outcome STRING, batch BIGINT"
+LOG = f"{CONTENT_CACHE}, outcome STRING"
 
 
 # ---------------------------------------------------------------- cache refresh
 
 
-def _read_log(spark: SparkSession, root: str, schema: str, part: str) -> DataFrame | None:
-    """Rows of all ``part=N`` folders with N as a column, so unneeded folders are not read."""
-    try:
-        return spark.read.schema(schema).option("basePath", root).parquet(f"{root}/{part}=*")
-    except AnalysisException:
-        return None
-
-
-def _latest_base(spark: SparkSession, root: str, before: int | None) -> int | None:
-    marks = _read_log(spark, f"{root}/done", "rows BIGINT, base BIGINT", "base")
-    if marks is None:
-        return None
-    if before is not None:
-        marks = marks.where(F.col("base") < before)
-    return marks.agg(F.max("base")).first()[0]
+def _newest(rows: DataFrame) -> DataFrame:
+    latest = rows.where("content IS NOT NULL").groupBy("path").agg(
+        F.max_by(F.struct("content", "etag", "fetched_at"), "batch").alias("c")
+    )
+    return latest.select("path", "c.*")
 
 
 def current_cache(spark: SparkSession, root: str, before: int | None = None,
                   paths: DataFrame | None = None) -> DataFrame:
-    """State of the cache: per path the row of the latest batch, from the last compacted base on.
+    """State of the cache: per path the row of the latest batch.
 
-    With ``before``, batches from that one on are left out; with ``paths(path)``, all others are.
+    With ``before``, batches from that one on are left out; with ``paths(path)``, all others are,
+    and only files of the parts these paths fall into are read (the numbers of these parts, 64 at most, are collected).
     """
-    log = _read_log(spark, root, LOG, "batch")
-    if log is None:
+    parts = None
+    if paths is not None:
+        parts = sorted(r[0] for r in paths.select(log.part_of()).distinct().collect())
+    rows = log.read(spark, root, LOG, before, parts)
+    if rows is None:
         return spark.createDataFrame([], CONTENT_CACHE)
-    if before is not None:
-        log = log.where(F.col("batch") < before)
-    base = _latest_base(spark, root, before)
-    if base is not None:
-        kept = spark.read.schema(CONTENT_CACHE).parquet(f"{root}/bases/base={base}")
-        kept = kept.withColumns({"outcome": F.lit("kept"), "batch": F.lit(base).cast("bigint")})
-        log = log.where(F.col("batch") > base).unionByName(kept)
     if paths is not None:
-        log = log.join(paths, "path", "left_semi")
-    latest = log.where("content IS NOT NULL").groupBy("path").agg(
-        F.max_by(F.struct("content", "etag", "fetched_at"), "batch").alias("c")
-    )
-    return latest.select("path", "c.*")
+        rows = rows.join(paths, "path", "left_semi")
+    return _newest(rows)
 
 
 def compact_cache(spark: SparkSession, root: str, upto: int) -> None:
-    """Fold all batches up to and including ``upto`` into one base table.
+    """Fold all batches up to and including ``upto`` into one run."""
+    rows = log.read(spark, root, LOG, upto + 1)
+    if upto > 0 and rows is not None:
+        _fold_run(rows, root, (0, upto))
 
-    The base counts once its mark is written, so an unfinished one is never read.
-    """
-    state = current_cache(spark, root, before=upto + 1)
-    state.write.mode("overwrite").parquet(f"{root}/bases/base={upto}")
-    written = spark.read.schema(CONTENT_CACHE).parquet(f"{root}/bases/base={upto}")
-    written.agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{root}/done/base={upto}")
+
+def _fold_run(rows: DataFrame, root: str, span: log.Span) -> None:
+    log.write_run(_newest(rows).withColumn("outcome", F.lit("kept")), root, span)
 
 
 def apply_batch(fetched: DataFrame, batch_id: int, root: str, ttl: int = cache.PAGE_TTL) -> None:
     """Merge one micro-batch of resolved fetches (path, kind, body, etag, ts) into the cache.
 
     Only paths of the batch are merged and only their new rows are written, into a folder
-    named by the batch, so a repeated batch overwrites itself. The fetches of a path are folded in
+    named by the batch, so a repeated batch overwrites itself. Of what is stored, only files of the parts
+    of these paths are read. The fetches of a path are folded in
     order of time (``cache.refreshed``), so the state is the same however a log is cut into
-    batches. Rows that leave an entry as it was carry no content.
+    batches. Rows that leave an entry as it was carry no content. Every 8th, 64th, … batch folds
+    the ones before it into a run (``streaming.log``).
     """
     spark = fetched.sparkSession
     paths = cache.keyed(fetched).where("path IS NOT NULL").select("path").distinct()
     rows = cache.refreshed(current_cache(spark, root, before=batch_id, paths=paths), fetched, ttl)
     changed = F.col("outcome").isin("replaced", "revalidated") | (F.col("content").isNotNull() & (F.col("outcome") != "fresh"))
-    rows = rows.withColumn("content", F.when(changed, F.col("content")))
-    rows.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    log.write_batch(rows.withColumn("content", F.when(changed, F.col("content"))), root, batch_id)
+    for span in log.finished_spans(batch_id):
+        held = log.read(spark, root, LOG, span[1] + 1, first=span[0])
+        if held is not None:
+            _fold_run(held, root, span)
 
 
 def cache_refresh_stream(fetched: DataFrame, root: str, checkpoint: str, ttl: int = cache.PAGE_TTL):

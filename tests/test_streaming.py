@@ -1,9 +1,10 @@
 import datetime
 import random
+import shutil
 
 from docweave import schemas as layouts
 from docweave.operators import cache
-from docweave.streaming import jobs, state
+from docweave.streaming import jobs, log, state
 from workload import conformance_q
 
 START = datetime.datetime(2024, 5, 1)
@@ -129,3 +130,37 @@ def test_validate_stream_equals_batch(spark, tmp_path):
     from docweave.operators import conformance
 
     assert sorted(map(repr, streamed.collect())) == sorted(map(repr, conformance.validate(bodies, *index).collect()))
+
+
+def test_spans_cover_every_batch_once():
+    for first in range(0, 20):
+        for end in range(first, 90):
+            found = list(log.spans(first, end))
+            assert [n for a, b in found for n in range(a, b + 1)] == list(range(first, end))
+            assert all((b - a + 1) in (1, 8, 64) and a % (b - a + 1) == 0 for a, b in found)
+    assert [list(log.finished_spans(n)) for n in (0, 6, 7, 15, 63)] == [
+        [], [], [(0, 7)], [(8, 15)], [(56, 63), (0, 63)]]
+
+
+def test_log_reads_the_parts_of_its_paths_and_folds_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(log, "FANOUT", 2)
+    root = str(tmp_path / "log")
+    expected = {}
+    for number in range(6):
+        rows = [(f"/p{k}", "ok", f"b{number}", "e", at(25 * number)) for k in range(number % 3, 9, 2)]
+        expected |= {r[0]: r[2] for r in rows}
+        for _ in range(2 if number in (1, 3) else 1):  # a repeated batch leaves its runs as they are
+            jobs.apply_batch(spark.createDataFrame(rows, FETCHED), number, root)
+        assert {r.path: r.content for r in jobs.current_cache(spark, root).collect()} == expected
+    assert log.cover(spark, root, 6) == [(0, 3), (4, 5)] and log.cover(spark, root, 4) == [(0, 3)]
+    wanted = spark.createDataFrame([("/p1",), ("/none",)], "path STRING")
+    parts = {r[0] for r in wanted.select(log.part_of()).collect()}
+    read = log.read(spark, root, jobs.LOG, 6, sorted(parts)).inputFiles()
+    assert read and all(int(name.split("part=")[1].split("/")[0]) in parts and "/runs/" in name for name in read)
+    assert [r.path for r in jobs.current_cache(spark, root, paths=wanted).collect()] == ["/p1"]
+    # Runs whose marks are missing are not read: what they hold comes from the level below.
+    bare = str(tmp_path / "bare")
+    shutil.copytree(root, bare, ignore=lambda folder, names: [n for n in names if n == "last=3"])
+    assert log.cover(spark, bare, 6) == [(0, 1), (2, 2), (3, 3), (4, 5)]
+    assert {r.path: r.content for r in jobs.current_cache(spark, bare).collect()} == expected
+    assert jobs.current_cache(spark, str(tmp_path / "nothing")).count() == 0
