@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docweave.functions.joins import attach, substring_pairs
 from docweave.functions.text import contains_fold, path_parts
 from docweave.operators import resolve
+from docweave.session import stored
 
 POSITION = ("page_ord", "tbl_ord", "row_ord")
 SHOWN_ERRORS, SHOWN_MENTIONS, SHOWN_SUGGESTIONS = 20, 5, 5
@@ -137,35 +138,44 @@ def release_mentions(endpoints: DataFrame, changes: DataFrame, limit: int = SHOW
     """First ``limit`` releases mentioning an endpoint's path or title, with the number found.
 
     A release counts once, by its first change that holds the text (any case). An empty
-    path or title is held by every change.
+    path or title is held by every change. Releases are counted and ranked per text, then per distinct pair
+    of path and title, before they meet the endpoints: an endpoint gets its ``limit`` rows and no others. What a pair's
+    texts have in common is found by going through the releases of the rarer one.
     """
     entry = ["page_ord", "sec_ord", "entry_ord"]
-    asked = endpoints.select(*POSITION, "method", "path", F.lower("path").alias("p"), F.lower("title").alias("t"))
-    keyed = asked.withColumn("needle", F.explode(F.array_distinct(F.array("p", "t")))).drop("p", "t")
+    order = [F.col(c) for c in entry]
+    path, title = F.lower("path"), F.lower("title")
+    asked = endpoints.select(*POSITION, "method", "path", F.coalesce(path, title).alias("p"), F.coalesce(title, path).alias("t"))
     texts = changes.select(
         *entry, "change_ord", "date", "raw_date", "section", "title",
         F.lower(F.concat("title", F.lit(" "), "body")).alias("_text"),
     )
-    pairs = substring_pairs(texts, "_text", keyed.select("needle").where("needle <> ''"), "needle").drop("_text")
-    per_needle = pairs.groupBy("needle", *entry).agg(_first_change())
-    owners = keyed.where("needle <> ''").select("needle", *[F.col(c).alias(f"e_{c}") for c in POSITION], "method", "path")
-    always = keyed.where("needle = ''").select(*POSITION)
-    mentions = (
-        owners.join(per_needle, "needle")
-        .groupBy("e_page_ord", "e_tbl_ord", "e_row_ord", "method", "path", *entry)
-        .agg(F.min("m").alias("m"))
-    )
-    key = F.struct("e_page_ord", "e_tbl_ord", "e_row_ord")
-    ranked = _top(mentions.withColumn("key", key), "key", [F.col(c) for c in entry], limit)
-    counts = mentions.groupBy(key.alias("key")).agg(F.count("*").alias("found"))
-    named = ranked.join(counts, "key").select(
-        F.col("e_page_ord").alias("page_ord"), F.col("e_tbl_ord").alias("tbl_ord"),
-        F.col("e_row_ord").alias("row_ord"), "method", "path", "rank", "found", "m.*",
-    ).join(always, list(POSITION), "left_anti")
+    sets = asked.where("p <> '' AND t <> ''").select("p", "t").distinct()
+    sides = sets.withColumn("needle", F.explode(F.array_distinct(F.array("p", "t"))))
+    pairs = substring_pairs(texts, "_text", sides.select("needle"), "needle").drop("_text")
+    per_needle = stored(pairs.groupBy("needle", *entry).agg(_first_change()))
+    sizes = per_needle.groupBy("needle").agg(F.count("*").alias("size"))
+
+    # A release among the first of a pair is among the first of each of its texts that has it.
+    first = _top(per_needle, "needle", order, limit).drop("rank")
+    merged = sides.join(first, "needle").groupBy("p", "t", *entry).agg(F.min("m").alias("m"))
+    ranked = _top(merged.withColumn("key", F.struct("p", "t")), "key", order, limit).drop("key")
+    summed = sides.join(sizes, "needle").groupBy("p", "t").agg(F.sum("size").alias("size"))
+    both = sets.where("p <> t").join(sizes.toDF("p", "p_size"), "p").join(sizes.toDF("t", "t_size"), "t").select(
+        "p", "t", F.when(F.col("p_size") <= F.col("t_size"), F.col("p")).otherwise(F.col("t")).alias("needle"),
+        F.when(F.col("p_size") <= F.col("t_size"), F.col("t")).otherwise(F.col("p")).alias("other"))
+    held = per_needle.select("needle", *entry)
+    common = both.join(held, "needle").join(held.withColumnRenamed("needle", "other"), ["other", *entry])
+    twice = common.groupBy("p", "t").agg(F.count("*").alias("twice"))
+    found = summed.join(twice, ["p", "t"], "left").select("p", "t", (F.col("size") - F.coalesce("twice", F.lit(0))).alias("found"))
+    named = asked.join(ranked.select("p", "t", "rank", "m").join(found, ["p", "t"]), ["p", "t"]).select(
+        *POSITION, "method", "path", "rank", "found", "m.*")
+
+    always = asked.where("p = '' OR t = ''").drop("p", "t")
     releases = texts.groupBy(*entry).agg(_first_change()).select(*entry, "m.*")
     shown = ["change_ord", "date", "raw_date", "section", "title"]
     total = releases.agg(F.count("*")).scalar()
-    every = _with_each(keyed.where("needle = ''").drop("needle"), _first_overall(releases, entry, shown, limit))
+    every = _with_each(always, _first_overall(releases, entry, shown, limit))
     return named.unionByName(every.withColumn("found", total)).drop("change_ord")
 
 

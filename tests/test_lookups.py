@@ -81,3 +81,41 @@ def test_profile_shows_all_that_is_asked_for(spark, endpoints, codes):
     full = {r.path: r for r in lookups.describe_endpoints(endpoints, schemas, codes, changes, 25, 8).collect()}["/v3/customers"]
     assert [e.code for e in full.errors] == [str(1000 + k) for k in range(25)]
     assert [m.title for m in full.mentions] == [f"T{k}" for k in range(8)]
+
+
+CHANGES = "page_ord BIGINT, sec_ord INT, entry_ord INT, change_ord INT, date DATE, raw_date STRING, section STRING, docs_path STRING, title STRING, body STRING"
+
+
+def test_mentions_are_counted_per_text_before_they_meet_the_endpoints(spark):
+    words = ["alpha", "beta", "gamma", "", None]
+    asked = [(k, 0, 0, "GET", words[k % 4], "/d", words[k // 4 % 5], False, None) for k in range(40)]
+    bodies = ["alpha", "beta", "alpha beta", "gamma alpha", "none"]
+    rows = [(9, 1, k // 2, k % 2, None, f"R{k}", "upcoming", "/r", f"T{k}", bodies[(k * k + k // 3) % 5]) for k in range(60)]
+    table = spark.createDataFrame(asked, layouts.ENDPOINTS)
+    expected = []
+    for page, _, _, _, path, _, title, _, _ in asked:
+        first = {}
+        for r in rows:
+            if any(w is not None and w in f"{r[8]} {r[9]}".lower() for w in (path, title)):
+                first.setdefault(r[2], r[8])
+        expected += [(page, rank + 1, first[e], len(first)) for rank, e in enumerate(sorted(first)[:4])]
+    found = lookups.release_mentions(table, spark.createDataFrame(rows, CHANGES), 4)
+    assert sorted((r.page_ord, r.rank, r.title, r.found) for r in found.collect()) == sorted(expected)
+
+
+def test_no_row_per_endpoint_and_mention(spark):
+    asked = [(k, 0, 0, "GET", "/hot", "/d", "Hot", False, None) for k in range(300)]
+    rows = [(9, 1, k, 0, None, f"R{k}", "upcoming", "/r", f"T{k}", "the /hot call") for k in range(200)]
+    found = lookups.release_mentions(spark.createDataFrame(asked, layouts.ENDPOINTS), spark.createDataFrame(rows, CHANGES))
+    assert found.count() == 300 * 5 and {r.found for r in found.select("found").distinct().collect()} == {200}
+    found.collect()
+
+    def largest(node):
+        name, at = node.nodeName(), node.metrics().get("numOutputRows")
+        own = at.get().value() if "Join" in name and at.isDefined() else 0
+        kids = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if name.endswith("QueryStage") else []
+        below = node.children()
+        return max([own, *[largest(x) for x in kids], *[largest(below.apply(i)) for i in range(below.size())]])
+
+    # Every endpoint with every mention would be 60,000 rows.
+    assert 0 < largest(found._jdf.queryExecution().executedPlan()) <= 300 * 5
