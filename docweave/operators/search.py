@@ -18,8 +18,9 @@ from docweave.session import spread_small, stored
 TITLE_WEIGHT, TAG_WEIGHT, CONTENT_WEIGHT = 4, 2, 1
 BUDGET = 2500
 DEFAULT_RESULTS = 5
-# Postings of a shard, query words that visit a shard together, and documents under one upper bound.
-SHARD_POSTINGS, PART_TERMS, BLOCK_DOCS = 2_000_000, 1_000_000, 64
+# Postings of query tokens in a shard, which take about 250 bytes each there, query words that visit a shard together, and
+# documents under one upper bound.
+SHARD_POSTINGS, PART_TERMS, BLOCK_DOCS = 1_000_000, 1_000_000, 64
 # How a heading line and a paragraph break are written.
 HEADING = rf"(?md)^(#{{1,6}}){SPACE}+(.+?){SPACE}*$"
 BLANK_LINE = rf"\n{SPACE}*\n"
@@ -112,12 +113,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def expand_terms(postings: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(word, found): vocabulary words holding query tokens, with (key, times) of every token in them.
+    """(word, n, found): vocabulary words holding query tokens, with their postings and (key, times) of every token in them.
 
     ``tokens(token, token_id)`` are distinct. A token consists of word characters only, so an occurrence in a text
     never crosses the edge of a word: counting inside words and adding up is exact.
     """
-    return find_needles(postings.select("word").distinct(), "word", tokens, "token", "token_id")
+    words = postings.groupBy("word").agg(F.count("*").alias("n"))
+    return find_needles(words, "word", tokens, "token", "token_id")
+
+
+def shard_count(expanded: DataFrame, least: int) -> int:
+    """Shards for an expanded vocabulary: a posting counts once for every token in its word, as a word holds several."""
+    total = expanded.agg(F.coalesce(F.sum(F.col("n") * F.size("found")), F.lit(0))).first()[0]
+    return max(least, -(-total // SHARD_POSTINGS))
 
 
 def search_batch(postings: DataFrame, queries: DataFrame, k: int = DEFAULT_RESULTS) -> DataFrame:
@@ -134,8 +142,9 @@ def search_batch(postings: DataFrame, queries: DataFrame, k: int = DEFAULT_RESUL
     tokens = stored(terms.select("token").distinct().withColumn("token_id", F.monotonically_increasing_id()))
     numbered = terms.join(tokens, "token").select("query_id", "token_id", "times")
     # The expansion grows with the vocabulary, so it must never be broadcast on an estimate.
-    hits = postings.join(expand_terms(postings, tokens).hint("merge"), "word")
-    shards = max(spark.sparkContext.defaultParallelism, -(-postings.count() // SHARD_POSTINGS))
+    expanded = stored(expand_terms(postings, tokens))
+    hits = postings.join(expanded.drop("n").hint("merge"), "word")
+    shards = shard_count(expanded, spark.sparkContext.defaultParallelism)
     parts = max(1, -(-terms.count() // PART_TERMS))
     dealt = hits.select(
         F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), _every(parts).alias("part"),

@@ -219,3 +219,12 @@ def test_a_shard_gives_its_best_only(spark):
 def test_more_results_than_ten_are_given(spark):
     docs = spark.createDataFrame([(k, f"apple {k}", ["t"], "apple") for k in range(30)], "doc_id BIGINT, title STRING, tags ARRAY<STRING>, content STRING")
     assert search.search_top_k(docs, "apple", 25).count() == 25
+
+
+def test_shards_are_bounded_by_postings_of_tokens(spark, monkeypatch):
+    # Each of the 40 postings holds 6 query tokens, so shards of 30 postings are 8, not 2.
+    docs = spark.createDataFrame([(k, "t", ["g"], "abcdef") for k in range(40)], "doc_id BIGINT, title STRING, tags ARRAY<STRING>, content STRING")
+    wanted = spark.createDataFrame([(w, k) for k, w in enumerate("abcdef")], "token STRING, token_id LONG")
+    monkeypatch.setattr(search, "SHARD_POSTINGS", 30)
+    assert search.shard_count(search.expand_terms(search.build_postings(docs), wanted), 1) == 8
+    assert search.shard_count(search.expand_terms(search.build_postings(docs), wanted.where("false")), 3) == 3
