@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from docweave.operators import html, releases
+from docweave.session import spread_small
 from workload.base import register, table
 from workload.fixtures import release_pages
 
@@ -68,7 +69,7 @@ FROM orders WHERE o_orderstatus <> 'P'
 def parse_upcoming(spark, sf):
     page = """if(o_orderstatus = 'P', '<main><h1>Upcoming</h1></main>', concat('<p>outside</p><main><h1>Upcoming</h1><h2>Plan ', o_orderkey,
         '</h2><nav><p>menu</p></nav><p>soon <b>', o_orderpriority, '</b></p><ul><li>x</li><li> y </li><li></li></ul></main>'))"""
-    pages = table(spark, sf, "orders").selectExpr("o_orderkey AS page_id", "'/up' AS url", f"{page} AS html")
+    pages = spread_small(table(spark, sf, "orders")).selectExpr("o_orderkey AS page_id", "'/up' AS url", f"{page} AS html")
     return releases.parse_upcoming(html.shred_html(pages)).select(
         "page_ord", "raw_date", "section", F.col("changes")[0]["body"].alias("body")
     )
