@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,39 @@ def test_odd_references_and_declarations_do_not_fail(shred):
     assert [r.error for r in rows] == [None] * 4
     text = ["".join(run.text for run in r.runs) for r in rows]
     assert text[0] == "\ufffd\ufffd" and text[2] == "ab" and "\ufffd" in text[1]
+
+
+PIECES = ["<p>", "</p>", '<div class="a table">', "</div>", "text ", " \n", "&amp;", "&lt", "&#65;", "&#x42;", "&#", "&#12ab;", "&a-b;", "&", "<", "<b/>",
+          "<br />", "<img src=x/>", "<img src='y' alt>", '<p class="x"  id="y">', "<script>var a='<p></p>';</script>", "<script>", "</script>", "<style>p{}</style>",
+          "<title>t &amp; u</title>", "<TITLE>q</Title>", "<!-- c -->", "<!--", "-->", "<!doctype html>", "<![if x]>", "<?pi?>", "</>", "</ p>",
+          '<a href="q?a=1&amp;b">', '<a href="x"/>', "<nav>", "</nav>", "<pre>", "  ", "</pre>", "<textarea>", ">", '"', "\x00", "<H1>", "</H1>", "<ſcript>", "&ſ;"]
+
+
+def test_plain_constructs_read_as_by_the_base_class(monkeypatch):
+    rnd = random.Random(3)
+    pages = ["".join(rnd.choice(PIECES) for _ in range(rnd.randrange(1, 20))) for _ in range(3000)]
+    fast = [tree(page, True) for page in pages]
+    assert TreeBuilder(html.LANDMARKS)._plain(PAGE) == len(PAGE)
+    monkeypatch.setattr(TreeBuilder, "_plain", lambda self, page: 0)
+    assert fast == [tree(page, True) for page in pages]
+
+
+def test_headings_of_code_blocks_need_no_shuffle(spark, shred):
+    trees = shred("<h1>One</h1><pre><code>a</code></pre><h2>T<b>wo</b></h2><p><pre><code>b</code></pre></p><h3> </h3><pre><code>c</code></pre>",
+                  "<pre><code>d</code></pre><h1>late</h1>")
+    inside = html.nearest_heading(trees)
+    asked = html.nearest_heading(trees, html.code_blocks(trees))
+    assert sorted(map(str, inside.select(asked.columns).collect())) == sorted(map(str, asked.collect()))
+    assert [r.nearby_heading for r in inside.orderBy("page_id", "ord").collect()] == ["One", "Two", "", None]
+    assert "hashpartitioning(page_id" not in inside._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_narrow_rows_go_to_more_tasks(spark, monkeypatch, tmp_path):
+    from docweave import session
+
+    monkeypatch.setattr(session, "SPREAD_ROWS", 100)
+    spark.range(5000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    spread = session.spread_small(spark.read.parquet(str(tmp_path / "t")))
+    assert spread.rdd.getNumPartitions() == 50
+    wide = spread.selectExpr("id", "repeat('x', 50) AS html")
+    assert session.spread_small(wide) is wide

@@ -212,7 +212,7 @@ SELECT p_partkey AS page_id, 'Request' AS nearby_heading FROM part UNION ALL SEL
 """)
 def nearest_heading(spark, sf):
     trees = _api(spark, sf)
-    return html.nearest_heading(trees, html.code_blocks(trees)).select("page_id", "nearby_heading")
+    return html.nearest_heading(trees).select("page_id", "nearby_heading")
 
 
 @register("extract_endpoints", """
@@ -223,10 +223,9 @@ SELECT p_partkey AS page_ord, CASE WHEN p_size > 25 THEN 'POST' ELSE 'GET' END A
 FROM part
 """)
 def extract_endpoints(spark, sf):
-    from docweave.operators.catalog import resolve_titles
+    from docweave.operators.catalog import title_in_page
 
-    trees = _api(spark, sf)
-    rows = entities.extract_endpoints(html.pseudo_tables(trees), resolve_titles(trees))
+    rows = entities.extract_endpoints(html.pseudo_tables(_api(spark, sf), title_in_page()))
     # Pages with p_size 31 to 40 are flagged by a field description, whose sentence is long.
     note = F.when(F.startswith("deprecation_note", F.lit("The ")), F.col("deprecation_note"))
     return rows.select("page_ord", "method", "path", "docs_path", "title", "deprecated", note.alias("deprecation_note"))
