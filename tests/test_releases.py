@@ -72,3 +72,16 @@ def test_since_filter_reaches_the_scan(spark, entries, tmp_path):
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(date,2026-03-03)" in plan and "ReadSchema: struct<date:date,raw_date:string>" in plan
     assert recent.count() == 2
+
+
+def test_entries_are_cut_in_the_row_of_their_page(shred):
+    """Siblings of several parents, blocks before any section or entry, blank headings; nothing is shuffled for them."""
+    page = """<main><h3>May 01, 2026</h3><p>no section</p><h2>API changes</h2><p>intro</p><h4>no entry</h4><p>lost</p>
+<h3>April 09, 2026</h3><p>before</p><h4>A</h4><p>a</p><section><h3>Jan 01, 2020</h3><h2>Sandbox</h2><p>x</p><h3>Jan 2, 2020</h3><p>in</p></section><p>after</p>
+<h3></h3><p> </p><h4></h4><p>b</p></main>"""
+    found = releases.parse_releases(shred(page))
+    rows = found.orderBy("sec_ord", "entry_ord").collect()
+    assert [(r.raw_date, r.section, [tuple(c) for c in r.changes]) for r in rows] == [
+        ("April 09, 2026", "api_changes", [("A", "a\n\nJan 01, 2020 Sandbox x Jan 2, 2020 in\n\nafter")]),
+        ("", "earlier", [("", "b")]), ("Jan 2, 2020", "sandbox", [("Jan 2, 2020", "in")])]
+    assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
