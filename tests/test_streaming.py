@@ -164,3 +164,35 @@ def test_log_reads_the_parts_of_its_paths_and_folds_runs(spark, tmp_path, monkey
     assert log.cover(spark, bare, 6) == [(0, 1), (2, 2), (3, 3), (4, 5)]
     assert {r.path: r.content for r in jobs.current_cache(spark, bare).collect()} == expected
     assert jobs.current_cache(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_path_takes_one_read_of_its_state():
+    """Every call to the state store is a trip out of the Python worker, so an entry is read once and written if it changed."""
+    from pyspark.sql import Row
+
+    calls, held = [], {}
+
+    class Entry:
+        def exists(self):
+            calls.append("exists")
+            return "entry" in held
+
+        def get(self):
+            calls.append("get")
+            return held.get("entry")
+
+        def update(self, entry):
+            calls.append("update")
+            held["entry"] = entry
+
+    processor = state.PathEntry(10, None)
+    processor.entry = Entry()
+
+    def run(time, rank):
+        fetch = Row(at=time * 1_000_000, rank=rank, body="b", etag="e", digest="d")
+        return [r.outcome for r in processor.handleInputRows(("/a",), iter([fetch]), None)]
+
+    assert run(0, cache.FAILURE) + run(1, cache.SUCCESS) + run(5, cache.SUCCESS) + run(20, cache.UNCHANGED) == [
+        "error", "replaced", "fresh", "revalidated"]
+    assert held["entry"] == (20_000_000, "e", "d")
+    assert calls == ["get", "get", "update", "get", "get", "update"]
