@@ -62,6 +62,27 @@ def numbered(rows: DataFrame, group: Column, order: list[str], name: str) -> Dat
         "_group", "_place", "_part", "_at", "_g", "_p", "_shift")
 
 
+# Bits of the largest bitmap that is broadcast by ``asked``.
+MOST_MARKS = 1 << 26
+
+
+def asked(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with a column ``_asked``: true if ``on`` is in ``wanted``, and for few others.
+
+    A bitmap of hashes is broadcast, with 16 to 32 bits a key and ``MOST_MARKS`` at most, so that rows nobody asks for
+    need no shuffle; beyond that more others pass. A join must follow. ``wanted`` should be stored: it is read twice.
+    """
+    bits = min(MOST_MARKS, 1 << max(10, (16 * wanted.count()).bit_length()))
+    spot = F.pmod(F.xxhash64(*on), F.lit(bits)).alias("_spot")
+    marks = wanted.select(spot).groupBy(F.shiftright("_spot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(_spot & 63))")).alias("_marks"))
+    met = rows.select("*", spot).join(F.broadcast(marks), F.shiftright("_spot", 6) == F.col("_word"), "left")
+    return met.withColumn("_asked", F.expr("coalesce(bit_get(_marks, int(_spot & 63)) = 1, false)")).drop("_spot", "_word", "_marks")
+
+
+def asked_only(rows: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
+    return asked(rows, wanted, on).where("_asked").drop("_asked")
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Count and checksum of distinct edges."""
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
