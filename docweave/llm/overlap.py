@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -11,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import components
+from docweave.llm.common import asked_only, components
+from docweave.llm.words import mix, word_hashes
 from docweave.session import stored
 
 DIMENSIONS = 64
@@ -23,44 +23,32 @@ RATIO = 1.5
 BLOCK = 256
 # Candidates per member up to which a block lists its pairs; one with more is searched with its sets.
 LISTED = 4
-REMEMBERED = 1_000_000
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective mixing of unsigned 64-bit numbers (the finaliser of a public hash function)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """64-bit hash of each word, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles of ``width`` words, A-Z lower-cased; fewer words make one shingle."""
+    hashes, line, first = word_hashes(texts)
+    cuts = np.r_[np.searchsorted(line, first), len(line)]
+    count = max(0, len(hashes) - width + 1)
+    joined = np.full(count, width, np.uint64)
+    for k in range(width):
+        joined = mix(joined + hashes[k : k + count])
+    return [_distinct(joined[a : b - width + 1] if b - a >= width else _whole(hashes[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
+def _whole(hashes: np.ndarray) -> np.ndarray:
+    """The one shingle of a text of few words, none for a text without words."""
+    joined = np.full(min(1, len(hashes)), len(hashes), np.uint64)
+    for k in range(len(hashes)):
+        joined = mix(joined + hashes[k])
+    return joined
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of ``width`` words, A-Z lower-cased; fewer words make one shingle."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.array(list(map(word_hashes().__getitem__, words)), np.uint64)
-    width = min(width, len(words))
-    joined = np.full(len(words) - width + 1, width, np.uint64)
-    for k in range(width):
-        joined = mix(joined + hashes[k : len(hashes) - width + 1 + k])
-    return np.unique(joined)
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
 
 
 class Cells:
@@ -258,7 +246,7 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
 
         cells = Cells(percent)
         for batch in batches:
-            found = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+            found = shingle_sets(batch.column(1).to_pylist(), width)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.binary()),
@@ -283,13 +271,14 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
         import xxhash
 
         for batch in batches:
-            found = [shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()]
+            found = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), width)]
             keys = [xxhash.xxh3_128_digest(s) for s in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "ids"])
 
     # The sets of documents that share a cell, made again from their texts.
-    wanted = members.select("node").distinct().join(classes.select("node", "key", "row"), "node")
-    chosen = texts.join(wanted.select("row").distinct(), "row", "left_semi").select("doc_id", "text")
+    wanted = stored(members.select("node").distinct().join(classes.select("node", "key", "row"), "node"))
+    # Texts of no such document stay where they are.
+    chosen = asked_only(texts, wanted.select("row"), ["row"]).join(wanted.select("row").distinct(), "row", "left_semi").select("doc_id", "text")
     sets = chosen.mapInArrow(full, "key binary, ids binary").join(wanted.select("node", "key"), "key").select("node", "ids")
     sets = stored(sets)
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from docweave.llm import lines
+from docweave.llm import lines, overlap
 from docweave.llm.common import asked
 from docweave.llm.words import word_hashes
 
@@ -24,6 +24,15 @@ def test_hashes_are_those_of_words_and_lines():
     assert all(len(x) == 0 for x in word_hashes([]))
 
 
+def test_shingles_of_a_batch_are_those_of_each_text():
+    texts = [None, "a", "a b", "a b c", "a b c d", " \n", "a b c d", "b c a b c a b"]
+    for width in (1, 3, 5):
+        sets = overlap.shingle_sets(texts, width)
+        assert [s.tolist() for s in sets] == [overlap.shingle_sets([t], width)[0].tolist() for t in texts]
+        assert all((s[1:] > s[:-1]).all() for s in sets)
+    assert [len(s) for s in overlap.shingle_sets(texts, 3)] == [0, 1, 1, 1, 2, 0, 2, 3]
+
+
 def test_sketches_of_any_two_sizes_never_part_similar_sets():
     rnd = np.random.default_rng(2)
     for n in (5, 60, 64, 65, 70, 126, 128, 129, 140, 400):
