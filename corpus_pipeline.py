@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import lines, overlap, quality
+from docweave.llm.common import asked
 from docweave.llm.queries import pack_documents
-from docweave.session import name_local_folder, shared_folder, stored, tune
+from docweave.session import drop_shuffles, name_local_folder, shared_folder, stored, tune
 
 
 def with_text(docs: DataFrame, changed: DataFrame, text: str) -> DataFrame:
@@ -29,6 +30,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without words before, or with a null text, stays as it is.
     """
+    drop_shuffles(spark)
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     left = lines.dedup_lines(docs.withColumn("_worded", worded))
     return with_text(docs, left.where(~F.col("_worded") | worded), "text")
@@ -41,13 +43,16 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are in no group and stay. Rows are numbered and stored, as ids may
     repeat or be null.
     """
+    drop_shuffles(spark)
     numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
     groups = overlap.jaccard_groups(numbered, percent=80, width=5, row="_row")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")).alias("least")
     first = groups.where("component is not null").groupBy("component").agg(least).select("least._row")
-    first = first.union(groups.where("component is null").select("_row"))
-    return numbered.join(first, "_row", "left_semi").select(*docs.columns)
-
+    later = stored(groups.where("component is not null").select("_row").join(first, "_row", "left_anti"))
+    # Only rows that a bitmap of the later ones names are shuffled, with the few others it lets through.
+    marked = asked(numbered, later, ["_row"])
+    left = marked.where("_asked").join(later, "_row", "left_anti")
+    return marked.where("not _asked").select(*docs.columns).union(left.select(*docs.columns))
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docweave.session import name_local_folder, stored, tune
+from docweave.session import discard, name_local_folder, stored, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,7 +108,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         kept = large.join(lower, "a")
         small = kept.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b"))
         after = stored(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
-        if _mark(after) == _mark(stars):
+        same = _mark(after) == _mark(stars)
+        discard(large, after if same else stars)
+        if same:
             break
         stars = after
     return nodes.join(stars.select(a.alias("node"), b.alias("_least")), "node", "left").select(

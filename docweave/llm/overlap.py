@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import asked_only, components
+from docweave.llm.common import asked, asked_only, components
 from docweave.llm.words import mix, word_hashes
-from docweave.session import stored
+from docweave.session import discard, stored
 
 DIMENSIONS = 64
 LEAF = 16
-# Bits of a parity sketch.
+# Bits of the smallest parity sketch; a larger set has one of over a bit a shingle.
 PARITY = 1024
 RATIO = 1.5
+# Of the groups of a set the share that may be weak, beyond two.
+SPARE = 16
 # Documents of a cell that meet in one task; larger cells are cut into blocks that meet in pairs.
 BLOCK = 256
 # Candidates per member up to which a block lists its pairs; one with more is searched with its sets.
@@ -59,33 +61,52 @@ class Cells:
     or more. A group with under two shingles is weak and names no cell; a set with more than e weak
     groups also takes cells of single shingles, the first ones in the order of their hashes, of
     which two similar sets share one. Sizes fall into bands; a pair meets in the larger one's.
+
+    At a bound so low that even the largest set of a band has too many weak groups, cells of single
+    shingles are the only ones: they find all pairs alone, and are fewer. They are the same in all
+    bands, so ``bands`` says in which ones a set meets others.
     """
 
     def __init__(self, percent: int):
         self.percent = percent
         self.ratio = max(RATIO, 100 / percent)
         self.bounds = [1]
+        held = (100 + percent) / (2 * max(1, 100 - percent)) * SPARE / (SPARE + 1)
+        self.singles = (1 + held) * exp(-held) > 1 / SPARE
 
     def band(self, n: int) -> int:
         while self.bounds[-1] <= n:
             self.bounds.append(max(self.bounds[-1] + 1, ceil(self.bounds[-1] * self.ratio)))
         return int(np.searchsorted(self.bounds, n, side="right")) - 1
 
+    def _bands(self, n: int) -> list[int]:
+        own = self.band(n)
+        self.band(self.bounds[own + 1])
+        return [own] + [own + 1] * (100 * n >= self.percent * self.bounds[own + 1])
+
+    def bands(self, ids: np.ndarray) -> list[int]:
+        """Bands in which a set meets the others of a cell; one for all where cells are named by their band."""
+        return self._bands(len(ids)) if self.singles and len(ids) else [0]
+
     def of(self, ids: np.ndarray) -> np.ndarray:
         n = len(ids)
         if n == 0:
             return np.zeros(0, np.int64)
-        own = self.band(n)
-        self.band(self.bounds[own + 1])
-        bands = [own] + [own + 1] * (100 * n >= self.percent * self.bounds[own + 1])
-        return np.unique(np.concatenate([self._in_band(ids, c) for c in bands]).view(np.int64))
+        if self.singles:
+            # Without a larger set that may be similar there is no smaller one either.
+            return self._singles(ids).view(np.int64) if 100 * n >= self.percent * (n + 1) else np.zeros(0, np.int64)
+        return np.unique(np.concatenate([self._in_band(ids, c) for c in self._bands(n)]).view(np.int64))
+
+    def _singles(self, ids: np.ndarray) -> np.ndarray:
+        """The first shingles in the order of their hashes, of which two similar sets share one."""
+        return np.sort(mix(ids + np.uint64(12345)))[: len(ids) - -(-self.percent * len(ids) // 100) + 1]
 
     def _in_band(self, ids: np.ndarray, band: int) -> np.ndarray:
         most = self.bounds[band + 1] - 1
         k = 2 * most * (100 - self.percent) // (100 + self.percent)
         if k == 0:  # only equal sets are similar here, and those are one class already
             return np.zeros(0, np.uint64)
-        spare = 2 + k // 16
+        spare = 2 + k // SPARE
         groups = k + 1 + spare
         which = (mix(ids ^ np.uint64(0xA5A5A5A5)) % np.uint64(groups)).astype(np.int64)
         counts = np.bincount(which, minlength=groups)
@@ -95,8 +116,7 @@ class Cells:
         full = np.flatnonzero(counts >= 2)
         cells = mix(mix(content[full]) + mix(full.astype(np.uint64) * np.uint64(1 << 20) + tag))
         if groups - len(full) > spare:
-            prefix = np.sort(mix(ids + np.uint64(12345)))[: len(ids) - -(-self.percent * len(ids) // 100) + 1]
-            cells = np.concatenate([cells, mix(prefix + mix(tag + np.uint64(1)))])
+            cells = np.concatenate([cells, mix(self._singles(ids) + mix(tag + np.uint64(1)))])
         return cells
 
 
@@ -106,9 +126,34 @@ def counts_of(ids: np.ndarray) -> np.ndarray:
 
 
 def parity_of(ids: np.ndarray) -> np.ndarray:
-    """Parity sketch: every shingle turns one bit over, so sets that differ in d shingles differ in at most d bits."""
-    spots = (mix(ids) >> np.uint64(20)) % np.uint64(PARITY)
-    return np.packbits(np.bincount(spots.astype(np.int64), minlength=PARITY) & 1).view(np.uint64)
+    """Parity sketch: every shingle turns one bit over, so sets that differ in d shingles differ in at most d bits.
+
+    It has a power of two of bits, more than shingles, as a full one tells unlike sets from like ones no more.
+    """
+    bits = max(PARITY, 1 << len(ids).bit_length())
+    spots = (mix(ids) >> np.uint64(20)) % np.uint64(bits)
+    return np.packbits(np.bincount(spots.astype(np.int64), minlength=bits) & 1).view(np.uint64)
+
+
+def folded(sketches: list[np.ndarray], words: int) -> np.ndarray:
+    """Parity sketches as ones of ``words`` words, which are no longer than any of them."""
+    out = []
+    for sketch in sketches:
+        while len(sketch) > words:
+            sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+        out.append(sketch)
+    return np.array(out)
+
+
+def apart_of(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """In how many bits the sketches of each pair differ, the longer one folded."""
+    words = np.array([min(len(a), len(b)) for a, b in zip(one, other)], np.int64)
+    apart = np.zeros(len(words), np.int64)
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        a, b = (folded([sketches[k] for k in at], w) for sketches in (one, other))
+        apart[at] = np.bitwise_count(a ^ b).astype(np.int64).sum(1)
+    return apart
 
 
 class Similar:
@@ -231,16 +276,20 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
     ``row`` names a column of distinct longs that tells rows apart where doc_ids repeat or are null;
     it is returned too, with a ``component`` that is null only for documents without a set.
 
-    Equal sets are one class. Classes are dealt into cells (see ``Cells``); only cells of two or
-    more are looked at, cells of the same members once. Each member is first held against the
-    smallest member of its cell: count bound, then the sets. Cells whose members are still in
-    several components are searched by R-trees of count vectors, in blocks, for links between
-    components. A block lists its candidates if they are few per member, and a pair listed by many
+    Equal sets are one class, known by the number of its first row. Classes are dealt into cells (see
+    ``Cells``); only cells of two or more are looked at, cells of the same members once. Each member is
+    first held against the smallest member of its cell: count bound and parity sketch, then the sets. Cells
+    whose members are still in several components are searched by R-trees of count vectors, in blocks, for
+    links between components. A block lists its candidates if they are few per member, and a pair listed by many
     cells is verified once, if parity sketches of the two allow it; a block with more candidates is searched again with the sets at hand.
-    Every step returns links along which components grow, never all pairs.
+    Every step returns links along which components grow, never all pairs. Vectors and sketches are made
+    with the cells; sets are made again from their texts, only for pairs that pass both. Tables of the steps are deleted when the result is written.
     """
     similar = Similar(percent)
 
+    def short(counts: np.ndarray) -> bytes:
+        return counts.astype(np.uint16 if counts.max() < 1 << 16 else np.int32).tobytes()
+
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -250,22 +299,41 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(s) for s in found], pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array([cells.of(s) for s in found], pa.list_(pa.int64()))],
-                names=["doc_id", "row", "n_shingles", "key", "cells"])
+                 pa.array([cells.of(s) for s in found], pa.list_(pa.int64())), pa.array([cells.bands(s) for s in found], pa.list_(pa.int32())),
+                 pa.array([short(counts_of(s)) for s in found], pa.binary()), pa.array([parity_of(s).tobytes() for s in found], pa.binary())],
+                names=["doc_id", "row", "n_shingles", "key", "cells", "bands", "point", "parity"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(row or "doc_id").cast("long").alias("row"))
-    rows = stored(texts.mapInArrow(summary, "doc_id long, row long, n_shingles long, key binary, cells array<long>"))
-    classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(
-        F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("cells").alias("cells"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
-
-    spread = classes.select("node", F.explode("cells").alias("cell"))
-    shared = spread.groupBy("cell").agg(
+    rows = texts.mapInArrow(summary, "doc_id long, row long, n_shingles long, key binary, cells array<long>, bands array<int>, point binary, parity binary")
+    rows = stored(rows.withColumn("node", F.monotonically_increasing_id()))
+    classes = stored(rows.where(F.col("key").isNotNull()).groupBy("key").agg(
+        F.min("doc_id").alias("least"), F.min("node").alias("node"), F.count("*").alias("copies")))
+    # One row per class. Rows without copies are known by a bitmap and are not shuffled.
+    marked = asked(rows, classes.where("copies > 1").select("key"), ["key"])
+    copied = marked.where("_asked").join(classes.select("node"), "node", "left_semi")
+    alone = marked.where("not _asked and key is not null").select(*copied.columns)
+    single = alone.union(copied).select("node", "cells", "bands")
+
+    spread = single.select("node", "bands", F.explode("cells").alias("cell"))
+    several = spread.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    several = stored(several.select("cell"))
+    # Few are left; only now each goes to all of its bands.
+    met = asked_only(spread, several, ["cell"]).join(several, "cell")
+    met = stored(met.select("node", "cell", F.explode("bands").alias("band")).select("node", F.xxhash64("cell", "band").alias("cell")))
+    shared = met.groupBy("cell").agg(
         F.count("*").alias("members"), F.min("node").alias("leader"), F.bit_xor(F.xxhash64("node")).alias("mark")
     ).where("members > 1")
     # Cells of the same members are one: their number, smallest and checksum agree.
     shared = stored(shared.groupBy("members", "leader", "mark").agg(F.min("cell").alias("cell")))
-    members = stored(spread.join(shared.select("cell", "leader", "members"), "cell"))
+    members = stored(met.join(shared.select("cell", "leader", "members"), "cell"))
+    nodes = stored(members.select("node").distinct())
+    points = rows.select("node", F.col("n_shingles").cast("int").alias("size"), "point", "parity")
+    points = stored(asked_only(points, nodes, ["node"]).join(nodes, "node", "left_semi"))
+    used = [rows, classes, several, met, shared, members, nodes, points]
+
+    def kept(df: DataFrame) -> DataFrame:
+        used.append(stored(df))
+        return used[-1]
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -275,27 +343,19 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
             keys = [xxhash.xxh3_128_digest(s) for s in found]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], names=["key", "ids"])
 
-    # The sets of documents that share a cell, made again from their texts.
-    wanted = stored(members.select("node").distinct().join(classes.select("node", "key", "row"), "node"))
-    # Texts of no such document stay where they are.
-    chosen = asked_only(texts, wanted.select("row"), ["row"]).join(wanted.select("row").distinct(), "row", "left_semi").select("doc_id", "text")
-    sets = chosen.mapInArrow(full, "key binary, ids binary").join(wanted.select("node", "key"), "key").select("node", "ids")
-    sets = stored(sets)
+    def sets_of(few: DataFrame) -> DataFrame:
+        """The sets of some nodes, made again from their texts. Texts of others stay where they are."""
+        named = rows.select("node", "row", "key")
+        named = kept(asked_only(named, few, ["node"]).join(few, "node", "left_semi"))
+        chosen = asked_only(texts, named.select("row"), ["row"]).join(named.select("row").distinct(), "row", "left_semi")
+        return kept(chosen.select("doc_id", "text").mapInArrow(full, "key binary, ids binary").join(
+            named.select("node", "key"), "key").select("node", "ids"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [similar(a, b) for a, b in zip(_numbers(batch.column(2)), _numbers(batch.column(3)))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = _numbers(batch.column(1))
-            counts = [counts_of(s) for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int32()),
-                 pa.array([c.astype(np.uint16 if c.max() < 1 << 16 else np.int32).tobytes() for c in counts], pa.binary()),
-                 pa.array([parity_of(s).tobytes() for s in found], pa.binary())], names=["node", "size", "point", "parity"])
-
     def points_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
         short = 2 * DIMENSIONS
         return np.array([np.frombuffer(x, np.uint16 if len(x) == short else np.int32).astype(np.int32) for x in column.to_pylist()])
@@ -306,35 +366,34 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
                 c = dict(zip(batch.schema.names, batch.columns))
                 sizes = c["size_a"].to_numpy().astype(np.int64) + c["size_b"].to_numpy()
                 good = similar.may(np.minimum(points_of(c["point_a"]), points_of(c["point_b"])).sum(1), sizes)
-                parity = [np.array(_numbers(c[x])) for x in ("parity_a", "parity_b")]
-                good &= similar.near(np.bitwise_count(parity[0] ^ parity[1]).astype(np.int64).sum(1), sizes)
+                good &= similar.near(apart_of(_numbers(c["parity_a"]), _numbers(c["parity_b"])), sizes)
                 yield pa.RecordBatch.from_arrays([c["a"], c["b"]], names=["a", "b"]).filter(pa.array(good))
 
-    points = stored(sets.mapInArrow(counted, "node long, size int, point binary, parity binary"))
-
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar."""
+        pairs = kept(pairs)
+        sets = sets_of(kept(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("ids").alias("x")), "a").join(
             sets.select(F.col("node").alias("b"), F.col("ids").alias("y")), "b").select("a", "b", "x", "y")
-        return stored(both.mapInArrow(check, "a long, b long"))
+        return kept(both.mapInArrow(check, "a long, b long"))
 
-    firsts = stored(members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    firsts = kept(members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     ends = [points.select(*[F.col(c).alias(x if c == "node" else f"{c}_{x}") for c in points.columns]) for x in "ab"]
     direct = linked(firsts.join(ends[0], "a").join(ends[1], "b").mapInArrow(bounded, "a long, b long"))
-    nodes = members.select("node").distinct()
-    label = stored(components(nodes, direct))
+    label = kept(components(nodes, direct))
 
     labelled = members.select("cell", "node").join(label, "node")
     mixed = labelled.groupBy("cell").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     parts = F.ceil(F.col("size") / block).cast("int")
     open_cells = labelled.join(mixed.select("cell", "size"), "cell").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    meets = stored(open_cells.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(
+    meets = kept(open_cells.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).select(
         "node", "component", "cell", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")))
 
     def candidates(group: pa.Table) -> pa.Table:
         node = group["node"].to_numpy()
         at = np.argsort(node, kind="stable")
-        points, parity = points_of(group["point"])[at], np.array(_numbers(group["parity"]))[at]
+        sketches = _numbers(group["parity"])
+        points, parity = points_of(group["point"])[at], folded(sketches, min(map(len, sketches)))[at]
         sizes, label, side = (group[c].to_numpy()[at] for c in ("size", "component", "part"))
         pairs = listed_pairs(points, parity, sizes.astype(np.int64), label, side, similar, listed)
         dense, node = pairs is None, node[at]
@@ -352,17 +411,20 @@ def jaccard_groups(docs: DataFrame, percent: int = 90, width: int = 3, block: in
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     blocks = ["cell", "i", "j"]
-    found = stored(meets.join(points, "node").groupBy(*blocks).applyInArrow(candidates, "a long, b long, cell long, i int, j int"))
+    found = kept(meets.join(points, "node").groupBy(*blocks).applyInArrow(candidates, "a long, b long, cell long, i int, j int"))
     more = linked(found.where("a is not null").select("a", "b").distinct().join(firsts, ["a", "b"], "left_anti"))
     dense = found.where("a is null").select(*blocks)
     if not dense.isEmpty():
-        again = meets.join(dense, blocks, "left_semi").join(sets, "node")
-        more = more.union(stored(again.groupBy(*blocks).applyInArrow(search, "a long, b long")))
+        crowded = kept(meets.join(dense, blocks, "left_semi"))
+        again = crowded.join(sets_of(kept(crowded.select("node").distinct())), "node")
+        more = more.union(kept(again.groupBy(*blocks).applyInArrow(search, "a long, b long")))
     final = components(nodes, direct.union(more))
     known = classes.select("key", "node", "least").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = stored(known.select("key", "least", "component"))
+    known = kept(known.select("key", "least", "component"))
     smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(smallest, "component").select("key", "component_id", "component")
     more = [F.col("row").alias(row), "component"] if row else []
-    return rows.select("doc_id", "row", "n_shingles", "key").join(known, "key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more)
+    out = stored(rows.select("doc_id", "row", "n_shingles", "key").join(known, "key", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more))
+    discard(*used)
+    return out

@@ -1,5 +1,6 @@
 """Near-duplicate operators against brute force."""
 
+import os
 import random
 import re
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm import lines, overlap, vectors
 from docweave.llm.common import components
+from docweave.session import shared_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -95,6 +97,40 @@ def test_cells_are_shared_by_all_similar_sets():
                 assert np.intersect1d(cells.of(a), cells.of(b)).size
 
 
+def test_sets_at_a_low_bound_have_few_cells_and_meet_in_a_band():
+    rnd = np.random.default_rng(9)
+    cells, similar = overlap.Cells(80), overlap.Similar(80)
+    for n in (5, 9, 40, 149, 150, 480, 2000):
+        a = np.unique(rnd.integers(0, 2**63, n, dtype=np.int64)).view(np.uint64)
+        for b in (a[n // 6 :], np.r_[a, a[: n // 5] ^ np.uint64(1)], a[n // 10 :]):
+            assert len(cells.of(b)) <= len(b) // 5 + 1
+            if similar(a, b):
+                assert set(cells.bands(a)) & set(cells.bands(b))
+
+
+def test_sketches_tell_large_unlike_sets_apart():
+    rnd = np.random.default_rng(7)
+    similar = overlap.Similar(80)
+    for n, m in ((3000, 3000), (4000, 4300), (20000, 17000)):
+        a, b = (np.unique(rnd.integers(0, 2**63, k, dtype=np.int64)).view(np.uint64) for k in (n, m))
+        like = np.r_[a[n // 20 :], b[: n // 20]]
+        sketches = [overlap.parity_of(x) for x in (a, b, like, a[:-150])]
+        assert not similar.near(overlap.apart_of(sketches[:1], sketches[1:2]), np.array([len(a) + len(b)]))[0]
+        for k, other in ((2, like), (3, a[:-150])):
+            assert similar.near(overlap.apart_of(sketches[:1], sketches[k : k + 1]), np.array([len(a) + len(other)]))[0]
+
+
+def test_tables_of_the_steps_are_deleted(spark):
+    def tables():
+        return {x for x in os.listdir(shared_folder(spark).removeprefix("file:")) if x.startswith("table-")}
+
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(near_texts(6, 4, 5))], "doc_id long, text string")
+    before = tables()
+    found = overlap.jaccard_groups(docs, 80, 5)
+    # The result itself, and the last edges of the two times that components are looked for.
+    assert found.count() and len(tables() - before) <= 3
+
+
 def test_tree_finds_all_that_may_be_similar():
     rnd = np.random.default_rng(5)
     base = rnd.poisson(3, (20, overlap.DIMENSIONS))
