@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from docweave.functions import html_tree
 from docweave.functions.html_tree import TreeBuilder
 from docweave.operators import html
 
@@ -204,3 +207,46 @@ def test_many_narrow_rows_go_to_more_tasks(spark, monkeypatch, tmp_path):
     assert spread.rdd.getNumPartitions() == 50
     wide = spread.selectExpr("id", "repeat('x', 50) AS html")
     assert session.spread_small(wide) is wide
+
+
+PIECES = (
+    "<p>|</p>|<div class=\"a footer  table\">|</div>|<br>|<br/>|</br>|<b>|</b>|<pre>|</pre>|<code class=\"x\">|</code>| |\n |text|é世界|&amp;|&nbsp;|&#32;|&bogus;|"
+    "&#x41;|&amp|&|<|<!-- c -->|<!-- a > b -->|<!DOCTYPE html>|<script>|</script>|<script src=\"x\">|if (a<b) \"<p>\"|<style>|</style>|<title>|</title>|<textarea>|"
+    "</textarea>|<img src=\"a\" alt=\"b\"/>|<span/>|<template>|</template>|<nav>|</nav>|<UL>|</ul>|<li>|</li>|>|<a href=x>|</a>|<a title=\"a>b\">|<my-tag>|<?pi?>|</ p>|\r\n|\t\x0c"
+).split("|")
+PAIRS = [("<p>", "</p>"), ('<div class="footer b">', "</div>"), ("<pre>", "</pre>"), ("<code>", "</code>"), ("<nav>", "</nav>"), ("<script>", "</script>"), ("<title>", "</title>"),
+         ("<li>", "</li>"), ("<template>", "</template>"), ('<b id="1">', "</B>"), ('<span x="y" x="z">', "</span>"), ('<style type="t">', "</STYLE>")]
+LEAVES = ["text", " ", "\n", "&lt;", "a&amp;b", "&#32;", "<br>", '<img class="gatsby-highlight"/>', "<!-- x -->", "é", "<span/>", "  t  "]
+
+
+def nested(rnd, depth):
+    out = ""
+    for _ in range(rnd.randint(0, 4)):
+        if depth and rnd.random() < 0.6:
+            start, end = rnd.choice(PAIRS)
+            out += start + nested(rnd, depth - 1) + end
+        else:
+            out += rnd.choice(LEAVES)
+    return out
+
+
+def test_pages_read_together_have_the_trees_of_the_builder():
+    rnd = random.Random(3)
+    for attrs in (False, True):
+        pages = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 12))) for _ in range(800)] + [nested(rnd, 5) for _ in range(800)] + [None, "", "x", "<p></p>" * 5]
+        pages += ["<i>" * 250 + "deep" + "</i>" * 250, "<p>é &amp; " * 20 + "</p>" * 20, "a<script>if (a<b) x = '<p>'</script>b"]
+        rnd.shuffle(pages)
+        for some in (pages, pages[:1], [""], [None, None]):
+            batch = pa.RecordBatch.from_arrays([pa.array(range(len(some)), pa.int64()), pa.array(["u"] * len(some)), pa.array(some, pa.string())], names=["page_id", "url", "html"])
+            got = {row["page_id"]: row for found in html_tree.shredder(html.LANDMARKS, attrs)(iter([batch])) for row in found.to_pylist()}
+            rows = [(k, "u", "no content", [], []) if p is None else (k, "u", None, *html_tree.TreeBuilder(html.LANDMARKS, attrs).build(p)) for k, p in enumerate(some)]
+            assert got == {row["page_id"]: row for row in html_tree._batch(rows).to_pylist()}
+
+
+def test_well_nested_pages_are_read_together():
+    page = '<!DOCTYPE html><main class="a b"><h2>A &amp; B</h2><br><pre> x\n</pre><script src="s">a<b</script></main> \n'
+    data = np.frombuffer((page + "<p>open" + page).encode(), np.uint8)
+    bounds = np.array([0, len(page), len(page) + 7, len(data)])
+    good, nodes, runs = html_tree.read_together(data, bounds, html.LANDMARKS, False)
+    assert good.tolist() == [True, False, True] and nodes[0].as_py() == nodes[2].as_py() and len(nodes[0]) == 5
+    assert [r["text"] for r in runs[2].as_py()] == ["A & B", None, " x\n", "\n"]
