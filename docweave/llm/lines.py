@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from docweave.llm.common import asked, asked_only
 from docweave.llm.words import mix, word_hashes
-from docweave.session import stored
+from docweave.session import discard, stored
 
 # Word frequencies are kept by hash in a table of fixed size: any order of words gives right results.
 BUCKET_BITS = 18
@@ -224,13 +224,19 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
                  pa.array((frequent[ends_p] - frequent[ends_p - prefix]).astype(np.int32))],
                 names=["doc_id", "own", "line", "size", "key", "sketch", "rest", "prefix", "frequent"])
 
-    lines = stored(texts.mapInArrow(
+    tables: list[DataFrame] = []
+
+    def noted(df: DataFrame) -> DataFrame:
+        tables.append(stored(df))
+        return tables[-1]
+
+    lines = noted(texts.mapInArrow(
         summary, "doc_id long, own long, line int, size int, key binary, sketch long, rest binary, prefix array<int>, frequent int"))
     at = ["doc_id", "own", "line"]
     # A class: the first of its lines, and what they have in common.
     common = [F.first(c).alias(c) for c in ("size", "sketch", "rest", "prefix", "frequent")]
     classes = lines.groupBy("key").agg(F.min(F.struct(*at)).alias("first"), F.count("*").alias("copies"), *common)
-    classes = stored(classes.select("key", "first.*", "copies", "size", "sketch", "rest", "prefix", "frequent"))
+    classes = noted(classes.select("key", "first.*", "copies", "size", "sketch", "rest", "prefix", "frequent"))
 
     # A row is its slot (token, and the two blocks that meet), its line, size, place and sketch, in few bytes: shape holds the
     # low bits of line, size and place; high the others, which are seldom set, and which of the two blocks the line is of.
@@ -255,7 +261,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
 
     # Of tokens frequent in the texts, those with many rows here are cut into blocks.
     parts = spread.where(F.col("place") >= F.col("n") - F.col("frequent")).groupBy("token").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    parts = stored(parts.where("parts > 1"))
+    parts = noted(parts.where("parts > 1"))
 
     ends = [f"{n}_" for n in at]
     pair = StructType.fromDDL("doc_id long, own long, line int, doc_id_ long, own_ long, line_ int")
@@ -305,8 +311,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
 
     def lines_of(wanted: DataFrame) -> DataFrame:
         """Texts of the lines (doc_id, own, line)."""
-        wanted = stored(wanted)
-        numbers = stored(wanted.select("doc_id", "own").distinct())
+        wanted = noted(wanted)
+        numbers = noted(wanted.select("doc_id", "own").distinct())
         # Only texts of such documents are cut, and only such lines are sent to the join.
         cut = asked_only(texts, numbers, ["doc_id", "own"]).select("doc_id", "own", F.posexplode(F.split("text", "\n", -1)).alias("line", "words"))
         return asked_only(cut, wanted, at).join(wanted, at, "left_semi")
@@ -318,31 +324,33 @@ def dedup_lines(docs: DataFrame, percent: int = 80, least: int = 1, block: int =
                 good = alike_lines(*both, percent)
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in pair.names), pa.array(good)], names=[*pair.names, "alike"])
 
-        sets = stored(lines_of(pairs.select(*at).union(pairs.select(*ends)).distinct()))
+        sets = noted(lines_of(pairs.select(*at).union(pairs.select(*ends)).distinct()))
         left = pairs.join(sets.withColumnRenamed("words", "x"), at)
         right = sets.select(*[F.col(n).alias(f"{n}_") for n in at], F.col("words").alias("y"))
         both = left.join(right, ends).select(*pair.names, "x", "y")
-        return stored(both.mapInArrow(run, StructType([*pair.fields, *StructType.fromDDL("alike boolean").fields])))
+        return noted(both.mapInArrow(run, StructType([*pair.fields, *StructType.fromDDL("alike boolean").fields])))
 
     with narrow_batches(spark):
-        pairs = stored(candidates(slotted(spread), False))
+        pairs = noted(candidates(slotted(spread), False))
     judged = verified(pairs)
     alike = judged.where("alike").select(*at).distinct()
-    unsettled = stored(judged.where("not alike").select(*at).distinct().join(alike, at, "left_anti"))
+    unsettled = noted(judged.where("not alike").select(*at).distinct().join(alike, at, "left_anti"))
     if not unsettled.isEmpty():
-        tokens = stored(classes.join(unsettled, at, "left_semi").select(F.explode("prefix").alias("token")).distinct())
+        tokens = noted(classes.join(unsettled, at, "left_semi").select(F.explode("prefix").alias("token")).distinct())
         again = spread.join(tokens, "token", "left_semi").join(unsettled.withColumn("open", F.lit(True)), at, "left")
         with narrow_batches(spark):
-            rest = stored(candidates(slotted(again.withColumn("open", F.coalesce("open", F.lit(False)))), True))
-        rest = stored(rest.join(pairs, pair.names, "left_anti"))
+            rest = noted(candidates(slotted(again.withColumn("open", F.coalesce("open", F.lit(False)))), True))
+        rest = noted(rest.join(pairs, pair.names, "left_anti"))
         alike = alike.union(verified(rest).where("alike").select(*at).distinct())
 
     # Only classes of several lines, or like an earlier one, lose any.
     gone = classes.select("key", "copies", *at).join(alike.withColumn("gone", F.lit(True)), at, "left").where("gone OR copies > 1")
-    gone = stored(gone.select("key", *[F.col(n).alias(f"{n}_") for n in at], F.coalesce("gone", F.lit(False)).alias("gone")))
+    gone = noted(gone.select("key", *[F.col(n).alias(f"{n}_") for n in at], F.coalesce("gone", F.lit(False)).alias("gone")))
     later = (F.col("doc_id") != F.col("doc_id_")) | (F.col("own") != F.col("own_")) | (F.col("line") != F.col("line_"))
     removed = lines.select("key", *at).join(gone, "key").where(F.col("gone") | later)
     removed = stored(removed.groupBy(F.col("doc_id").alias("_doc"), F.col("own").alias("_own")).agg(F.collect_set("line").alias("_removed")))
+    # What the result is made of is this table and the documents.
+    discard(*tables)
     named = docs.withColumns({"_doc": identity["doc_id"], "_own": identity["own"]})
     # Texts that lose nothing stay where they are.
     named = asked(named, removed.select("_doc", "_own"), ["_doc", "_own"])

@@ -130,6 +130,10 @@ def test_tables_of_the_steps_are_deleted(spark):
     # The result itself, and the last edges of the two times that components are looked for.
     assert found.count() and len(tables() - before) <= 3
 
+    before = tables()
+    found = lines.dedup_lines(spark.createDataFrame(list(enumerate(line_texts(3))), "doc_id long, text string"))
+    assert found.count() and len(tables() - before) == 1
+
 
 def test_tree_finds_all_that_may_be_similar():
     rnd = np.random.default_rng(5)
